@@ -32,6 +32,9 @@ SIZE = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 
+#: Ids of a vocabulary of less than 65,536 travel as two bytes and leave as four.
+_TRANSIT = "<u2"
+
 PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary"
 
 
@@ -73,7 +76,7 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
 
 
 def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Pieces of at most ``size`` ids, little-endian unsigned 32-bit in ``ids``."""
+    """Pieces of at most ``size`` ids, in transit width in ``ids``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -81,7 +84,7 @@ def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY
             for at in range(0, batch.num_rows, 512):
                 rows = []
                 for doc_id, text in zip(*(c.slice(at, 512).to_pylist() for c in batch.columns), strict=True):
-                    ids = np.array([*encode(text or ""), END_ID], "<u4")
+                    ids = np.array([*encode(text or ""), END_ID], "<u4").astype(_TRANSIT)
                     rows += [(doc_id, start, min(size, len(ids) - start), len(ids), ids[start : start + size].tobytes()) for start in range(0, len(ids), size)]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
@@ -137,6 +140,8 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All documents as pieces in sequences: PIECES, then sequence_id and offset.
 
+    ``ids`` holds little-endian unsigned 32-bit ids.
+
     The driver holds the histogram and the plan alone: at most ``size`` bins, and at most
     two patterns more for each bin.
     """
@@ -172,6 +177,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_col
                 run = np.searchsorted(starts, rank, "right") - 1
                 sequences[part], offsets[part] = sequence[run] + rank - starts[run], offset[run]
             kept = [batch.column(batch.schema.get_field_index(f.split()[0])) for f in PIECES.split(", ")]
+            kept[-1] = pa.array([np.frombuffer(x.as_buffer(), _TRANSIT).astype("<u4").tobytes() for x in kept[-1]], pa.binary())
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequences), pa.array(offsets)], names=[*(f.split()[0] for f in PIECES.split(", ")), "sequence_id", "offset"])
 
     order = W.partitionBy("length", "salt").orderBy("doc_id", "start")
