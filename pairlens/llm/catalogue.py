@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import exact_dedup, mixing, packing, simhash, topk, url_filter
+from pairlens.llm import exact_dedup, mixing, packing, simhash, topk, toxicity, url_filter
 from pairlens.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 _EXACT_DEDUP_SQL = r"""
