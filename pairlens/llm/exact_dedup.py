@@ -168,3 +168,22 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with one row of each group of equal texts: the one with the smallest id."""
+    judged = saved(exact_dedup(docs, id_column, text_column).select("doc_id", "text_sha256", "kept"), "dedup-judged")
+    id_, digest = F.col(id_column).cast("long"), F.sha2(normalised(F.col(text_column)), 256)
+    dropped = judged.where(~F.col("kept")).select("doc_id", "text_sha256")
+    twice = saved(judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256"), "dedup-twice")
+
+    def same(other: str) -> Column:
+        return F.col("_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("_digest") == F.col(f"{other}.text_sha256"))
+
+    marked = docs.withColumns({"_id": id_, "_digest": digest})
+    rest = marked.join(dropped.alias("d"), same("d"), "left_anti")
+    if not twice.isEmpty():
+        # The same id and text more than once: such rows are told apart by nothing, any one stays.
+        once = rest.join(twice.alias("t"), same("t"), "left_semi").dropDuplicates(["_id", "_digest"])
+        rest = rest.join(twice.alias("t"), same("t"), "left_anti").unionByName(once)
+    return rest.drop("_id", "_digest")

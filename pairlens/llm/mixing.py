@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import WORD, partitions, power_of_two, saved
+from pairlens.llm.common import SPACE, WORD, partitions, power_of_two, saved
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -108,3 +108,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
             *[F.col(f"s.{c}") for c in carry],
         )
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The mix itself, with the columns of ``docs``: rows once for each epoch that takes them.
+
+    Rows that no epoch takes are left out, and the row at which a source's budget ends is
+    cut to the words that it still takes (joined by spaces; a column n_chars follows).
+    """
+    row = docs.select(id_column, text_column, source_column, F.struct("*").alias("_row"))
+    taken = mix(row, weights, most, seed, ("_row",), id_column, text_column, source_column)
+    whole = F.when(F.col("size") > 0, F.expr("taken DIV size")).otherwise(F.lit(0))
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
+    counted = taken.select("_row", whole.alias("whole"), part.cast("int").alias("part")).where("whole > 0 OR part > 0")
+    copies = counted.select("_row", "whole", "part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))).alias("copy"))
+    last = F.col("copy") > F.col("whole")
+    text = F.col(f"_row.`{text_column}`")
+    trimmed = F.regexp_replace(text, f"^{SPACE}", "")
+    changed = {text_column: F.when(last, F.array_join(F.slice(F.split(trimmed, SPACE), 1, F.col("part")), " ")).otherwise(text)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(last, F.length(changed[text_column]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return copies.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -17,6 +17,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,11 @@ SEED = 42
 CELL_ROWS = 1024
 #: Children of a node of the hierarchy.
 FAN = 4
+#: The words of a sketch, and the bits in which sketches of texts with a Jaccard similarity of 0.8 differ.
+SKETCH = ("s0", "s1", "s2", "s3")
+SIMILARITY = 0.8
+#: Bits in which the fingerprints of candidates may differ where sketches confirm them.
+CANDIDATE_RADIUS = 7
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 1 << 15
 
@@ -102,16 +108,23 @@ def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return a, b
 
 
-def _cell_links(radius: int):
-    """Rows sorted by cell to the forest of links of each cell."""
+def _cell_links(radius: int, confirm: int | None):
+    """Rows sorted by cell to the forest of links of each cell; with ``confirm``, of those whose sketches agree."""
     small = 24
 
+    def agreeing(sketches: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if confirm is None:
+            return a, b
+        apart = sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in sketches)
+        return a[apart <= confirm], b[apart <= confirm]
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "cell"):
             cells = rows["cell"].to_numpy()
             prints = rows["fp"].to_numpy().view(np.uint64)
             order = np.lexsort((gray_rank(prints), cells))
-            cells, prints = cells[order], prints[order]
+            cells, prints, nodes = cells[order], prints[order], rows["node"].to_numpy()[order]
+            sketches = [rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH] if confirm is not None else []
             starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
             sizes = np.diff(np.append(starts, len(cells)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -122,14 +135,14 @@ def _cell_links(radius: int):
             for k in range(1, small):
                 rest = rest[left[rest] >= k]
                 near = rest[np.bitwise_count(prints[rest] ^ prints[rest + k]) <= radius]
-                found.append((near, near + k))
+                found.append(agreeing(sketches, near, near + k))
             for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
                 a, b = close_pairs(prints[s : s + n], radius)
-                found.append((a + s, b + s))
+                found.append(agreeing(sketches, a + s, b + s))
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             label = local_components(len(prints), a, b)
             linked = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(prints[x].view(np.int64)) for x in (label[linked], linked)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[x]) for x in (label[linked], linked)], names=["a", "b"])
 
     return links
 
@@ -153,13 +166,17 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*found))
 
 
-def close_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``prints`` (fp) as all pairs within ``radius`` do."""
-    rows = prints.select(F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), "fp")
+def close_links(prints: DataFrame, radius: int, confirm: int | None = None) -> DataFrame:
+    """Links (a, b) that connect the nodes of ``prints`` (fp, node) as all pairs within ``radius`` do.
+
+    With ``confirm``, pairs count only if their sketches (columns of SKETCH) differ in that many bits at most.
+    """
+    carried = ["fp", "node", *(SKETCH if confirm is not None else ())]
+    rows = prints.select(F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
     ready: list[DataFrame] = []
     width = 64
     while True:
-        rows = saved(rows.select(_blocks(radius).alias("c"), "fp").select("c.*", "fp"), "simhash-cells")
+        rows = saved(rows.select(_blocks(radius).alias("c"), *carried).select("c.*", *carried), "simhash-cells")
         # A cell below this width has fewer than CELL_ROWS distinct members.
         width -= width // (radius + 1)
         heavy = saved(rows.groupBy("cell").count().where(F.col("count") > CELL_ROWS).select("cell"), "simhash-heavy")
@@ -168,10 +185,10 @@ def close_links(prints: DataFrame, radius: int) -> DataFrame:
             break
         ready.append(rows.join(heavy, "cell", "left_anti"))
         rows = rows.join(heavy, "cell", "left_semi")
-    cells = ready[0].select("cell", "fp")
+    cells = ready[0].select("cell", *carried)
     for more in ready[1:]:
-        cells = cells.union(more.select("cell", "fp"))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius), "a long, b long")
+        cells = cells.union(more.select("cell", *carried))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -183,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column:
 def components_of(prints: DataFrame, radius: int) -> DataFrame:
     """``prints`` (doc_id, fp) with component_id."""
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    labels = connected_components(close_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    labels = connected_components(close_links(classes.select("fp", F.col("fp").alias("node")), radius)).withColumnRenamed("node", "fp")
     linked = classes.join(labels, "fp")
     smallest = linked.groupBy("rep").agg(F.min("first").alias("component_id"))
     joined = linked.join(saved(smallest, "simhash-smallest"), "rep").select("fp", "component_id")
@@ -193,3 +210,58 @@ def components_of(prints: DataFrame, radius: int) -> DataFrame:
 
 def hexadecimal(prints: Column) -> Column:
     return F.lpad(F.lower(F.hex(prints)), 16, "0")
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of two sets of that Jaccard similarity differ on average."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def sketched(docs: DataFrame, words: int = 5, candidate_words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, h, fp, s0 to s3): a hash of the text, its fingerprint and a 256-bit SimHash of its longer shingles."""
+    steps = (np.arange(1, len(SKETCH), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+
+    def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(2):
+                raw = text.as_py() or b""
+                hashes = shingle_hashes(raw, words)
+                rows.append([majority_bits(shingle_hashes(raw, candidate_words)), majority_bits(hashes), *(majority_bits(_mixed(hashes, s)) for s in steps)])
+            columns = np.array(rows, np.uint64).reshape(-1, 1 + len(SKETCH)).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["doc_id", "h", "fp", *SKETCH])
+
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).cast("long"), F.xxhash64(text), text.cast("binary"))
+    return rows.mapInArrow(hash_, "doc_id long, h long, fp long, " + ", ".join(f"{s} long" for s in SKETCH))
+
+
+def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
+    """Other hashes from hashes: a step and a bijective mix."""
+    x = hashes + np.uint64(step)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with one document of each group of near copies: the one with the smallest id.
+
+    Candidates are within ``radius`` bits by shingles of three words; a pair counts if the
+    256-bit sketches of its ``words``-word shingles say that ``similarity`` is reached.
+    """
+    rows = saved(sketched(docs, words, id_column=id_column, text_column=text_column), "simhash-sketches")
+    tuple_ = ["fp", *SKETCH]
+    classes = rows.groupBy(*tuple_).agg(F.min("doc_id").alias("first"))
+    # Ids are fixed by the write, whatever is computed again later on.
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "simhash-classes")
+    labels = connected_components(close_links(classes, radius, differing_bits(similarity, 64 * len(SKETCH))))
+    linked = classes.join(labels, "node")
+    smallest = saved(linked.groupBy("rep").agg(F.min("first").alias("keep_id")), "simhash-smallest")
+    linked = linked.join(smallest, "rep").select("node", "keep_id")
+    kept = saved(classes.join(saved(linked, "simhash-linked"), "node", "left").select(*tuple_, F.coalesce("keep_id", "first").alias("keep_id")), "simhash-kept")
+    gone = rows.join(kept, tuple_).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("h").alias("gone_h"))
+    gone = saved(gone, "simhash-gone")
+    h = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    marked = docs.withColumns({"_id": F.col(id_column).cast("long"), "_h": h})
+    return marked.join(gone.alias("g"), F.col("_id").eqNullSafe(F.col("g.doc_id")) & (F.col("_h") == F.col("g.gone_h")), "left_anti").drop("_id", "_h")
