@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairlens.config import FEE_RATES, Settings
+from pairlens.functions.text import micros
 
 
 def entry_fee(contracts: Column, price: Column, rate: Column) -> Column:
@@ -54,7 +55,7 @@ def top_depth(volume: Column) -> Column:
 def days_to_resolution(date_a: Column, date_b: Column, as_of: Column) -> Column:
     """Whole days to the earlier date, one at least; 365 without a date."""
     first = F.least(date_a, date_b)
-    days = F.floor((F.unix_micros(first) - F.unix_micros(as_of)) / F.lit(86_400_000_000.0))
+    days = F.floor((micros(first) - micros(as_of)) / F.lit(86_400_000_000.0))
     return F.coalesce(F.greatest(days, F.lit(1)), F.lit(365)).cast("long")
 
 

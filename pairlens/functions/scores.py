@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairlens.config import Settings
+from pairlens.functions.text import micros
 
 EPS = 1e-9
 DAY_MICROS = 86_400_000_000
@@ -44,7 +45,7 @@ def rerank_score(primary: Column, secondary: Column, settings: Settings = Settin
 
 def days_apart(a: Column, b: Column) -> Column:
     """Whole days between two times: floored before the sign is dropped, so the order counts."""
-    return F.abs(F.floor((F.unix_micros(a) - F.unix_micros(b)) / F.lit(float(DAY_MICROS))))
+    return F.abs(F.floor((micros(a) - micros(b)) / F.lit(float(DAY_MICROS))))
 
 
 def date_score(a: Column, b: Column, deadline_differs: Column | None = None, settings: Settings = Settings()) -> Column:
@@ -56,7 +57,7 @@ def date_score(a: Column, b: Column, deadline_differs: Column | None = None, set
 
 
 def date_gap_class(a: Column, b: Column) -> Column:
-    days = F.abs(F.unix_micros(a) - F.unix_micros(b)) / F.lit(float(DAY_MICROS))
+    days = F.abs(micros(a) - micros(b)) / F.lit(float(DAY_MICROS))
     return F.when(days < 1, "same").when(days < 7, "possibly_same").otherwise("different")
 
 

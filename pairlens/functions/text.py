@@ -16,8 +16,8 @@ def normalise_text(text: Column) -> Column:
     lines = F.transform(F.split(folded, "\n"), lambda line: F.regexp_replace(line, f"[{SPACE}]+$", ""))
     # A blank line goes if the one before it is blank; arrays_zip with a shifted copy keeps that local.
     before = F.concat(F.array(F.lit("-")), lines)
-    kept = F.filter(F.arrays_zip(lines.alias("a"), before.alias("b")), lambda p: (p["0"] != "") | (p["1"] != "") | p["0"].isNull())
-    return F.rtrim(F.array_join(F.transform(F.filter(kept, lambda p: p["0"].isNotNull()), lambda p: p["0"]), "\n"), F.lit("\n"))
+    kept = F.filter(F.arrays_zip(lines.alias("a"), before.alias("b")), lambda p: (p["a"] != "") | (p["b"] != "") | p["a"].isNull())
+    return F.rtrim(F.array_join(F.transform(F.filter(kept, lambda p: p["a"].isNotNull()), lambda p: p["a"]), "\n"), F.lit("\n"))
 
 
 def content_hash(text: Column) -> Column:
@@ -81,6 +81,11 @@ def secondary_clauses(criteria: Column) -> Column:
     return F.filter(parts, lambda x: F.length(x) > 10)
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a time with or without zone (then UTC)."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 #: Formats tried in turn for dates.
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "MM/dd/yyyy")
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlens.functions.text import micros
+
 
 def first_seen(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key; partial aggregation keeps one row a key and partition."""
@@ -29,7 +31,7 @@ def ttl_dedup(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str
     limit = int(ttl_seconds * 1_000_000)
     # One key column: equal keys meet, and null parts equal each other.
     key = F.to_json(F.struct(*keys))
-    sorted_ = rows.withColumns({"_key": key, "_us": F.unix_micros(ts)}).repartition("_key").sortWithinPartitions("_key", "_us", *order)
+    sorted_ = rows.withColumns({"_key": key, "_us": micros(ts)}).repartition("_key").sortWithinPartitions("_key", "_us", *order)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_now, kept_at = None, 0

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlens.functions.text import micros
+
 
 def first_reactions(events: DataFrame, snapshots: DataFrame, window_ms: float = 5_000.0, keys: Sequence[str] = (), seq: Sequence[str] = ()) -> DataFrame:
     """For each event the first snapshot 0 to ``window_ms`` later: snapshot_ts and latency_ms; others have none and go.
@@ -20,11 +22,11 @@ def first_reactions(events: DataFrame, snapshots: DataFrame, window_ms: float =
     width = int(window_ms * 1000)
 
     def bucket(ts: str) -> Column:
-        return F.floor(F.unix_micros(ts) / F.lit(width))
+        return F.floor(micros(ts) / F.lit(width))
 
     left = events.withColumn("_b", F.explode(F.array(bucket("event_ts"), bucket("event_ts") + 1)))
     right = snapshots.select("snapshot_ts", *keys, *seq, *[c for c in snapshots.columns if c not in ("snapshot_ts", *keys, *seq)], bucket("snapshot_ts").alias("_b"))
-    gap = F.unix_micros("snapshot_ts") - F.unix_micros("event_ts")
+    gap = micros("snapshot_ts") - micros("event_ts")
     both = left.join(right, ["_b", *keys]).where(gap.between(0, width)).withColumn("_gap", gap)
     rest = [c for c in snapshots.columns if c not in keys]
     first = F.min_by(F.struct("_gap", *rest), F.struct("_gap", *seq)).alias("x")
@@ -51,7 +53,7 @@ def detected(rows: DataFrame, before: Column, after: Column, latency_ms: Column,
 
 
 def ingestion_latency(events: DataFrame) -> DataFrame:
-    return events.withColumn("ingestion_ms", (F.unix_micros("ingestion_timestamp") - F.unix_micros("event_timestamp")) / 1000.0)
+    return events.withColumn("ingestion_ms", (micros("ingestion_timestamp") - micros("event_timestamp")) / 1000.0)
 
 
 def moving_average(values: Column, old: float = 0.9) -> Column:

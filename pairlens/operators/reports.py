@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlens.functions.text import micros
+
 
 def series_stats(snapshots: DataFrame, key: str, ts: str, edge: str, order: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
     """Per series: count, highest and lowest edge with the first time each was reached, means."""
-    first_high = F.max(F.struct(F.col(edge).alias("v"), *[(-F.unix_micros(c) if c == ts else -F.col(c)).alias(f"o{i}") for i, c in enumerate(order)], F.col(ts).alias("t")))
+    first_high = F.max(F.struct(F.col(edge).alias("v"), *[(-micros(c) if c == ts else -F.col(c)).alias(f"o{i}") for i, c in enumerate(order)], F.col(ts).alias("t")))
     first_low = F.min(F.struct(F.col(edge).alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(ts).alias("t")))
     return (
         snapshots.groupBy(key)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions import fees
-from pairlens.functions.text import parse_timestamp
+from pairlens.functions.text import micros, parse_timestamp
 from pairlens.schemas import LEVEL, OUTCOME
 
 YES_NO = f"CAST(array(named_struct('outcome_id', 'YES', 'label', 'Yes'), named_struct('outcome_id', 'NO', 'label', 'No')) AS array<{OUTCOME}>)"
@@ -270,7 +270,7 @@ def timeline_events(timelines: DataFrame) -> DataFrame:
     rows = timelines.select("match_id", "game_start", F.explode(F.flatten(F.transform(frames, lambda f: f["events"]))).alias("e")).where(F.col("e.type").isin(*SIGNIFICANT))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     event_id = F.concat_ws("-", "match_id", F.col("e.timestamp").cast("string"), "e.type", blank("e.killerId"), blank("e.victimId"))
-    at = F.timestamp_micros(F.unix_micros("game_start") + F.col("e.timestamp") * 1000)
+    at = F.timestamp_micros(micros("game_start") + F.col("e.timestamp") * 1000)
     return rows.select(event_id.alias("event_id"), F.col("e.type").alias("event_type"), at.alias("event_timestamp"), "match_id").dropDuplicates(["event_id"])
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
+from pairlens.functions.text import micros
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -116,11 +118,11 @@ def reactions(events: DataFrame, snapshots: DataFrame, window_ms: int = 5_000, d
     streaming join needs an equality, so both sides carry the time bucket.
     """
     width = window_ms * 1000
-    bucket = lambda ts: F.floor(F.unix_micros(ts) / F.lit(width))
+    bucket = lambda ts: F.floor(micros(ts) / F.lit(width))
     left = events.withWatermark("event_ts", delay).withColumn("_b", F.explode(F.array(bucket("event_ts"), bucket("event_ts") + 1))).alias("e")
     right = snapshots.withWatermark("snapshot_ts", delay).withColumn("_b", bucket("snapshot_ts")).alias("s")
     within = F.expr(f"e._b = s._b AND s.snapshot_ts >= e.event_ts AND s.snapshot_ts <= e.event_ts + INTERVAL {window_ms / 1000} SECONDS")
-    gap = (F.unix_micros("snapshot_ts") - F.unix_micros("event_ts")) / 1000.0
+    gap = (micros("snapshot_ts") - micros("event_ts")) / 1000.0
     return left.join(right, within).select("event_id", "event_ts", "snapshot_ts", "venue", "market_id", gap.alias("latency_ms"))
 
 
