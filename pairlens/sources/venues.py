@@ -230,7 +230,11 @@ def polymarket_book(rows: DataFrame) -> DataFrame:
 
 def exploded(books: DataFrame) -> DataFrame:
     """Books in long form: venue, vmid, outcome, side, price, size."""
-    sides = [F.transform(f"{o}_{s}s", lambda x, o=o, s=s: F.struct(F.lit(o).alias("outcome"), F.lit(s).alias("side"), x["price"].alias("price"), x["size"].alias("size"))) for o in ("yes", "no") for s in ("ask", "bid")]
+
+    def side(outcome: str, kind: str) -> Column:
+        return F.transform(f"{outcome}_{kind}s", lambda x: F.struct(F.lit(outcome).alias("outcome"), F.lit(kind).alias("side"), x["price"].alias("price"), x["size"].alias("size")))
+
+    sides = [side(o, k) for o in ("yes", "no") for k in ("ask", "bid")]
     return books.select("venue", F.col("venue_market_id").alias("vmid"), F.explode(F.concat(*sides)).alias("x")).select("venue", "vmid", "x.*")
 
 

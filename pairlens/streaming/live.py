@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -98,9 +98,13 @@ def delta_levels(messages: DataFrame) -> DataFrame:
     """Levels of delta messages (payload, seq): prices in cents, both outcomes."""
     pairs = "array<array<double>>"
     ticker = F.get_json_object("payload", "$.msg.market_ticker")
-    sides = [F.transform(F.coalesce(F.from_json(F.get_json_object("payload", f"$.msg.{o}"), pairs), F.array().cast(pairs)), lambda x, o=o: F.struct(F.lit(o).alias("outcome"), (x[0] / 100.0).alias("price"), x[1].alias("size"))) for o in ("yes", "no")]
+
+    def side(outcome: str) -> Column:
+        raw = F.coalesce(F.from_json(F.get_json_object("payload", f"$.msg.{outcome}"), pairs), F.array().cast(pairs))
+        return F.transform(raw, lambda x: F.struct(F.lit(outcome).alias("outcome"), (x[0] / 100.0).alias("price"), x[1].alias("size")))
+
     rows = messages.where((F.get_json_object("payload", "$.type") == "orderbook_delta") & (ticker != ""))
-    return rows.select(F.lit("kalshi").alias("venue"), ticker.alias("vmid"), "seq", F.lit(-1).cast("long").alias("snapshot"), F.explode(F.concat(*sides)).alias("x")).select("venue", "vmid", "seq", "snapshot", "x.*")
+    return rows.select(F.lit("kalshi").alias("venue"), ticker.alias("vmid"), "seq", F.lit(-1).cast("long").alias("snapshot"), F.explode(F.concat(side("yes"), side("no"))).alias("x")).select("venue", "vmid", "seq", "snapshot", "x.*")
 
 
 def throttled(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], every: str = "250 milliseconds", delay: str | None = None) -> DataFrame:

@@ -1,0 +1,127 @@
+import datetime
+import json
+
+from pyspark.sql import functions as F
+
+from pairlens.functions import discovery
+from pairlens.sources import venues
+from pairlens.sources.replay import Replay
+
+NOW = datetime.datetime(2026, 3, 1)
+
+
+def payloads(spark, *items, **extra):
+    rows = [(x if isinstance(x, str) or x is None else json.dumps(x), NOW) for x in items]
+    return spark.createDataFrame(rows, "payload string, received_at timestamp")
+
+
+def test_kalshi_listing(spark):
+    page = {"markets": [
+        {"ticker": "A", "status": "active", "title": "", "subtitle": "Sub", "rules_primary": "", "rules_secondary": "Second", "close_time": "bad", "expiration_time": "2026-05-01T00:00:00Z"},
+        {"ticker": "B", "status": "settled", "title": "x"},
+        {"ticker": "XMULTIGAMEX", "status": "open", "title": "x"},
+        {"ticker": "", "status": "open"},
+        {"ticker": "C", "status": "open", "title": "Title", "rules_primary": "Rule", "close_time": "1767225600"},
+    ]}
+    rows = {r["venue_market_id"]: r for r in venues.kalshi_listing(payloads(spark, page, "junk", None, {"markets": None})).collect()}
+    assert set(rows) == {"A", "C"}
+    assert (rows["A"]["title"], rows["A"]["description"], rows["A"]["end_date"]) == ("Sub", "Second", datetime.datetime(2026, 5, 1))
+    assert rows["C"]["resolution_criteria"] == "Rule" and rows["C"]["end_date"] == datetime.datetime(2026, 1, 1)
+    assert [o["label"] for o in rows["C"]["outcomes"]] == ["Yes", "No"]
+    assert venues.kalshi_listing(payloads(spark, page), 1).count() == 1
+
+
+def test_kalshi_messages(spark):
+    def market(**m):
+        return {"type": "market_lifecycle_v2", "msg": m}
+
+    items = [
+        market(market_ticker="M1", event_type="created", close_ts=1767225600, additional_metadata={"name": "Name", "rules_primary": "R"}),
+        market(market_ticker="M2", event_type="activated"),
+        market(market_ticker="M3", event_type="settled"),
+        market(market_ticker="KXMULTIGAME1", event_type="created"),
+        {"type": "event_lifecycle", "msg": {"event_ticker": "E1", "subtitle": "S"}},
+        {"type": "subscribed"}, {"type": "error", "msg": {}}, {"channel": "markets", "data": {"event_ticker": "old"}}, "{", "",
+    ]
+    rows = {r["venue_market_id"]: r for r in venues.venue_events("kalshi", payloads(spark, *items)).collect()}
+    assert {k: (r["event_type"], r["title"]) for k, r in rows.items()} == {"M1": ("created", "Name"), "M2": ("updated", "M2"), "E1": ("created", "S")}
+    assert rows["M1"]["end_date"] == datetime.datetime(2026, 1, 1) and rows["E1"]["description"] == "S"
+
+
+def test_polymarket(spark):
+    page = [
+        {"condition_id": "c1", "question": "Q", "active": "true", "outcomes": '["Up","Down"]', "clobTokenIds": '["t1"]', "endDate": "2026-05-01T10:00:00Z"},
+        {"id": "c2", "question": "Q2", "active": True, "closed": True},
+        {"id": "c3", "question": "", "active": True},
+        {"id": "c4", "question": "Q4", "active": True, "outcomes": ["A", "B"], "clobTokenIds": ["x", "y"], "end_date_iso": "2026-05-02"},
+        {"question": "no id", "active": True},
+        {"id": "c5", "question": "idle"},
+    ]
+    for form in (page, {"data": page}):
+        rows = {r["venue_market_id"]: r for r in venues.polymarket_listing(payloads(spark, form)).collect()}
+        assert set(rows) == {"c1", "c4"}
+        assert [tuple(o) for o in rows["c1"]["outcomes"]] == [("t1", "Up"), ("", "Down")]
+        assert [tuple(o) for o in rows["c4"]["outcomes"]] == [("x", "A"), ("y", "B")]
+        assert rows["c1"]["end_date"] == datetime.datetime(2026, 5, 1, 10)
+    messages = payloads(spark, {"type": "market", "data": {"id": "m", "question": "T", "outcomes": [{"token": "a", "name": "Yes"}]}}, {"type": "market", "data": {"id": "n", "status": "resolved"}}, {"type": "price", "market": "p"}, {"type": "price"}, {"type": "other"})
+    got = {r["venue_market_id"]: (r["event_type"], r["title"]) for r in venues.polymarket_messages(messages).collect()}
+    assert got == {"m": ("created", "T"), "n": ("resolved", ""), "p": ("updated", "")}
+    assert venues.polymarket_messages(messages, prices=False).count() == 2
+    twice = venues.first_created(venues.polymarket_messages(messages).union(venues.polymarket_messages(messages)))
+    assert twice.where("event_type = 'created'").count() == 1
+
+
+def test_books(spark):
+    tops = venues.kalshi_top(payloads(spark, {"market": {"yes_bid": 40, "yes_ask": 42, "volume": 50000, "close_time": "2026-05-01T00:00:00Z"}}, {"market": {"volume": 1}}))
+    top = tops.collect()
+    assert len(top) == 1 and (top[0]["no_bid"], top[0]["no_ask"]) == (0.58, 0.6)
+    good, bad = {"orderbook": {"yes": [[40, 10], [39, 5]], "no": [[58, 7], [57, 3], [100, 1], [5, 0]]}}, {"orderbook": {"yes": [[90, 10]], "no": [[58, 7]]}}
+    books = [venues.kalshi_book(tops.withColumn("payload", F.lit(json.dumps(x)))).first() for x in (good, bad)]
+    assert [tuple(x) for x in books[0]["yes_asks"]] == [(0.42, 7.0), (0.43, 3.0)] and [tuple(x) for x in books[0]["no_asks"]] == [(0.6, 10.0), (0.61, 5.0)]
+    assert [tuple(x) for x in books[0]["yes_bids"]] == [(0.4, 10.0), (0.39, 5.0)] and books[0]["source"] == "orderbook"
+    long = venues.exploded(venues.kalshi_book(tops.withColumns({"payload": F.lit(json.dumps(good)), "venue": F.lit("kalshi"), "venue_market_id": F.lit("K")}))).collect()
+    assert ("kalshi", "K", "yes", "ask", 0.42, 7.0) in {tuple(r) for r in long} and len(long) == 8
+    assert books[1]["source"] == "top_of_book" and [tuple(x) for x in books[1]["yes_asks"]] == [(0.42, 500.0)]
+
+    book = payloads(spark, {"bids": [{"price": "0.4", "size": "5"}, {"price": "0.5", "size": "1"}, {"price": "1.5", "size": "1"}], "asks": [{"price": 0.6, "size": 2}, {"price": "x", "size": 2}]})
+    row = book.select(venues.clob_levels("bids", True).alias("b"), venues.clob_levels("asks", False).alias("a")).first()
+    assert [tuple(x) for x in row["b"]] == [(0.5, 1.0), (0.4, 5.0)] and [tuple(x) for x in row["a"]] == [(0.6, 2.0)]
+
+    level = "array<struct<price:double,size:double>>"
+    cases = [([(0.4, 5.0)], [(0.6, 2.0)], [], [], None), ([], [], [], [], [0.3, 0.7]), ([], [], [], [], None), ([], [], [(0.2, 4.0)], [(0.3, 1.0)], [0.65])]
+    got = venues.polymarket_book(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, yes_bids {level}, yes_asks {level}, no_bids {level}, no_asks {level}, prices array<double>")).collect()
+    by = {r["i"]: r for r in got}
+    assert set(by) == {0, 1, 3} and by[0]["source"] == "orderbook_partial" and [tuple(x) for x in by[0]["no_asks"]] == [(0.6, 5.0)]
+    assert by[1]["source"] == "gamma_mid" and [tuple(x) for x in by[1]["no_asks"]] == [(0.7, 100.0)]
+    assert [tuple(x) for x in by[3]["yes_asks"]] == [(0.65, 100.0)]
+
+
+def test_series_and_timeline(spark):
+    m = spark.createDataFrame([("b", "Game 2 Winner"), ("a", "game 1 winner"), ("c", "Game 2 again"), ("d", "Game 9"), ("e", "Series")], "market_id string, title string")
+    games = venues.series_games(m)
+    assert [(r["game_number"], r["market_id"]) for r in games.collect()] == [(1, "a"), (2, "b")]
+    now = venues.series_status(games, F.lit("2/5"), F.lit("InProgress")).collect()
+    assert [(r["status"], r["is_current"]) for r in now] == [("completed", False), ("inprogress", True)]
+    frame = {"events": [{"type": "CHAMPION_KILL", "timestamp": 1500, "killerId": 1, "victimId": 2}, {"type": "WARD", "timestamp": 1}]}
+    t = payloads(spark, {"info": {"frames": [frame, frame]}}).withColumns({"match_id": F.lit("m"), "game_start": F.lit(NOW)})
+    rows = venues.timeline_events(t).collect()
+    assert [(r["event_id"], r["event_timestamp"]) for r in rows] == [("m-1500-CHAMPION_KILL-1-2", NOW + datetime.timedelta(milliseconds=1500))]
+    assert venues.game_state(payloads(spark, {"slug": "s", "live": True, "period": "1/3"}, {"slug": "t"}), "s").first()["live"]
+    assert venues.resolve_market(payloads(spark, {"slug": "s", "conditionId": "z", "clobTokenIds": '["1","2"]'}, {"slug": "ss", "id": "n"}), "s").first()["no_token"] == "2"
+
+
+def test_strategies(spark):
+    rows = [("polymarket", "1", "Who wins", "", '{"category":"Esports"}'), ("polymarket", "2", "Program of games", "", None), ("polymarket", "3", "Dota final", None, None), ("kalshi", "KXLOL-1", "x", "", None), ("kalshi", "LOL-1", "x", "", None), ("other", "4", "dota", "", None)]
+    df = spark.createDataFrame(rows, "venue string, venue_market_id string, title string, description string, raw_payload string")
+    assert {r["venue_market_id"] for r in df.where(discovery.accepts("esports")).collect()} == {"1", "3", "LOL-1"}
+    assert df.where(discovery.accepts("normal")).count() == 6
+    pair = df.select("venue_market_id", discovery.esports_pair(F.col("title"), F.lit("Map 2 odds")).alias("p"), discovery.mentions(F.col("title"), ("WINS", "zzz")).alias("m")).collect()
+    assert all(r["p"] for r in pair) and [r["m"] for r in pair].count(True) == 1
+
+
+def test_replay(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"a":1}\n\n{"a":2}\n', encoding="utf-8")
+    spark.dataSource.register(Replay)
+    rows = spark.read.format("pairlens_replay").option("path", str(path)).load().collect()
+    assert [(r["seq"], r["payload"]) for r in rows] == [(0, '{"a":1}'), (2, '{"a":2}')]
