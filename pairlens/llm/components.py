@@ -47,3 +47,23 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         while not np.array_equal(label, further := label[label]):
             label = further
     return label
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The links of a minimum spanning forest over nodes 0 to n - 1, by index."""
+    order = np.lexsort((np.arange(len(a)), weight))
+    a, b = a[order], b[order]
+    label, chosen, alive = np.arange(n), [], np.arange(len(a))
+    while True:
+        x, y = label[a[alive]], label[b[alive]]
+        alive = alive[x != y]
+        if not len(alive):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        x, y = label[a[alive]], label[b[alive]]
+        # The lightest link of each tree; ranks are distinct, so these close no cycle.
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, alive)
+        np.minimum.at(best, y, alive)
+        picked = np.unique(best[best < len(a)])
+        chosen.append(picked)
+        label = local_components(n, label[a[picked]], label[b[picked]])[label]

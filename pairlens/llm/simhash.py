@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import UPPER, runs, saved
-from pairlens.llm.components import connected_components, local_components
+from pairlens.llm.components import connected_components, spanning_forest
 
 SEED = 42
 CELL_ROWS = 1024
@@ -36,8 +36,11 @@ FAN = 4
 #: The words of a sketch, and the bits in which sketches of texts with a Jaccard similarity of 0.8 differ.
 SKETCH = ("s0", "s1", "s2", "s3")
 SIMILARITY = 0.8
-#: Bits in which the fingerprints of candidates may differ where sketches confirm them.
-CANDIDATE_RADIUS = 7
+#: Bits in which a fingerprint of candidates may differ where sketches confirm them, the words of its
+#: shingles, and the fingerprints of which one must be that near.
+CANDIDATE_RADIUS, CANDIDATE_WORDS, CANDIDATE_PRINTS = 6, 2, ("fp", "fp2")
+#: Standard deviations that a sketch may be off.
+MARGIN = 1.5
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 1 << 15
 
@@ -109,14 +112,16 @@ def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _cell_links(radius: int, confirm: int | None):
-    """Rows sorted by cell to the forest of links of each cell; with ``confirm``, of those whose sketches agree."""
+    """Rows sorted by cell to a forest of links of each cell; with ``confirm``, of those whose sketches
+    agree, the nearest first."""
     small = 24
 
-    def agreeing(sketches: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def agreeing(sketches: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if confirm is None:
-            return a, b
-        apart = sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in sketches)
-        return a[apart <= confirm], b[apart <= confirm]
+            return a, b, np.zeros(len(a), np.int64)
+        apart = sum((np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in sketches), np.zeros(len(a), np.int64))
+        near = apart <= confirm
+        return a[near], b[near], apart[near]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "cell"):
@@ -127,7 +132,7 @@ def _cell_links(radius: int, confirm: int | None):
             sketches = [rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH] if confirm is not None else []
             starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
             sizes = np.diff(np.append(starts, len(cells)))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             # Small cells together: every row with the one k places further on in its cell.
             left = np.repeat(starts + sizes, sizes) - np.arange(len(cells)) - 1
             left[np.repeat(sizes > small, sizes)] = 0
@@ -139,10 +144,9 @@ def _cell_links(radius: int, confirm: int | None):
             for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
                 a, b = close_pairs(prints[s : s + n], radius)
                 found.append(agreeing(sketches, a + s, b + s))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            label = local_components(len(prints), a, b)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[x]) for x in (label[linked], linked)], names=["a", "b"])
+            a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            kept = spanning_forest(len(prints), a, b, apart)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[x[kept]]) for x in (a, b)], names=["a", "b"])
 
     return links
 
@@ -167,12 +171,14 @@ def _blocks(radius: int) -> Column:
 
 
 def close_links(prints: DataFrame, radius: int, confirm: int | None = None) -> DataFrame:
-    """Links (a, b) that connect the nodes of ``prints`` (fp, node) as all pairs within ``radius`` do.
+    """Links (a, b) that connect the nodes of ``prints`` (fp, node, and index if there are several prints
+    a node) as all pairs within ``radius`` by the same index do.
 
     With ``confirm``, pairs count only if their sketches (columns of SKETCH) differ in that many bits at most.
     """
     carried = ["fp", "node", *(SKETCH if confirm is not None else ())]
-    rows = prints.select(F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
+    first = F.col("index") if "index" in prints.columns else F.lit(0)
+    rows = prints.select(first.cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
     ready: list[DataFrame] = []
     width = 64
     while True:
@@ -212,13 +218,15 @@ def hexadecimal(prints: Column) -> Column:
     return F.lpad(F.lower(F.hex(prints)), 16, "0")
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of two sets of that Jaccard similarity differ on average."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def differing_bits(similarity: float, bits: int, margin: float = MARGIN) -> int:
+    """Bits in which fingerprints of two sets of that Jaccard similarity differ: the mean and ``margin`` deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
 
 
-def sketched(docs: DataFrame, words: int = 5, candidate_words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, h, fp, s0 to s3): a hash of the text, its fingerprint and a 256-bit SimHash of its longer shingles."""
+def sketched(docs: DataFrame, words: int = 5, candidate_words: int = CANDIDATE_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, h, fp, fp2, s0 to s3): a hash of the text, two fingerprints and a 256-bit SimHash of its longer shingles."""
+    names = [*CANDIDATE_PRINTS, *SKETCH]
     steps = (np.arange(1, len(SKETCH), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +235,14 @@ def sketched(docs: DataFrame, words: int = 5, candidate_words: int = 3, id_colum
             for text in batch.column(2):
                 raw = text.as_py() or b""
                 hashes = shingle_hashes(raw, words)
-                rows.append([majority_bits(shingle_hashes(raw, candidate_words)), majority_bits(hashes), *(majority_bits(_mixed(hashes, s)) for s in steps)])
-            columns = np.array(rows, np.uint64).reshape(-1, 1 + len(SKETCH)).T.copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["doc_id", "h", "fp", *SKETCH])
+                short = shingle_hashes(raw, candidate_words)
+                rows.append([majority_bits(short), majority_bits(_mixed(short, steps[0])), majority_bits(hashes), *(majority_bits(_mixed(hashes, s)) for s in steps)])
+            columns = np.array(rows, np.uint64).reshape(-1, len(names)).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["doc_id", "h", *names])
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long"), F.xxhash64(text), text.cast("binary"))
-    return rows.mapInArrow(hash_, "doc_id long, h long, fp long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return rows.mapInArrow(hash_, "doc_id long, h long, " + ", ".join(f"{s} long" for s in names))
 
 
 def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
@@ -244,24 +253,59 @@ def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def verified_links(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose ``texts`` (node, text as bytes) have that exact Jaccard similarity of shingles, or more.
+
+    Links are a forest, so no more than nodes; a hub's shingles go along with each of its links.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = saved(texts.mapInArrow(shingles, "node long, shingles binary"), "simhash-shingles")
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with one document of each group of near copies: the one with the smallest id.
 
-    Candidates are within ``radius`` bits by shingles of three words; a pair counts if the
-    256-bit sketches of its ``words``-word shingles say that ``similarity`` is reached.
+    Candidates are within ``radius`` bits by one of two fingerprints of two-word shingles, and
+    their 256-bit sketches of ``words``-word shingles allow for ``similarity``.  Cells hand on
+    the nearest candidates as forests; a link counts if the exact Jaccard similarity of the
+    shingle sets reaches ``similarity``, so every group is held together by such links.
     """
     rows = saved(sketched(docs, words, id_column=id_column, text_column=text_column), "simhash-sketches")
-    tuple_ = ["fp", *SKETCH]
-    classes = rows.groupBy(*tuple_).agg(F.min("doc_id").alias("first"))
+    tuple_ = [*CANDIDATE_PRINTS, *SKETCH]
+    classes = rows.groupBy(*tuple_).agg(F.min(F.struct("doc_id", "h")).alias("first"))
     # Ids are fixed by the write, whatever is computed again later on.
-    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "simhash-classes")
-    labels = connected_components(close_links(classes, radius, differing_bits(similarity, 64 * len(SKETCH))))
+    classes = saved(classes.select(*tuple_, F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
+    prints = [classes.select(F.lit(i).alias("index"), F.col(c).alias("fp"), "node", *SKETCH) for i, c in enumerate(CANDIDATE_PRINTS)]
+    near = close_links(prints[0].union(prints[1]), radius, differing_bits(similarity, 64 * len(SKETCH)))
+    links = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    marked = docs.withColumns({"_id": F.col(id_column).cast("long"), "_h": F.xxhash64(text)})
+    named = saved(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(classes, "node").select("node", "first", "first_h"), "simhash-named")
+    same = F.col("_id").eqNullSafe(F.col("n.first")) & (F.col("_h") == F.col("n.first_h"))
+    texts = marked.select("_id", "_h", text.alias("_text")).join(named.alias("n"), same).groupBy("node").agg(F.min("_text").cast("binary").alias("text"))
+    labels = connected_components(verified_links(links, texts, words, similarity))
+
     linked = classes.join(labels, "node")
     smallest = saved(linked.groupBy("rep").agg(F.min("first").alias("keep_id")), "simhash-smallest")
     linked = linked.join(smallest, "rep").select("node", "keep_id")
     kept = saved(classes.join(saved(linked, "simhash-linked"), "node", "left").select(*tuple_, F.coalesce("keep_id", "first").alias("keep_id")), "simhash-kept")
     gone = rows.join(kept, tuple_).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("h").alias("gone_h"))
     gone = saved(gone, "simhash-gone")
-    h = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    marked = docs.withColumns({"_id": F.col(id_column).cast("long"), "_h": h})
     return marked.join(gone.alias("g"), F.col("_id").eqNullSafe(F.col("g.doc_id")) & (F.col("_h") == F.col("g.gone_h")), "left_anti").drop("_id", "_h")

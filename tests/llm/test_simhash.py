@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pairlens.llm import simhash
-from pairlens.llm.components import connected_components, local_components
+from pairlens.llm.components import connected_components, local_components, spanning_forest
 
 
 def brute_fingerprint(text, k):
@@ -98,3 +98,50 @@ def test_components_of_chains_and_hubs(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(31)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows, near, distinct = [], [], []
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([60, 200, 600]))]
+        rows.append((10 * k, " ".join(words)))
+        distinct.append(10 * k)
+        for j in range(1, 3):
+            # A changed word takes five shingles of each side: the similarity stays above 0.85.
+            copy = list(words)
+            for _ in range(max(1, len(words) // 120)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((10 * k + j, " ".join(copy)))
+            near.append(10 * k + j)
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "One  two"), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", F.lit(1)).withColumn("fp", F.lit(2)).withColumnRenamed("_h", "h")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(distinct) <= set(ids) and len(set(near) & set(ids)) <= 0.1 * len(near)
+    assert 5000 in ids and 5001 not in ids and 5002 in ids and 5003 not in ids
+    assert simhash.drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_spanning_forest_is_minimal():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n, m = int(rng.integers(2, 20)), int(rng.integers(0, 60))
+        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        got = spanning_forest(n, a, b, w)
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        total = edges = 0
+        for i in np.argsort(w, kind="stable"):
+            x, y = root(a[i]), root(b[i])
+            if x != y:
+                parent[x], total, edges = y, total + w[i], edges + 1
+        assert w[got].sum() == total and len(got) == edges
+        assert len(set(local_components(n, a[got], b[got]).tolist())) == n - edges
