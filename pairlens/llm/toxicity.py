@@ -153,7 +153,7 @@ def learned_lexicon(sample: DataFrame, rows: dict[int, int]) -> dict[str, float]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for entry in {e for w in set(_WORD.findall((text or "").lower())) if len(w) >= STEMS[0] for e in entries_of(w)}:
                     found.setdefault(entry, [0, 0])[toxic] += 1
-            # Entries that only other rows have are of no use once they are this many.
+            # Handed on in parts, so that memory stays bounded.
             if len(found) > 2_000_000:
                 yield _counted(found)
                 found = {}
@@ -227,20 +227,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return model
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
-    """The columns of ``carry`` with ``toxicity``, for every row of ``docs``."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", name: str = "toxicity") -> DataFrame:
+    """The columns of ``carry`` with the score as ``name``, for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 scores = model.score(model.matrix([t or "" for t in piece.column(piece.num_columns - 1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(scores)], names=[*piece.schema.names[:-1], "toxicity"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(scores)], names=[*piece.schema.names[:-1], name])
 
     kept = docs.select(*carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_text")
-    return docs.select(*carry, text).mapInArrow(run, f"{schema}, toxicity double")
+    return docs.select(*carry, text).mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

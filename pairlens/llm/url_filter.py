@@ -3,7 +3,7 @@
 A listed entry is a host (it fits its subdomains) and a path prefix.  Entries are hashed
 into a blocked Bloom filter: a key sets PROBES bits of one 64-bit block, so a test reads
 one word.  A URL is tested at each (labels of the host, length of the path) that the list
-uses; possible hits go on to an exact hash join, which removes false positives.  The
+uses, a set that the limits on hosts and URLs bound; possible hits go on to an exact hash join, which removes false positives.  The
 longest entry decides; a URL that none fits is allowed.
 
 Defined results: a null URL or one without ``://`` has empty host and path; hosts and
