@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,29 @@ def extracted(texts: DataFrame, narrow_names: bool = False) -> DataFrame:
     ).drop("canonical_text")
 
 
+#: Below this confidence a fallback is asked, and what it gives back is trusted this far.
+ASK_BELOW, FALLBACK_CONFIDENCE = 0.7, 0.9
+
+
+def with_fallback(specs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]] | None = None) -> DataFrame:
+    """Specs whose unsure rows get their thresholds from a model (statement in, thresholds out); off without one.
+
+    Sure rows never reach the model: they are split off before it runs.
+    """
+    if load is None:
+        return specs
+
+    @F.pandas_udf(f"array<{extract.THRESHOLD}>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(model([s or "" for s in batch]))
+
+    unsure = specs.where(F.col("confidence") < ASK_BELOW)
+    asked = unsure.withColumns({"thresholds": ask(F.col("statement")), "confidence": F.lit(FALLBACK_CONFIDENCE)})
+    return specs.where(F.col("confidence") >= ASK_BELOW).unionByName(asked)
+
+
 def verified(pairs: DataFrame, settings: Settings = Settings(), aliases: dict[str, tuple[str, ...]] | None = None, esports: bool = False) -> DataFrame:
     """``pairs``: market_a_id, market_b_id, score, and for both sides <field>_a, <field>_b of the specs.
 
