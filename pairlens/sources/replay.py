@@ -1,7 +1,7 @@
 """A data source that replays recorded messages, one JSON text a line: batch and streaming.
 
 ``spark.dataSource.register(Replay)`` and ``spark.read.format("pairlens_replay").load(path)``.
-Lines that are blank are left out; a stream hands out new lines in order and resumes from
+The file must be visible where tasks run. Lines that are blank are left out; a stream hands out new lines in order and resumes from
 its checkpoint, which replaces reconnecting.
 """
 
