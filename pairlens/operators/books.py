@@ -1,9 +1,11 @@
 """Orderbook depth, profit curves, capital ladders and ranked opportunities.
 
 Books are worked on in long form: one row per level.  Cumulative schedules are windows in
-order of price.  A quantity lies in exactly one segment of a schedule, found by an equality
-join on the book and a range condition.  Money is turned into quantity exactly: total
-outlay is piecewise linear between the knots of both books.
+order of price.  A quantity lies in exactly one segment of a schedule.  Both schedules of a
+key are folded into lists (as long as a book is deep) that keep the windows' partitioning,
+so curves and ladders read each book once and need no further shuffle; quantities of another
+table meet schedules by an equality join and a range condition.  Money is turned into
+quantity exactly: total outlay is piecewise linear between the knots of both books.
 """
 
 from __future__ import annotations
@@ -41,10 +43,29 @@ def interpolated(points: DataFrame, segments: DataFrame, keys: Sequence[str], pr
     return joined.select(*points.columns, *[v.alias(k) for k, v in values.items()])
 
 
-def depths(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The quantity that both books of a key can fill."""
-    top_a, top_b = (s.groupBy(*keys).agg(F.max("cum_qty").alias(n)) for s, n in ((a, "qty_a"), (b, "qty_b")))
-    return top_a.join(top_b, list(keys)).select(*keys, F.least("qty_a", "qty_b").alias("max_qty"))
+_SEGMENT = ("prev_qty", "cum_qty", "prev_cost", "cum_cost", "prev_fee", "cum_fee")
+
+
+def folded(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both schedules of each key as lists a and b, and the quantity that both can fill."""
+    lists = [s.groupBy(*keys).agg(F.collect_list(F.struct(*_SEGMENT)).alias(n), F.max("cum_qty").alias(f"_{n}")) for s, n in ((a, "a"), (b, "b"))]
+    return lists[0].join(lists[1], list(keys)).select(*keys, "a", "b", F.least("_a", "_b").alias("max_qty"))
+
+
+def valued(points: DataFrame) -> DataFrame:
+    """``points`` (a, b, q and others) with the cost and fee of q contracts of both sides in place of the lists."""
+    rest = [c for c in points.columns if c not in ("a", "b")]
+
+    def segment(name: str) -> Column:
+        return F.get(F.filter(name, lambda s: (F.col("q") > s["prev_qty"]) & (F.col("q") <= s["cum_qty"])), F.lit(0)).alias(f"_{name}")
+
+    def value(name: str, what: str) -> Column:
+        s = F.col(f"_{name}")
+        share = (F.col("q") - s["prev_qty"]) / (s["cum_qty"] - s["prev_qty"])
+        return (s[f"prev_{what}"] + share * (s[f"cum_{what}"] - s[f"prev_{what}"])).alias(f"{name}_{what}")
+
+    found = points.select(*rest, segment("a"), segment("b"))
+    return found.select(*rest, *[value(n, w) for n in "ab" for w in ("cost", "fee")])
 
 
 def outcome(points: DataFrame, digits: tuple[int, int, int] = (2, 4, 2)) -> DataFrame:
@@ -63,9 +84,9 @@ def outcome(points: DataFrame, digits: tuple[int, int, int] = (2, 4, 2)) -> Data
 
 def pnl_curve(a: DataFrame, b: DataFrame, keys: Sequence[str], settings: Settings = Settings(), digits: tuple[int, int, int] = (2, 4, 2)) -> DataFrame:
     """Profit at evenly spaced quantities up to what both books can fill (keys, step, ...)."""
-    points = depths(a, b, keys).where("max_qty > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(settings.curve_steps))))
-    points = points.select(*keys, "step", (F.col("max_qty") * F.col("step") / settings.curve_steps).alias("q"))
-    return outcome(interpolated(interpolated(points, a, keys, "a"), b, keys, "b"), digits).drop("q")
+    points = folded(a, b, keys).where("max_qty > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(settings.curve_steps))))
+    points = points.select(*keys, "a", "b", "step", (F.col("max_qty") * F.col("step") / settings.curve_steps).alias("q"))
+    return outcome(valued(points), digits).drop("q")
 
 
 def optimal_size(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,13 +109,11 @@ def diminishing_returns(curve: DataFrame, keys: Sequence[str], shares: tuple[int
 
 def outlay_segments(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total outlay between neighbouring knots of both books: q0, q1, out0, out1 and the key's max_out."""
-    limit = depths(a, b, keys)
-    knots = a.select(*keys, F.col("cum_qty").alias("q")).union(b.select(*keys, F.col("cum_qty").alias("q"))).distinct()
-    knots = knots.join(limit, list(keys)).where("q <= max_qty").select(*keys, "q", "max_qty")
-    valued = interpolated(interpolated(knots, a, keys, "a"), b, keys, "b")
+    knots = F.array_distinct(F.concat(F.transform("a", lambda s: s["cum_qty"]), F.transform("b", lambda s: s["cum_qty"])))
+    points = folded(a, b, keys).withColumn("q", F.explode(F.filter(knots, lambda q: q <= F.col("max_qty"))))
     out = F.col("a_cost") + F.col("b_cost") + F.col("a_fee") + F.col("b_fee")
     return (
-        valued.select(*keys, "max_qty", F.col("q").alias("q1"), out.alias("out1"))
+        valued(points).select(*keys, "max_qty", F.col("q").alias("q1"), out.alias("out1"))
         .withColumn("q0", F.lag("q1", 1, 0.0).over(W.partitionBy(*keys).orderBy("q1")))
         .withColumn("out0", F.lag("out1", 1, 0.0).over(W.partitionBy(*keys).orderBy("q1")))
         .withColumn("max_out", F.max("out1").over(W.partitionBy(*keys)))

@@ -56,6 +56,13 @@ def test_curve_equals_level_walk(market):
         assert r["guaranteed_profit"] == pytest.approx(r["quantity"] - r["total_cost"], abs=1e-5)
 
 
+def test_quantities_of_another_table_meet_schedules(market):
+    pairs, sched = market
+    points = sched[0].select("k", (F.col("cum_qty") - 0.5).alias("q")).union(sched[0].select("k", "cum_qty"))
+    for r in books.interpolated(points, sched[0], ["k"], "a").collect():
+        assert r["a_cost"] == pytest.approx(cost(pairs[r["k"]][0], 0.0, r["q"]), abs=1e-6) and r["a_fee"] == 0.0
+
+
 def test_budget_equals_bisection(market):
     pairs, sched = market
     got = {r["k"]: r for r in books.budget_point(*sched, ["k"], 100.0, (6, 6, 6)).collect()}
