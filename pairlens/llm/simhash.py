@@ -36,6 +36,9 @@ FAN = 4
 #: The words of a sketch, and the bits in which sketches of texts with a Jaccard similarity of 0.8 differ.
 SKETCH = ("s0", "s1", "s2", "s3")
 SIMILARITY = 0.8
+#: Members of a cell where sketches confirm candidates: refining costs one row a block and level,
+#: which a dense group of near copies pays many times over, a larger cell only pairs within a task.
+CONFIRMED_CELL_ROWS = 2048
 #: Bits in which a fingerprint of candidates may differ where sketches confirm them, the words of its
 #: shingles, and the fingerprints of which one must be that near.
 CANDIDATE_RADIUS, CANDIDATE_WORDS, CANDIDATE_PRINTS = 6, 2, ("fp", "fp2")
@@ -170,12 +173,13 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*found))
 
 
-def close_links(prints: DataFrame, radius: int, confirm: int | None = None) -> DataFrame:
+def close_links(prints: DataFrame, radius: int, confirm: int | None = None, cell_rows: int | None = None) -> DataFrame:
     """Links (a, b) that connect the nodes of ``prints`` (fp, node, and index if there are several prints
     a node) as all pairs within ``radius`` by the same index do.
 
     With ``confirm``, pairs count only if their sketches (columns of SKETCH) differ in that many bits at most.
     """
+    most = cell_rows or CELL_ROWS
     carried = ["fp", "node", *(SKETCH if confirm is not None else ())]
     first = F.col("index") if "index" in prints.columns else F.lit(0)
     rows = prints.select(first.cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
@@ -183,10 +187,10 @@ def close_links(prints: DataFrame, radius: int, confirm: int | None = None) -> D
     width = 64
     while True:
         rows = saved(rows.select(_blocks(radius).alias("c"), *carried).select("c.*", *carried), "simhash-cells")
-        # A cell below this width has fewer than CELL_ROWS distinct members.
+        # A cell below this width has no more distinct members than that.
         width -= width // (radius + 1)
-        heavy = saved(rows.groupBy("cell").count().where(F.col("count") > CELL_ROWS).select("cell"), "simhash-heavy")
-        if (1 << width) <= CELL_ROWS or width <= radius + 1 or heavy.isEmpty():
+        heavy = saved(rows.groupBy("cell").count().where(F.col("count") > most).select("cell"), "simhash-heavy")
+        if (1 << width) <= most or width <= radius + 1 or heavy.isEmpty():
             ready.append(rows)
             break
         ready.append(rows.join(heavy, "cell", "left_anti"))
@@ -292,7 +296,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILA
     # Ids are fixed by the write, whatever is computed again later on.
     classes = saved(classes.select(*tuple_, F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
     prints = [classes.select(F.lit(i).alias("index"), F.col(c).alias("fp"), "node", *SKETCH) for i, c in enumerate(CANDIDATE_PRINTS)]
-    near = close_links(prints[0].union(prints[1]), radius, differing_bits(similarity, 64 * len(SKETCH)))
+    near = close_links(prints[0].union(prints[1]), radius, differing_bits(similarity, 64 * len(SKETCH)), CONFIRMED_CELL_ROWS)
     links = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
