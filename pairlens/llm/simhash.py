@@ -36,6 +36,8 @@ FAN = 4
 #: The words of a sketch, and the bits in which sketches of texts with a Jaccard similarity of 0.8 differ.
 SKETCH = ("s0", "s1", "s2", "s3")
 SIMILARITY = 0.8
+#: The two halves of a hash of a document's set of shingles.
+SET_KEY = ("k0", "k1")
 #: Members of a cell where sketches confirm candidates: refining costs one row a block and level,
 #: which a dense group of near copies pays many times over, a larger cell only pairs within a task.
 CONFIRMED_CELL_ROWS = 2048
@@ -229,8 +231,9 @@ def differing_bits(similarity: float, bits: int, margin: float = MARGIN) -> int:
 
 
 def sketched(docs: DataFrame, words: int = 5, candidate_words: int = CANDIDATE_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, h, fp, fp2, s0 to s3): a hash of the text, two fingerprints and a 256-bit SimHash of its longer shingles."""
-    names = [*CANDIDATE_PRINTS, *SKETCH]
+    """(doc_id, h, fp, fp2, s0 to s3, k0, k1): a hash of the text, two fingerprints and a 256-bit SimHash of its
+    distinct longer shingles, and a 128-bit hash of their set."""
+    names = [*CANDIDATE_PRINTS, *SKETCH, *SET_KEY]
     steps = (np.arange(1, len(SKETCH), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +241,10 @@ def sketched(docs: DataFrame, words: int = 5, candidate_words: int = CANDIDATE_W
             rows = []
             for text in batch.column(2):
                 raw = text.as_py() or b""
-                hashes = shingle_hashes(raw, words)
-                short = shingle_hashes(raw, candidate_words)
-                rows.append([majority_bits(short), majority_bits(_mixed(short, steps[0])), majority_bits(hashes), *(majority_bits(_mixed(hashes, s)) for s in steps)])
+                hashes = np.unique(shingle_hashes(raw, words))
+                short = np.unique(shingle_hashes(raw, candidate_words))
+                key = xxhash.xxh3_128_intdigest(hashes.tobytes(), SEED)
+                rows.append([majority_bits(short), majority_bits(_mixed(short, steps[0])), majority_bits(hashes), *(majority_bits(_mixed(hashes, s)) for s in steps), key >> 64, key & (1 << 64) - 1])
             columns = np.array(rows, np.uint64).reshape(-1, len(names)).T.copy().view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["doc_id", "h", *names])
 
@@ -291,10 +295,12 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILA
     shingle sets reaches ``similarity``, so every group is held together by such links.
     """
     rows = saved(sketched(docs, words, id_column=id_column, text_column=text_column), "simhash-sketches")
-    tuple_ = [*CANDIDATE_PRINTS, *SKETCH]
-    classes = rows.groupBy(*tuple_).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    # Documents of a class have one set of shingles; all others meet the exact check.
+    tuple_ = [*SET_KEY]
+    carried = [F.first(c).alias(c) for c in (*CANDIDATE_PRINTS, *SKETCH)]
+    classes = rows.groupBy(*tuple_).agg(F.min(F.struct("doc_id", "h")).alias("first"), *carried)
     # Ids are fixed by the write, whatever is computed again later on.
-    classes = saved(classes.select(*tuple_, F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
+    classes = saved(classes.select(*tuple_, *CANDIDATE_PRINTS, *SKETCH, F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
     prints = [classes.select(F.lit(i).alias("index"), F.col(c).alias("fp"), "node", *SKETCH) for i, c in enumerate(CANDIDATE_PRINTS)]
     near = close_links(prints[0].union(prints[1]), radius, differing_bits(similarity, 64 * len(SKETCH)), CONFIRMED_CELL_ROWS)
     links = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")

@@ -145,3 +145,12 @@ def test_spanning_forest_is_minimal():
                 parent[x], total, edges = y, total + w[i], edges + 1
         assert w[got].sum() == total and len(got) == edges
         assert len(set(local_components(n, a[got], b[got]).tolist())) == n - edges
+
+
+def test_documents_that_share_a_frequent_line_stay(spark):
+    rng = random.Random(8)
+    line = " ".join(f"l{i}" for i in range(9))
+    rows = [(i, " ".join([line] * 40 + [f"own{rng.randrange(10**9)}" for _ in range(30)])) for i in range(6)]
+    rows += [(10 + i, " ".join(["same"] * 60 + [f"own{rng.randrange(10**9)}" for _ in range(40)])) for i in range(6)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, _ in rows]
