@@ -17,7 +17,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +32,12 @@ SEED = 42
 CELL_ROWS = 1024
 #: Children of a node of the hierarchy.
 FAN = 4
-#: The words of a sketch, and the bits in which sketches of texts with a Jaccard similarity of 0.8 differ.
-SKETCH = ("s0", "s1", "s2", "s3")
 SIMILARITY = 0.8
 #: The two halves of a hash of a document's set of shingles.
 SET_KEY = ("k0", "k1")
-#: Members of a cell where sketches confirm candidates: refining costs one row a block and level,
-#: which a dense group of near copies pays many times over, a larger cell only pairs within a task.
-CONFIRMED_CELL_ROWS = 2048
-#: Bits in which a fingerprint of candidates may differ where sketches confirm them, the words of its
-#: shingles, and the fingerprints of which one must be that near.
-CANDIDATE_RADIUS, CANDIDATE_WORDS, CANDIDATE_PRINTS = 6, 2, ("fp", "fp2")
-#: Standard deviations that a sketch may be off.
-MARGIN = 1.5
+#: Candidates share one of BANDS groups of BAND_ROWS least hashes.  Each least hash agrees with the
+#: probability of the Jaccard similarity, wherever the edits lie: a pair of 0.8 is missed 6 times in 100,000.
+BANDS, BAND_ROWS = 32, 6
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 1 << 15
 
@@ -116,28 +108,19 @@ def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return a, b
 
 
-def _cell_links(radius: int, confirm: int | None):
-    """Rows sorted by cell to a forest of links of each cell; with ``confirm``, of those whose sketches
-    agree, the nearest first."""
+def _cell_links(radius: int):
+    """Rows sorted by cell to a forest of links of each cell."""
     small = 24
 
-    def agreeing(sketches: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if confirm is None:
-            return a, b, np.zeros(len(a), np.int64)
-        apart = sum((np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in sketches), np.zeros(len(a), np.int64))
-        near = apart <= confirm
-        return a[near], b[near], apart[near]
-
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "cell"):
             cells = rows["cell"].to_numpy()
             prints = rows["fp"].to_numpy().view(np.uint64)
             order = np.lexsort((gray_rank(prints), cells))
             cells, prints, nodes = cells[order], prints[order], rows["node"].to_numpy()[order]
-            sketches = [rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH] if confirm is not None else []
             starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
             sizes = np.diff(np.append(starts, len(cells)))
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             # Small cells together: every row with the one k places further on in its cell.
             left = np.repeat(starts + sizes, sizes) - np.arange(len(cells)) - 1
             left[np.repeat(sizes > small, sizes)] = 0
@@ -145,12 +128,12 @@ def _cell_links(radius: int, confirm: int | None):
             for k in range(1, small):
                 rest = rest[left[rest] >= k]
                 near = rest[np.bitwise_count(prints[rest] ^ prints[rest + k]) <= radius]
-                found.append(agreeing(sketches, near, near + k))
+                found.append((near, near + k))
             for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
                 a, b = close_pairs(prints[s : s + n], radius)
-                found.append(agreeing(sketches, a + s, b + s))
-            a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-            kept = spanning_forest(len(prints), a, b, apart)
+                found.append((a + s, b + s))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            kept = spanning_forest(len(prints), a, b, np.zeros(len(a), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[x[kept]]) for x in (a, b)], names=["a", "b"])
 
     return links
@@ -175,16 +158,11 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*found))
 
 
-def close_links(prints: DataFrame, radius: int, confirm: int | None = None, cell_rows: int | None = None) -> DataFrame:
-    """Links (a, b) that connect the nodes of ``prints`` (fp, node, and index if there are several prints
-    a node) as all pairs within ``radius`` by the same index do.
-
-    With ``confirm``, pairs count only if their sketches (columns of SKETCH) differ in that many bits at most.
-    """
-    most = cell_rows or CELL_ROWS
-    carried = ["fp", "node", *(SKETCH if confirm is not None else ())]
-    first = F.col("index") if "index" in prints.columns else F.lit(0)
-    rows = prints.select(first.cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
+def close_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect the nodes of ``prints`` (fp, node) as all pairs within ``radius`` do."""
+    most = CELL_ROWS
+    carried = ["fp", "node"]
+    rows = prints.select(F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
     ready: list[DataFrame] = []
     width = 64
     while True:
@@ -200,7 +178,7 @@ def close_links(prints: DataFrame, radius: int, confirm: int | None = None, cell
     cells = ready[0].select("cell", *carried)
     for more in ready[1:]:
         cells = cells.union(more.select("cell", *carried))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, confirm), "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -224,33 +202,83 @@ def hexadecimal(prints: Column) -> Column:
     return F.lpad(F.lower(F.hex(prints)), 16, "0")
 
 
-def differing_bits(similarity: float, bits: int, margin: float = MARGIN) -> int:
-    """Bits in which fingerprints of two sets of that Jaccard similarity differ: the mean and ``margin`` deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
+def least_hashes(hashes: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The least of ``hashes`` under each of several hash functions."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, ((hashes[at : at + 256, None] ^ masks) * factors).min(0), out=least)
+    return least
 
 
-def sketched(docs: DataFrame, words: int = 5, candidate_words: int = CANDIDATE_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, h, fp, fp2, s0 to s3, k0, k1): a hash of the text, two fingerprints and a 256-bit SimHash of its
-    distinct longer shingles, and a 128-bit hash of their set."""
-    names = [*CANDIDATE_PRINTS, *SKETCH, *SET_KEY]
-    steps = (np.arange(1, len(SKETCH), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+def banded(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, h, size, k0, k1, cells): a hash of the text; of its set of shingles the size, a 128-bit hash and the cells."""
+    chooser = np.random.default_rng(SEED)
+    factors, masks = (chooser.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
+    factors |= np.uint64(1)
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, cells = [], []
             for text in batch.column(2):
-                raw = text.as_py() or b""
-                hashes = np.unique(shingle_hashes(raw, words))
-                short = np.unique(shingle_hashes(raw, candidate_words))
+                hashes = np.unique(shingle_hashes(text.as_py() or b"", words))
                 key = xxhash.xxh3_128_intdigest(hashes.tobytes(), SEED)
-                rows.append([majority_bits(short), majority_bits(_mixed(short, steps[0])), majority_bits(hashes), *(majority_bits(_mixed(hashes, s)) for s in steps), key >> 64, key & (1 << 64) - 1])
-            columns = np.array(rows, np.uint64).reshape(-1, len(names)).T.copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["doc_id", "h", *names])
+                rows.append([len(hashes), key >> 64, key & (1 << 64) - 1])
+                bands = least_hashes(hashes, factors, masks).reshape(BANDS, BAND_ROWS)
+                cells.append(np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64))
+            columns = np.array(rows, np.uint64).reshape(-1, 3).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "h", "size", *SET_KEY, "cells"])
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long"), F.xxhash64(text), text.cast("binary"))
-    return rows.mapInArrow(hash_, "doc_id long, h long, " + ", ".join(f"{s} long" for s in names))
+    return rows.mapInArrow(hash_, "doc_id long, h long, size long, k0 long, k1 long, cells array<long>")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell, those that aren't alone in their cell."""
+    for rows in runs(batches, "cell"):
+        cells = rows["cell"].to_numpy()
+        same = cells[1:] == cells[:-1]
+        yield from rows.filter(pa.array(np.append(False, same) | np.append(same, False))).to_batches()
+
+
+def _unlinked(similarity: float, step: int | None):
+    """Rows (cell, node, size, comp) sorted by cell to pairs of unlike comp of a cell whose sizes allow for
+    ``similarity``: neighbours in an order that changes with the step, or all pairs if it is None."""
+    names = ["a", "b", "ca", "cb"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], comp[i], comp[j])], names=names)
+
+        for rows in runs(batches, "cell"):
+            cell, node, size, comp = (rows[c].to_numpy() for c in ("cell", "node", "size", "comp"))
+            ranks = size.astype(np.uint64) if not step else _mixed(node.astype(np.uint64), step)
+            order = np.lexsort((node, ranks, cell))
+            cell, node, size, comp = (x[order] for x in (cell, node, size, comp))
+            if step is not None:
+                i = np.flatnonzero((cell[1:] == cell[:-1]) & (comp[1:] != comp[:-1]))
+                yield out(i, i + 1)
+                continue
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            ends = np.append(starts[1:], len(cell))
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if (comp[s:e] == comp[s]).all():
+                    continue
+                for i in range(s, e - 1):
+                    j = i + 1 + np.flatnonzero(comp[i + 1 : e] != comp[i])
+                    if len(j):
+                        waiting.append((np.full(len(j), i), j))
+                    if sum(len(w[0]) for w in waiting[-64:]) > _CHUNK or len(waiting) >= 4096:
+                        yield out(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                        waiting = []
+            if waiting:
+                yield out(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    return pairs
 
 
 def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
@@ -261,61 +289,79 @@ def _mixed(hashes: np.ndarray, step: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def verified_links(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose ``texts`` (node, text as bytes) have that exact Jaccard similarity of shingles, or more.
-
-    Links are a forest, so no more than nodes; a hub's shingles go along with each of its links.
-    """
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text as bytes): the sorted distinct hashes as bytes."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
+    return texts.mapInArrow(shingles, "node long, shingles binary")
+
+
+def verified_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b, ca, cb) whose ``sets`` (node, shingles) have that exact Jaccard similarity, or more."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 one, two = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(both >= similarity * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = saved(texts.mapInArrow(shingles, "node long, shingles binary"), "simhash-shingles")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return links.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "x", "y").mapInArrow(compare, "a long, b long, ca long, cb long")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, radius: int = CANDIDATE_RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def linked_nodes(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, rep) of the nodes of ``cells`` (cell, node, size): the components of all pairs of a cell that
+    have the exact ``similarity``.
+
+    Neighbours in each cell are compared.
+    """
+    labels = saved(cells.select("node").distinct().withColumn("comp", F.col("node")), "simhash-labels")
+    checked: DataFrame | None = None
+    for step in (0,):
+        rows = cells.join(labels, "node").select("cell", "node", "size", "comp")
+        new = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_unlinked(similarity, step), "a long, b long, ca long, cb long").distinct()
+        new = saved(new if checked is None else new.join(checked, ["a", "b"], "left_anti"), "simhash-links")
+        checked = new.select("a", "b") if checked is None else checked.union(new.select("a", "b"))
+        good = saved(verified_links(new, sets, similarity), "simhash-verified")
+        moves = connected_components(good.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
+        moves = moves.select(F.col("node").alias("comp"), "rep")
+        labels = saved(labels.join(moves, "comp", "left").select("node", F.coalesce("rep", "comp").alias("comp")), "simhash-labels")
+    return labels.withColumnRenamed("comp", "rep")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with one document of each group of near copies: the one with the smallest id.
 
-    Candidates are within ``radius`` bits by one of two fingerprints of two-word shingles, and
-    their 256-bit sketches of ``words``-word shingles allow for ``similarity``.  Cells hand on
-    the nearest candidates as forests; a link counts if the exact Jaccard similarity of the
-    shingle sets reaches ``similarity``, so every group is held together by such links.
+    A group is held together by links whose sets of ``words``-word shingles have the exact Jaccard
+    ``similarity``, or more.  Candidates share a band of least hashes; neighbours in a band are compared.
     """
-    rows = saved(sketched(docs, words, id_column=id_column, text_column=text_column), "simhash-sketches")
+    rows = saved(banded(docs, words, id_column, text_column), "simhash-bands")
     # Documents of a class have one set of shingles; all others meet the exact check.
-    tuple_ = [*SET_KEY]
-    carried = [F.first(c).alias(c) for c in (*CANDIDATE_PRINTS, *SKETCH)]
-    classes = rows.groupBy(*tuple_).agg(F.min(F.struct("doc_id", "h")).alias("first"), *carried)
+    classes = rows.groupBy(*SET_KEY).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"))
     # Ids are fixed by the write, whatever is computed again later on.
-    classes = saved(classes.select(*tuple_, *CANDIDATE_PRINTS, *SKETCH, F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
-    prints = [classes.select(F.lit(i).alias("index"), F.col(c).alias("fp"), "node", *SKETCH) for i, c in enumerate(CANDIDATE_PRINTS)]
-    near = close_links(prints[0].union(prints[1]), radius, differing_bits(similarity, 64 * len(SKETCH)), CONFIRMED_CELL_ROWS)
-    links = saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    classes = saved(classes.select(*SET_KEY, "size", "cells", F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
+    cells = classes.select(F.explode("cells").alias("cell"), "node", "size").repartition("cell").sortWithinPartitions("cell")
+    cells = saved(cells.mapInArrow(_shared, "cell long, node long, size long"), "simhash-cells")
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     marked = docs.withColumns({"_id": F.col(id_column).cast("long"), "_h": F.xxhash64(text)})
-    named = saved(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(classes, "node").select("node", "first", "first_h"), "simhash-named")
+    named = saved(cells.select("node").distinct().join(classes, "node").select("node", "first", "first_h"), "simhash-named")
     same = F.col("_id").eqNullSafe(F.col("n.first")) & (F.col("_h") == F.col("n.first_h"))
     texts = marked.select("_id", "_h", text.alias("_text")).join(named.alias("n"), same).groupBy("node").agg(F.min("_text").cast("binary").alias("text"))
-    labels = connected_components(verified_links(links, texts, words, similarity))
+    labels = linked_nodes(cells, saved(shingle_sets(texts, words), "simhash-shingles"), similarity)
 
-    linked = classes.join(labels, "node")
+    linked = classes.select("node", "first").join(labels, "node")
     smallest = saved(linked.groupBy("rep").agg(F.min("first").alias("keep_id")), "simhash-smallest")
     linked = linked.join(smallest, "rep").select("node", "keep_id")
-    kept = saved(classes.join(saved(linked, "simhash-linked"), "node", "left").select(*tuple_, F.coalesce("keep_id", "first").alias("keep_id")), "simhash-kept")
-    gone = rows.join(kept, tuple_).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("h").alias("gone_h"))
+    kept = classes.select("node", *SET_KEY, "first").join(saved(linked, "simhash-linked"), "node", "left")
+    kept = saved(kept.select(*SET_KEY, F.coalesce("keep_id", "first").alias("keep_id")), "simhash-kept")
+    gone = rows.select("doc_id", "h", *SET_KEY).join(kept, [*SET_KEY]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("h").alias("gone_h"))
     gone = saved(gone, "simhash-gone")
     return marked.join(gone.alias("g"), F.col("_id").eqNullSafe(F.col("g.doc_id")) & (F.col("_h") == F.col("g.gone_h")), "left_anti").drop("_id", "_h")

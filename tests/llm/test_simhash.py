@@ -154,3 +154,26 @@ def test_documents_that_share_a_frequent_line_stay(spark):
     rows += [(10 + i, " ".join(["same"] * 60 + [f"own{rng.randrange(10**9)}" for _ in range(40)])) for i in range(6)]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == [i for i, _ in rows]
+
+def blocks_replaced(rng, n, share):
+    """Pairs of texts of 400 words, the second with one block replaced."""
+    out = []
+    for k in range(n):
+        words = [f"w{rng.randrange(20000)}" for _ in range(400)]
+        copy, at = list(words), rng.randrange(400 - share)
+        copy[at : at + share] = [f"x{rng.randrange(20000)}" for _ in range(share)]
+        out += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    return out
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_copies_with_a_replaced_block_go(spark):
+    for share in (20, 38):
+        rows = blocks_replaced(random.Random(share), 150, share)
+        assert all(0.8 <= jaccard(rows[i][1], rows[i + 1][1]) < 0.91 for i in range(0, len(rows), 2))
+        kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r["doc_id"] for r in kept) == list(range(0, len(rows), 2))
