@@ -38,6 +38,8 @@ SET_KEY = ("k0", "k1")
 #: Candidates share one of BANDS groups of BAND_ROWS least hashes.  Each least hash agrees with the
 #: probability of the Jaccard similarity, wherever the edits lie: a pair of 0.8 is missed 6 times in 100,000.
 BANDS, BAND_ROWS = 32, 6
+#: Rounds of links along cells before all that is left is compared.
+CHAIN_ROUNDS = 3
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 1 << 15
 
@@ -320,11 +322,12 @@ def linked_nodes(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     """(node, rep) of the nodes of ``cells`` (cell, node, size): the components of all pairs of a cell that
     have the exact ``similarity``.
 
-    Neighbours in each cell are compared.
+    Rounds compare neighbours in each cell and join what is confirmed; a last one compares all pairs of a
+    cell that aren't joined by then.
     """
     labels = saved(cells.select("node").distinct().withColumn("comp", F.col("node")), "simhash-labels")
     checked: DataFrame | None = None
-    for step in (0,):
+    for step in (*range(CHAIN_ROUNDS), None):
         rows = cells.join(labels, "node").select("cell", "node", "size", "comp")
         new = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_unlinked(similarity, step), "a long, b long, ca long, cb long").distinct()
         new = saved(new if checked is None else new.join(checked, ["a", "b"], "left_anti"), "simhash-links")
@@ -340,7 +343,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILA
     """The rows of ``docs``, with one document of each group of near copies: the one with the smallest id.
 
     A group is held together by links whose sets of ``words``-word shingles have the exact Jaccard
-    ``similarity``, or more.  Candidates share a band of least hashes; neighbours in a band are compared.
+    ``similarity``, or more.  Candidates share a band of least hashes; every candidate is compared unless
+    links join it already.
     """
     rows = saved(banded(docs, words, id_column, text_column), "simhash-bands")
     # Documents of a class have one set of shingles; all others meet the exact check.

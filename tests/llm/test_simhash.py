@@ -177,3 +177,21 @@ def test_copies_with_a_replaced_block_go(spark):
         assert all(0.8 <= jaccard(rows[i][1], rows[i + 1][1]) < 0.91 for i in range(0, len(rows), 2))
         kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted(r["doc_id"] for r in kept) == list(range(0, len(rows), 2))
+
+
+def test_every_link_of_a_near_threshold_group_counts(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(20000)}" for _ in range(300)]
+        for _ in range(14):
+            # Two pieces replaced: pairs of copies lie around 0.8, some above and most below.
+            copy = list(words)
+            for at in (rng.randrange(280), rng.randrange(280)):
+                copy[at : at + 5] = [f"x{rng.randrange(20000)}" for _ in range(5)]
+            rows.append((len(rows), " ".join(copy)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if i // 14 == j // 14 and jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    label = local_components(len(rows), *(np.array(x) for x in zip(*links)))
+    assert 20 < len(set(label.tolist())) < len(rows) - 20
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(label.tolist()))
