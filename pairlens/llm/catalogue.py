@@ -12,7 +12,7 @@ from pairlens.llm.common import table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).select(
+    return packing.pack(table(spark, sf_dir, "documents"), added_tokens=True).select(
         "doc_id",
         "start",
         F.col("length").cast("long").alias("length"),

@@ -17,6 +17,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -44,11 +45,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+def encoder(vocabulary: str = VOCABULARY, added_tokens: bool = False) -> Callable[[str], list[int]]:
     """Text to ids of ``<vocabulary>.json``.
 
     The rank file of the same vocabulary gives the same ids five times as fast; texts
     that its regular expression engine gives up on go to the JSON file's own tokenizer.
+    With ``added_tokens`` so do texts that hold an added token of that file, which is one
+    id then, as the file says; without, its characters are encoded like any others.
     """
     import public_tokenizers
     import tiktoken
@@ -58,28 +61,37 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow: list = []
+    added: list[str] = []
+    if added_tokens:
+        with open(vocabulary_path(f"{vocabulary}.json"), "rb") as file:
+            added = [t["content"] for t in json.load(file)["added_tokens"]]
 
     def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return exact(text)
         try:
             return fast.encode_ordinary(text)
         except BaseException as error:  # a Rust panic isn't an Exception
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            if not slow:
-                from tokenizers import Tokenizer
+            return exact(text)
 
-                slow.append(Tokenizer.from_file(vocabulary_path(f"{vocabulary}.json")))
-                slow[0].encode_special_tokens = True
-            return slow[0].encode(text, add_special_tokens=False).ids
+    def exact(text: str) -> list[int]:
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(vocabulary_path(f"{vocabulary}.json")))
+            slow[0].encode_special_tokens = not added_tokens
+        return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
 
-def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text", added_tokens: bool = False) -> DataFrame:
     """Pieces of at most ``size`` ids, in transit width in ``ids``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added_tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = []
@@ -137,7 +149,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {length: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for length, rows in found.items()}
 
 
-def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text", added_tokens: bool = False) -> DataFrame:
     """All documents as pieces in sequences: PIECES, then sequence_id and offset.
 
     ``ids`` holds little-endian unsigned 32-bit ids.
@@ -145,7 +157,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_col
     The driver holds the histogram and the plan alone: at most ``size`` bins, and at most
     two patterns more for each bin.
     """
-    pieces = saved(token_pieces(docs, size, vocabulary, id_column, text_column), "pack-pieces")
+    pieces = saved(token_pieces(docs, size, vocabulary, id_column, text_column, added_tokens), "pack-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = slots(shortest_pack_first(histogram, size))
     total = sum(histogram.values())

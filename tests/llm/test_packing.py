@@ -60,3 +60,15 @@ def test_crc_matches_and_empty_table(spark):
     row = packing.pack(df).select("*", F.crc32("ids").alias("c")).collect()[0]
     assert row["c"] == zlib.crc32(np.array(reference("hello world"), "<u4").tobytes())
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_queries_read_added_tokens_as_the_json_file_does(spark, tmp_path):
+    from pairlens.llm import catalogue
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "x<|endoftext|><|endoftext|>y", 4: "<|endoftext |>", 5: "plain"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in catalogue.op1_packing(spark, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
