@@ -54,7 +54,7 @@ TEMPLATES = {
         "the software is provided as is without warranty of any kind",
     ),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0",),
-    "proprietary": ("copyright all rights reserved no part may be reproduced without permission",),
+    "proprietary": ("copyright all rights reserved no part may be reproduced without permission", "all rights reserved", "no part may be reproduced without permission"),
 }
 #: Sentences that mention licences, rights or warranties and grant nothing.
 OTHER = (

@@ -120,3 +120,11 @@ def test_forest_holds_on_findings_it_has_not_seen(spark):
     columns = [F.element_at("x", i + 1) for i in range(secret_scan.FEATURES)]
     frame = spark.createDataFrame([(r["x"],) for r in measured[:50]], "x array<double>")
     assert np.allclose([r[0] for r in frame.select(forest[0].column(columns)).collect()], forest[0](x[:50]))
+
+
+def test_short_forms_of_all_families(spark):
+    short = [(family, min(templates, key=lambda t: len(t.split()))) for family, templates in license_scan.TEMPLATES.items()]
+    short += [("proprietary", "All rights reserved."), ("proprietary", "No part may be reproduced without permission.")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(short)], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan(df).collect()}
+    assert [got.get(i) for i in range(len(short))] == [f for f, _ in short]
