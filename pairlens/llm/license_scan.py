@@ -6,9 +6,11 @@ mention licences without granting one; a temperature fitted on rows it has not s
 calibrates its probabilities.  A prediction stands only if enough of the family's template
 phrases occur in the paragraph, else the family is unknown.
 
-Paragraphs are lines.  A template phrase holds at least one cue word, so paragraphs
-without any can't be confirmed and are left out before scoring.  Equal paragraphs are
-scored once and joined back.  Scoring has column expressions alone.
+Paragraphs are lines.  A notice may go on over further lines: a line that isn't confirmed
+alone is judged with the words behind it, as many as twice the longest template has, and
+takes their family if these words aren't confirmed without it.  Words are left out before
+scoring only if they hold none of ``template_words()``, without which no template can be
+confirmed.  Equal texts are scored once and joined back.  Scoring has column expressions alone.
 
 Defined results: a null or empty text has no paragraphs; a paragraph that no template
 confirms has family ``unknown``; equal probabilities go to the family first in order;
@@ -73,6 +75,8 @@ CUES = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|public\W+domain|
 #: Lengths of the n-grams in words, draws of training rows per template, and passes over them.
 GRAMS, DRAWS, PASSES = (1, 2, 3), 60, 300
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
+#: Words behind a line that are read along with it.
+AHEAD = 2 * max(len(t.replace(".", " ").split()) for rows in TEMPLATES.values() for t in rows)
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -83,6 +87,22 @@ def _words(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
+def template_words() -> list[str]:
+    """Words of which each text holds one that reaches LEAST_SIMILARITY to a template.
+
+    Words are taken, the rarest in OTHER and the most useful first, until the phrases of each
+    template that hold none of them stay below the limit.
+    """
+    templates = [{tuple(words[i : i + 2]) for i in range(len(words) - 1)} for rows in TEMPLATES.values() for t in rows for words in [_words(t)]]
+    plain = [w for t in OTHER for w in _words(t)]
+    common = {"a", "an", "and", "any", "as", "by", "for", "in", "is", "it", "may", "no", "not", "of", "on", "or", "out", "that", "the", "this", "to", "under", "with", "without", "you", "be", "are", "all"}
+    taken: list[str] = []
+    while open_ := [left for pairs in templates if len(left := {x for x in pairs if not set(x) & set(taken)}) >= LEAST_SIMILARITY * len(pairs)]:
+        found = {w for left in open_ for x in left for w in x}
+        taken.append(max(sorted(found), key=lambda w: (w not in common and not w.isdigit(), sum(w in x for left in open_ for x in left) / (1 + plain.count(w)))))
+    return sorted(taken)
+
+
 class Model:
     """``weights``: an n-gram's score for each class; ``bias``; ``phrases``: (family, template, phrase)."""
 
@@ -157,10 +177,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, paragraph (number of the line), norm (its words) of the lines that hold a cue."""
-    lines = docs.where(F.col(text_column).rlike(CUES)).select(F.col(id_column).cast("long").alias("doc_id"), F.posexplode(F.split(text_column, "\n")).alias("paragraph", "line"))
-    words = F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " "))
-    return lines.where(F.col("line").rlike(CUES)).select("doc_id", F.col("paragraph").cast("long"), words.alias("norm"))
+    """doc_id, paragraph (number of the line), cue, norm (its words), ahead (the words behind it) and both
+    together, of the lines that hold a cue or may start a notice."""
+    words = rf"(?i)(?:^|[^a-z0-9])(?:{'|'.join(template_words())})(?:$|[^a-z0-9])"
+    texts = docs.where(F.col(text_column).rlike(CUES) | F.col(text_column).rlike(words))
+    lines = texts.select(F.col(id_column).cast("long").alias("doc_id"), F.split(text_column, "\n").alias("raw"))
+    lines = lines.withColumn("norms", F.transform("raw", lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))))
+    # Lines that hold words, so that AHEAD of them hold AHEAD words.
+    lines = lines.withColumn("full", F.filter(F.transform("norms", lambda x, i: F.struct(i.alias("at"), x.alias("norm"))), lambda x: x["norm"] != ""))
+    lines = lines.select("doc_id", "raw", "full", F.posexplode("full").alias("k", "x"))
+    behind = F.array_join(F.transform(F.slice("full", F.col("k") + 2, AHEAD), lambda x: x["norm"]), " ")
+    lines = lines.select("doc_id", F.col("x.at").cast("long").alias("paragraph"), F.element_at("raw", F.col("x.at") + 1).rlike(CUES).alias("cue"), F.col("x.norm").alias("norm"), F.substring_index(behind, " ", AHEAD).alias("ahead"))
+    lines = lines.withColumn("both", F.concat_ws(" ", "norm", F.when(F.col("ahead") != "", F.col("ahead"))))
+    return lines.where(F.col("cue") | F.col("both").rlike(words))
 
 
 def _gram_column(words: Column, n: int) -> Column:
@@ -172,7 +201,7 @@ def _gram_column(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each paragraph with a cue: doc_id, paragraph, family, probability, similarity.
+    """A row for each paragraph with a cue or a confirmed family: doc_id, paragraph, family, probability, similarity.
 
     ``probability`` is that of the most likely class, ``similarity`` the share of the best
     template's phrases (pairs of words) that occur.
@@ -180,7 +209,8 @@ def scan(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id",
     model = model or Model()
     spark = docs.sparkSession
     found = saved(paragraphs(docs, id_column, text_column), "licence-paragraphs")
-    unique = saved(found.select("norm").distinct().withColumn("words", F.split("norm", " ")), "licence-unique")
+    every = found.select("norm").union(found.select("ahead")).union(found.select("both"))
+    unique = saved(every.where("norm <> ''").distinct().withColumn("words", F.split("norm", " ")), "licence-unique")
     grams = unique.select("norm", F.explode(F.array_distinct(F.concat(*[_gram_column(F.col("words"), n) for n in GRAMS]))).alias("gram"))
     # Both tables are bounded by the templates.
     weights = spark.createDataFrame(list(model.weights.items()), "gram string, weights array<double>")
@@ -208,8 +238,19 @@ def scan(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id",
     judged = scored.join(shares, ["norm", "family"], "left").select("norm", "family", "probability", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     sure = (F.col("probability") >= LEAST_PROBABILITY) & (F.col("similarity") >= LEAST_SIMILARITY)
     judged = saved(judged.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN)), "licence-judged")
-    count = judged.count()
-    return found.join(if_small(judged, count, 512), "norm", "left").select(
+    names = ["family", "probability", "similarity"]
+    known = judged.where(F.col("family") != UNKNOWN)
+    known = if_small(known, known.count(), 512)
+
+    def of(column: str) -> DataFrame:
+        return known.select(F.col("norm").alias(column), *[F.col(c).alias(f"{column}_{c}") for c in names])
+
+    # A line alone comes first; what stays unknown keeps the line's own figures.
+    rows = found.join(of("norm"), "norm", "left").join(of("both"), "both", "left").join(of("ahead"), "ahead", "left")
+    starts = F.col("norm_family").isNull() & F.col("both_family").isNotNull() & ~F.col("both_family").eqNullSafe(F.col("ahead_family"))
+    rows = rows.withColumn("scored", F.when(starts, F.col("both")).otherwise(F.col("norm"))).where(F.col("cue") | starts | F.col("norm_family").isNotNull())
+    rows = rows.select("doc_id", "paragraph", F.col("scored").alias("norm"))
+    return rows.join(if_small(judged, judged.count(), 512), "norm", "left").select(
         "doc_id",
         "paragraph",
         F.coalesce("family", F.lit(UNKNOWN)).alias("family"),

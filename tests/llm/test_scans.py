@@ -128,3 +128,25 @@ def test_short_forms_of_all_families(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(short)], "doc_id long, text string")
     got = {r["doc_id"]: r["family"] for r in license_scan.scan(df).collect()}
     assert [got.get(i) for i in range(len(short))] == [f for f, _ in short]
+
+
+def test_wrapped_notices_and_notices_without_a_cue(spark):
+    texts = [
+        "first\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published\nlast",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\n\nare met:",
+        "Content is available under CC BY-SA 4.0",
+        "some words\nnow under CC BY 4.0\nother words",
+        "a line\nbefore\nReleased under the MIT License.\nafter",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.scan(df).collect() if r["family"] != "unknown")
+    assert got == [(0, 1, "gpl"), (1, 0, "bsd"), (2, 0, "cc-by-sa"), (3, 1, "cc-by"), (4, 2, "mit")]
+
+
+def test_template_words_drop_nothing_that_can_be_confirmed():
+    words = set(license_scan.template_words())
+    for family, templates in license_scan.TEMPLATES.items():
+        for template in templates:
+            found = license_scan._words(template)
+            pairs = {tuple(found[i : i + 2]) for i in range(len(found) - 1)}
+            assert sum(not words & set(p) for p in pairs) < license_scan.LEAST_SIMILARITY * len(pairs), family
