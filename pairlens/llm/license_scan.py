@@ -87,6 +87,20 @@ def _words(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
+COMMON = {"a", "an", "and", "any", "as", "by", "for", "in", "is", "it", "may", "no", "not", "of", "on", "or", "out", "that", "the", "this", "to", "under", "with", "without", "you", "be", "are", "all"}
+
+
+def template_phrases() -> list[str]:
+    """Pairs of words of which each text holds one that reaches LEAST_SIMILARITY to a template: of each
+    template, those with the fewest common words, so many that the others stay below the limit."""
+    taken = set()
+    for words in (_words(t) for rows in TEMPLATES.values() for t in rows):
+        pairs = sorted({tuple(words[i : i + 2]) for i in range(len(words) - 1)}, key=lambda x: (sum(w in COMMON for w in x), x))
+        count = next(k for k in range(len(pairs) + 1) if len(pairs) - k < LEAST_SIMILARITY * len(pairs))
+        taken |= {" ".join(x) for x in pairs[:count]}
+    return sorted(taken)
+
+
 def template_words() -> list[str]:
     """Words of which each text holds one that reaches LEAST_SIMILARITY to a template.
 
@@ -95,11 +109,10 @@ def template_words() -> list[str]:
     """
     templates = [{tuple(words[i : i + 2]) for i in range(len(words) - 1)} for rows in TEMPLATES.values() for t in rows for words in [_words(t)]]
     plain = [w for t in OTHER for w in _words(t)]
-    common = {"a", "an", "and", "any", "as", "by", "for", "in", "is", "it", "may", "no", "not", "of", "on", "or", "out", "that", "the", "this", "to", "under", "with", "without", "you", "be", "are", "all"}
     taken: list[str] = []
     while open_ := [left for pairs in templates if len(left := {x for x in pairs if not set(x) & set(taken)}) >= LEAST_SIMILARITY * len(pairs)]:
         found = {w for left in open_ for x in left for w in x}
-        taken.append(max(sorted(found), key=lambda w: (w not in common and not w.isdigit(), sum(w in x for left in open_ for x in left) / (1 + plain.count(w)))))
+        taken.append(max(sorted(found), key=lambda w: (w not in COMMON and not w.isdigit(), sum(w in x for left in open_ for x in left) / (1 + plain.count(w)))))
     return sorted(taken)
 
 
@@ -189,7 +202,7 @@ def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     behind = F.array_join(F.transform(F.slice("full", F.col("k") + 2, AHEAD), lambda x: x["norm"]), " ")
     lines = lines.select("doc_id", F.col("x.at").cast("long").alias("paragraph"), F.element_at("raw", F.col("x.at") + 1).rlike(CUES).alias("cue"), F.col("x.norm").alias("norm"), F.substring_index(behind, " ", AHEAD).alias("ahead"))
     lines = lines.withColumn("both", F.concat_ws(" ", "norm", F.when(F.col("ahead") != "", F.col("ahead"))))
-    return lines.where(F.col("cue") | F.col("both").rlike(words))
+    return lines.where(F.col("cue") | F.col("both").rlike(rf"(?:^| )(?:{'|'.join(template_phrases())})(?:$| )"))
 
 
 def _gram_column(words: Column, n: int) -> Column:

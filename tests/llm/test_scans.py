@@ -144,9 +144,10 @@ def test_wrapped_notices_and_notices_without_a_cue(spark):
 
 
 def test_template_words_drop_nothing_that_can_be_confirmed():
-    words = set(license_scan.template_words())
+    words, phrases = set(license_scan.template_words()), set(license_scan.template_phrases())
     for family, templates in license_scan.TEMPLATES.items():
         for template in templates:
             found = license_scan._words(template)
             pairs = {tuple(found[i : i + 2]) for i in range(len(found) - 1)}
             assert sum(not words & set(p) for p in pairs) < license_scan.LEAST_SIMILARITY * len(pairs), family
+            assert sum(" ".join(p) not in phrases for p in pairs) < license_scan.LEAST_SIMILARITY * len(pairs), family
