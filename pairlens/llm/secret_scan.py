@@ -1,72 +1,136 @@
 """Secrets in texts: candidate strings judged by a random forest.
 
-Candidates are long runs of key characters that hold a digit, and values assigned to
-names like ``password``.  Features: length, character transitions, dictionary coverage,
-path traits and neighbouring words.  The forest is trained on the driver from labelled
-findings that :func:`findings` draws by rule (real key formats against hashes in prose,
-identifiers, paths, numbers and placeholders); it scores as a column expression, so the
-main path has column expressions alone.
+Candidates are long runs of key characters that hold a digit, values assigned to names like
+``password``, and the password part of a URL.  Features: length, character classes and
+transitions (how likely neighbouring letters are in words), dictionary coverage, path traits,
+and the neighbouring words: three before and two behind, within 80 characters.  The forest is
+trained on the driver from labelled lines that :func:`findings` draws in many independent forms
+(code, configuration, URLs, headers, key blocks; against hashes, identifiers, paths, public
+keys, embedded data, placeholders and code that only names secrets); candidates and features
+of these lines come from the very expressions that scan texts.  It scores as a column
+expression, so the main path has column expressions alone.
+
+The dictionary is the words of a public vocabulary file, whose path is a parameter.
 
 Defined results: a null or empty text has no candidates; overlapping candidates count once,
-the assigned value first; repeated rows each get theirs; positions are code points, the
-end exclusive; an empty table gives no rows; other columns are ignored.
+the assigned value first, then the URL's password; repeated rows each get theirs; positions
+are code points, the end exclusive; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import string
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm import trees
-from pairlens.llm.spans import TAIL, locate
+from pairlens.llm.spans import locate
 
 #: A run of key characters, from its start, that holds a digit.
 RUN = r"(?:(?<![A-Za-z0-9+/=_.-])|\G)(?=[A-Za-z+/=_.-]*+[0-9])[A-Za-z0-9+/=_.-]{16,}+"
 #: What is assigned to a name that says it is secret.
-ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?)[^\x20\x09-\x0D\"',;:=]{6,}+"
-#: Words of placeholders, and frequent words of identifiers and paths.
-DICTIONARY = "example sample dummy test changeme placeholder your here none null true false default value name file path image index page user data main http https www com html net org src lib bin usr home section title version release build report table chapter figure number order invoice item".split()
+ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|private_key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?)[^\x20\x09-\x0D\"',;:=&]{6,}+"
+#: What stands between a user's name and the host of a URL.
+IN_URL = r"(?<=://[A-Za-z0-9._-]{1,40}:)[^\x20\x09-\x0D\"'/@:]{4,}+(?=@[A-Za-z0-9])"
 SECRET_WORDS = r"key|token|secret|passw|pwd|auth|credential|bearer|private"
-HASH_WORDS = r"commit|sha|hash|md5|checksum|digest|uuid|guid|etag|revision|isbn|doi|order|invoice|version|page|id\b"
+HASH_WORDS = r"commit|sha|hash|md5|checksum|digest|uuid|guid|etag|revision|isbn|doi|order|invoice|version|page|id\b|checkout|integrity"
+OPEN_WORDS = r"public|certificate|ssh-|base64,|data:|image|font"
 THRESHOLD = 0.5
-FEATURES = 17
-#: Labelled findings drawn of each kind.
-DRAWS = 150
+FEATURES = 22
+#: Labelled lines drawn in each form, and the dictionary's file.
+DRAWS, VOCABULARY = 60, "byte_bpe_50k.json"
+_LETTERS = string.ascii_lowercase
+_WS = r"\x20\x09-\x0D"
+
+
+class Dictionary:
+    """Lower-case words of four letters or more, and how likely letters follow each other in them."""
+
+    BUCKETS = 1024
+
+    def __init__(self, path: str | None = None):
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path(VOCABULARY)
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        # An entry that begins a word carries a mark for the space before it.
+        self.words = sorted({w[1:].lower() for w in vocabulary if re.fullmatch("Ġ[A-Za-z]{4,}", w)})
+        pairs = np.ones((26, 26))
+        for w in self.words:
+            for a, b in zip(w, w[1:], strict=False):
+                pairs[ord(a) - 97, ord(b) - 97] += 1
+        self.likely = np.log2(pairs / pairs.sum(1, keepdims=True) * 26).round(4)
+
+    def covered(self, hit: Column) -> Column:
+        """The characters of ``hit`` in runs of letters that are words."""
+        buckets = [" "] * self.BUCKETS
+        for w in self.words:
+            buckets[zlib.crc32(w.encode()) % self.BUCKETS] += w + " "
+        # One literal: the optimiser splits it once.
+        table = F.split(F.lit("\n".join(buckets)), "\n")
+        runs = F.transform(F.regexp_extract_all(hit, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0)), F.lower)
+        known = F.filter(runs, lambda w: F.instr(F.element_at(table, (F.crc32(w) % self.BUCKETS + 1).cast("int")), F.concat(F.lit(" "), w, F.lit(" "))) > 0)
+        return F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w))
+
+    def transitions(self, hit: Column) -> Column:
+        """The mean over pairs of neighbouring letters of how much likelier the second is than by chance, in bits."""
+        table = F.split(F.lit(" ".join(map(str, self.likely.ravel().tolist()))), " ").cast("array<double>")
+        codes = F.transform(F.split(F.lower(hit), ""), lambda c: F.ascii(c) - 97)
+        pairs = F.zip_with(codes, F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(1))), lambda a, b: F.when(a.between(0, 25) & b.between(0, 25), F.element_at(table, a * 26 + b + 1)))
+        values = F.filter(pairs, lambda x: x.isNotNull())
+        return F.coalesce(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0)), F.lit(0.0))
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, start, stop, hit and its neighbouring words, for each candidate."""
+    """doc_id, start, stop, hit and the text around it, for each candidate."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.where(F.col("text").rlike(f"(?i)[0-9]|{SECRET_WORDS}"))
-    rows = locate(locate(rows, ASSIGNED, "assigned"), RUN, "runs").drop("text")
-    free = F.filter("runs", lambda r: ~F.exists("assigned", lambda a: (a["start"] < r["stop"]) & (r["start"] < a["stop"])))
-    return rows.select("doc_id", F.explode(F.concat("assigned", free)).alias("x")).select("doc_id", "x.*")
+    rows = rows.where(F.col("text").rlike(f"(?i)[0-9]|://|{SECRET_WORDS}"))
+    for name, pattern in (("assigned", ASSIGNED), ("in_url", IN_URL), ("runs", RUN)):
+        rows = locate(rows, pattern, name)
+    rows = rows.drop("text")
 
+    def free(of: str, other: str) -> Column:
+        # Both lists are in order of position, so a hit meets few of the other list; sizes are those of assigned values.
+        return F.filter(of, lambda r: ~F.exists(other, lambda a: (a["start"] < r["stop"]) & (r["start"] < a["stop"])))
 
-def features(hit: Column, tail: Column, right1: Column) -> list[Column]:
+    rows = rows.withColumn("first", F.concat("assigned", free("in_url", "assigned")))
+    return rows.select("doc_id", F.explode(F.concat("first", free("runs", "first"))).alias("x")).select("doc_id", "x.*")
+
+
+def features(hit: Column, tail: Column, head: Column, dictionary: Dictionary) -> list[Column]:
     n = F.greatest(F.length(hit), F.lit(1))
+    before = F.regexp_extract(F.lower(tail), rf"((?:[^{_WS}]+[{_WS}]+){{0,2}}[^{_WS}]*[{_WS}]*)$", 1)
+    behind = F.regexp_extract(F.lower(head), rf"^([^{_WS}]*[{_WS}]*[^{_WS}]*)", 1)
 
-    def share(pattern: str, of: Column = hit) -> Column:
-        return (F.length(of) - F.length(F.regexp_replace(of, pattern, ""))) / n
+    def share(pattern: str) -> Column:
+        return (F.length(hit) - F.length(F.regexp_replace(hit, pattern, ""))) / n
 
     def marks(pattern: str) -> Column:
         return (F.length(F.regexp_replace(hit, pattern, "$0#")) - F.length(hit)) / n
 
-    covered = share("(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))))
     distinct = F.size(F.array_distinct(F.split(hit, ""))) / F.least(n, F.lit(40))
     flag = [
-        tail.rlike(SECRET_WORDS),
-        tail.rlike(HASH_WORDS),
-        tail.rlike(r"[:=]\s*[\"']?$"),
+        before.rlike(SECRET_WORDS),
+        before.rlike(HASH_WORDS),
+        before.rlike(OPEN_WORDS),
+        behind.rlike(f"{SECRET_WORDS}|{HASH_WORDS}"),
+        before.rlike(r"[:=]\s*[\"']?$"),
+        before.rlike(r"://[^/ ]*:$") & behind.startswith("@"),
         hit.rlike(r"^[0-9a-fA-F]+$"),
-        hit.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-|^[0-9.+-]+$"),
+        hit.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-|^[0-9.+-]+$|^[0-9-]+T[0-9.:]+"),
         hit.rlike(r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_|pk_|AIza|glpat-|eyJ)"),
-        right1.rlike(r"^[\"',;)]") | tail.rlike(r"[\"']$"),
+        behind.rlike(r"^[\"',;)]") | before.rlike(r"[\"']$"),
+        hit.rlike(r"[(<>{}\[$*]|^(.)\1+[0-9]?$"),
+        hit.rlike(r"(?i)^[a-z0-9_.-]*/[a-z0-9_.-]+/|^/|\.[a-z]{2,4}[0-9]?$"),
     ]
     return [
         n.cast("double"),
@@ -74,67 +138,110 @@ def features(hit: Column, tail: Column, right1: Column) -> list[Column]:
         share("[A-Z]"),
         share("[a-z]"),
         distinct.cast("double"),
-        # Transitions: changes between letters and digits, and of case.
+        # Changes between letters and digits, and of case.
         marks(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"),
         marks(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
-        covered,
-        marks(r"(?<=[aeiouAEIOU])(?=[bcdfghklmnprstvwBCDFGHKLMNPRSTVW])"),
+        dictionary.transitions(hit),
+        dictionary.covered(hit) / n,
         share(r"[/._-]"),
         *[F.coalesce(f, F.lit(False)).cast("double") for f in flag],
     ]
 
 
-def findings(seed: int = 5) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (hit, text before it, word behind it, label), drawn by rule."""
+def findings(seed: int = 5, draws: int = DRAWS, words: list[str] | None = None) -> list[tuple[str, int, int]]:
+    """Labelled lines (text, start, stop of its secret); -1, -1 where there is none."""
     r = random.Random(seed)
+    words = words or Dictionary().words
+    hexa, mixed, b64 = string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
 
     def run(n: int, alphabet: str) -> str:
         return "".join(r.choice(alphabet) for _ in range(n))
 
-    def prose() -> str:
-        return run(r.randrange(2, 9), string.ascii_lowercase)
-
     def word() -> str:
-        return r.choice(DICTIONARY) if r.random() < 0.6 else prose()
+        return r.choice(words) if r.random() < 0.8 else run(r.randrange(2, 9), _LETTERS)
 
-    hexa, mixed, b64 = string.hexdigits[:16], string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-    names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "credential"]
+    def prose() -> str:
+        return " ".join(word() for _ in range(r.randrange(5)))
+
+    def number(least: int = 1, most: int = 5) -> str:
+        return run(r.randrange(least, most), string.digits)
+
+    def joined(sign: str, least: int = 2, most: int = 6) -> str:
+        return sign.join(word() for _ in range(r.randrange(least, most)))
+
+    secrets = [
+        lambda: run(r.choice([32, 40, 64]), hexa),
+        lambda: run(40, hexa),
+        lambda: run(r.randrange(20, 48), mixed),
+        lambda: run(r.randrange(40, 88), b64),
+        lambda: r.choice(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "AIza"]) + run(r.randrange(20, 40), mixed),
+        lambda: "AKIA" + run(16, string.ascii_uppercase + string.digits),
+        lambda: "eyJ" + run(30, mixed) + "." + run(60, mixed) + "." + run(40, mixed),
+        lambda: run(r.randrange(8, 16), mixed + "!#%") + r.choice(string.digits),
+        lambda: word().title() + number(2, 5) + r.choice("!#%") + run(3, mixed),
+    ]
+    names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "client_secret", "db_password", "passwd"]
+    keys = [
+        '{n} = "{s}"', "{n} = '{s}'", '"{n}": "{s}",', 'const {n} = "{s}";', 'os.environ["{N}"] = "{s}"', "{N}={s}", "export {N}={s}", "{n}: {s}", "{n} = {s}", "{n}={s} {w}",
+        "{w}: {w}\n{n}: '{s}'", "https://{w}:{s}@{w}.com/{w}", "postgres://{w}:{s}@db.{w}.net:5432/{w}", "https://{w}.com/{w}?access_token={s}&{w}=1", "Authorization: Bearer {s}", '-H "X-Api-Key: {s}"',
+        "-----BEGIN RSA PRIVATE KEY-----\n{s}", "{w} {n} = \"{s}\" {w}", "the {n} is {s} now",
+    ]
+    plain = [
+        lambda: f"commit {run(40, hexa)}", lambda: f"see commit {run(40, hexa)} for it", lambda: f"git checkout {run(40, hexa)}", lambda: f"sha256:{run(64, hexa)}", lambda: f"md5 = {run(32, hexa)}", lambda: f'"integrity": "sha512-{run(86, b64)}=="',
+        lambda: f'etag: "{run(32, hexa)}"', lambda: f"{run(64, hexa)}  {joined('-')}.tar.gz", lambda: f"checksum {run(r.choice([32, 40, 64]), hexa)}", lambda: f"{word()} {run(r.choice([32, 40]), hexa)} {word()}",
+        lambda: f"request id {'-'.join(run(n, hexa) for n in (8, 4, 4, 4, 12))}", lambda: f'{word()} = "{"-".join(run(n, hexa) for n in (8, 4, 4, 4, 12))}"', lambda: f"order {number(14, 20)} came", lambda: f"{word()} {number(16, 24)}", lambda: f"at 2024-{number(2, 3)}-{number(2, 3)}T{number(2, 3)}.{number(3, 9)}Z",
+        lambda: f"/usr/lib/{joined('/')}/{word()}{number()}.py", lambda: f"https://{word()}.com/{joined('/')}/{joined('-')}-{number()}.html", lambda: f"src/{joined('/')}_{number()}.js", lambda: f"the {joined('/', 3, 7)}/{number()}.html file",
+        lambda: f"{joined('_', 3, 6)}_{number()}", lambda: "".join(word().title() for _ in range(r.randrange(2, 5))) + number(), lambda: f"{joined('-', 3, 6)}-{number()}", lambda: f"{word()}.{joined('.', 2, 4)}{number()}.example.com",
+        lambda: f"data:image/png;base64,{run(r.randrange(80, 200), b64)}", lambda: f"ssh-rsa AAAAB3Nza{run(120, b64)} {word()}@{word()}", lambda: f"-----BEGIN CERTIFICATE-----\n{run(64, b64)}", lambda: f"-----BEGIN PUBLIC KEY-----\n{run(64, b64)}",
+        lambda: f'{r.choice(names)} = "{r.choice(["your", "my", "example", "insert", "test", "dummy", "sample"])}_{joined("_", 1, 4)}{r.choice(["_here", "", "1", "_123"])}"', lambda: f"{r.choice(names)}: changeme{number(0, 4)}", lambda: f"{r.choice(names)}={r.choice('x*X.-')*r.randrange(8, 24)}{number(0, 2)}",
+        lambda: f"{r.choice(names)}: <{joined('-', 1, 4)}>", lambda: f"{r.choice(names)}=${{{joined('_').upper()}}}", lambda: f"{r.choice(names)} = {{{{ {joined('.')} }}}}", lambda: f'{r.choice(names)} = os.getenv("{joined("_").upper()}_{number()}")', lambda: f"{r.choice(names)}: process.env.{joined('_').upper()}{number()}",
+        lambda: f"{r.choice(names)} = {word()}.{joined('_')}_{number()}()", lambda: f"{r.choice(names)}: {joined('_')}{number(0, 3)}", lambda: f"{r.choice(names)} = None", lambda: f"{r.choice(names)} = {word()}.{word()}", lambda: f"{r.choice(names)}: {joined('-')}",
+        lambda: f"https://{word()}:password@{word()}.com/", lambda: f"https://user:{r.choice(['<password>', 'changeme', 'example', '$PASSWORD', '****'])}@{word()}.org/{word()}", lambda: "=" * r.randrange(16, 60) + number(1, 2), lambda: f"{'-' * r.randrange(16, 40)}{number(1, 3)}", lambda: f"isbn 978-{number(1, 2)}-{number(3, 6)}-{number(4, 6)}-{number(1, 2)}",
+    ]
     found = []
-    for _ in range(DRAWS):
-        sign, quote = r.choice(["=", ":", " = ", ": "]), r.choice(['"', "'", ""])
-        before, behind = f"{prose()} {r.choice(names)}{sign}{quote}", r.choice([quote, quote + ";", prose()])
-        secrets = [run(r.choice([32, 40, 64]), hexa), run(r.randrange(20, 48), mixed), "ghp_" + run(36, mixed), "AKIA" + run(16, string.ascii_uppercase + string.digits), run(r.randrange(40, 88), b64), run(r.randrange(8, 16), mixed + "!#%&")]
-        found += [(hit.upper() if r.random() < 0.1 else hit, before, behind, 1) for hit in secrets]
-        plain = f"{prose()} {r.choice(['', 'the ', 'in ', 'of ', prose() + ' ', prose() + '. '])}"
-        no = [
-            (run(40, hexa), f"{prose()} {r.choice(['commit ', 'sha: ', 'revision ', 'checksum = '])}"),
-            ("-".join(run(n, hexa) for n in (8, 4, 4, 4, 12)), r.choice([f"{prose()} id = ", "uuid: ", plain])),
-            (run(r.randrange(14, 20), string.digits), plain),
-            ("_".join(word() for _ in range(r.randrange(3, 6))) + run(r.randrange(1, 4), string.digits), plain),
-            ("/".join(word() for _ in range(r.randrange(3, 7))) + "/" + run(r.randrange(1, 6), string.digits) + ".html", plain),
-            (prose() + "." + run(2, string.digits) + "mail" + run(1, string.digits) + ".example.com", plain),
-            ("=" * r.randrange(16, 60) + run(1, string.digits), plain),
-            ("".join(word().title() for _ in range(3)) + run(2, string.digits), plain),
-        ]
-        found += [(hit, left, prose(), 0) for hit, left in no]
-        placeholder = r.choice(["your_token_here", "changeme123", "example-secret-1", "<your-password>", "xxxxxxxxxxxxxxxx1", "test_password_1", "dummy_value_0", "placeholder_value_1"])
-        found += [(placeholder, before, behind, 0)] * 2
+    for _ in range(draws):
+        for form in keys:
+            value = r.choice(secrets)() if "BEGIN" not in form else run(64, b64)
+            if "the {n} is" in form or "Bearer" in form or "X-Api" in form:
+                value = r.choice(secrets[:7])()
+            if "://" in form:
+                value = r.choice([secrets[2], secrets[7], secrets[8]])().replace("#", "!")
+            name = r.choice(names)
+            first, last = form.split("{s}")
+            fill = {"n": name, "N": name.upper()}
+            lead = prose() + r.choice([" ", "\n", ". "])
+            first = lead + re.sub(r"\{(.)\}", lambda m: fill.get(m[1]) or word(), first)
+            found.append((first + value + re.sub(r"\{(.)\}", lambda m: word(), last) + " " + prose(), len(first), len(first) + len(value)))
+        found += [(f"{prose()}{r.choice([' ', chr(10), '. '])}{form()} {prose()}", -1, -1) for form in plain]
     return found
 
 
-def fit(spark: SparkSession) -> list[trees.Tree]:
-    rows = spark.createDataFrame(findings(), "hit string, tail string, right1 string, label int").withColumn("tail", F.lower(F.expr(f"right(tail, {TAIL})")))
-    measured = rows.select(F.array(*features(*(F.col(c) for c in ("hit", "tail", "right1")))).alias("x"), "label").collect()
-    measured.sort(key=lambda r: (r["x"], r["label"]))
-    return trees.forest(np.array([r["x"] for r in measured]), np.array([r["label"] for r in measured], float))
+def measured(lines: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """Candidates with their features f0, f1, ..."""
+    found = candidates(lines)
+    return found.select("doc_id", "start", "stop", *[f.alias(f"f{i}") for i, f in enumerate(features(F.col("hit"), F.col("tail"), F.col("head"), dictionary))])
+
+
+def labelled(spark: SparkSession, lines: list[tuple[str, int, int]], dictionary: Dictionary) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the candidates of labelled lines; a candidate that overlaps a secret is one."""
+    rows = measured(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(lines)], "doc_id long, text string"), dictionary).collect()
+    x = np.array([[r[f"f{i}"] for i in range(FEATURES)] for r in rows])
+    y = np.array([float(r["start"] < lines[r["doc_id"]][2] and lines[r["doc_id"]][1] < r["stop"]) for r in rows])
+    order = np.lexsort((*x.T, y))
+    return x[order], y[order]
+
+
+def fit(spark: SparkSession, dictionary: Dictionary | None = None) -> list[trees.Tree]:
+    dictionary = dictionary or Dictionary()
+    return trees.forest(*labelled(spark, findings(words=dictionary.words), dictionary), trees=32, depth=8)
 
 
-def scan(docs: DataFrame, forest: list[trees.Tree] | None = None, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, forest: list[trees.Tree] | None = None, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", dictionary: Dictionary | None = None) -> DataFrame:
     """A row for each candidate: doc_id, start, stop, score, secret."""
-    forest = forest or fit(docs.sparkSession)
-    found = candidates(docs, id_column, text_column)
-    measured = found.select("doc_id", "start", "stop", *[f.alias(f"f{i}") for i, f in enumerate(features(*(F.col(c) for c in ("hit", "tail", "right1"))))])
+    dictionary = dictionary or Dictionary()
+    forest = forest or fit(docs.sparkSession, dictionary)
+    rows = measured(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), dictionary)
     values = [F.col(f"f{i}") for i in range(FEATURES)]
     votes = F.aggregate(F.array(*[t.column(values) for t in forest]), F.lit(0.0), lambda a, v: a + v) / len(forest)
-    scored = measured.select("doc_id", "start", "stop", F.round(votes, 6).alias("score"))
+    scored = rows.select("doc_id", "start", "stop", F.round(votes, 6).alias("score"))
     return scored.withColumn("secret", F.col("score") >= threshold)
