@@ -95,7 +95,8 @@ def matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     )
     for k, (name, pattern) in enumerate(KINDS.items()):
         rows = locate(rows, pattern, name, keep=VALID[name], out=f"named_struct('start', x.start, 'kind', {k}, 'stop', x.stop, 'seed', xxhash64(x.hit), 'patterns', {_PATTERNS})")
-    rows = locate(rows, TOKEN, "tokens", out=_tokens())
+    # What every shape asks for, before the rest is looked at.
+    rows = locate(rows, TOKEN, "tokens", keep="x.hit LIKE '%@%' OR length(regexp_replace(x.hit, '[^0-9]+', '')) >= 4", out=_tokens())
     return rows.select(*_KEY, F.concat(*KINDS).alias("base"), F.expr("filter(tokens, t -> size(t.kinds) > 0)").alias("tokens"))
 
 

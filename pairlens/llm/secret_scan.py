@@ -217,15 +217,15 @@ def findings(seed: int = 5, draws: int = DRAWS, words: list[str] | None = None)
 
 
 def measured(lines: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """Candidates with their features f0, f1, ..."""
+    """Candidates with their features x."""
     found = candidates(lines)
-    return found.select("doc_id", "start", "stop", *[f.alias(f"f{i}") for i, f in enumerate(features(F.col("hit"), F.col("tail"), F.col("head"), dictionary))])
+    return found.select("doc_id", "start", "stop", F.array(*features(F.col("hit"), F.col("tail"), F.col("head"), dictionary)).alias("x"))
 
 
 def labelled(spark: SparkSession, lines: list[tuple[str, int, int]], dictionary: Dictionary) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the candidates of labelled lines; a candidate that overlaps a secret is one."""
     rows = measured(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(lines)], "doc_id long, text string"), dictionary).collect()
-    x = np.array([[r[f"f{i}"] for i in range(FEATURES)] for r in rows])
+    x = np.array([r["x"] for r in rows])
     y = np.array([float(r["start"] < lines[r["doc_id"]][2] and lines[r["doc_id"]][1] < r["stop"]) for r in rows])
     order = np.lexsort((*x.T, y))
     return x[order], y[order]
@@ -241,7 +241,5 @@ def scan(docs: DataFrame, forest: list[trees.Tree] | None = None, threshold: flo
     dictionary = dictionary or Dictionary()
     forest = forest or fit(docs.sparkSession, dictionary)
     rows = measured(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), dictionary)
-    values = [F.col(f"f{i}") for i in range(FEATURES)]
-    votes = F.aggregate(F.array(*[t.column(values) for t in forest]), F.lit(0.0), lambda a, v: a + v) / len(forest)
-    scored = rows.select("doc_id", "start", "stop", F.round(votes, 6).alias("score"))
+    scored = rows.select("doc_id", "start", "stop", F.round(trees.votes(forest, F.col("x")), 6).alias("score"))
     return scored.withColumn("secret", F.col("score") >= threshold)

@@ -36,6 +36,35 @@ class Tree:
         return F.when(features[f] <= float(self.threshold[at]), self.column(features, 2 * at + 1)).otherwise(self.column(features, 2 * at + 2))
 
 
+def votes(trees: list[Tree], features: Column) -> Column:
+    """The mean value of ``trees`` for an array of features.
+
+    The trees are literal arrays that are walked level by level: the plan stays small, however many nodes they have.
+    """
+    size = max(len(t.feature) for t in trees)
+
+    def literal(values: list, kind: str) -> Column:
+        return F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
+
+    def all_(name: str) -> list:
+        return [v for t in trees for v in [*getattr(t, name).tolist(), *[-1] * (size - len(t.feature))]]
+
+    feature, threshold, value = literal(all_("feature"), "int"), literal([repr(float(v)) for v in all_("threshold")], "double"), literal([repr(float(v)) for v in all_("value")], "double")
+    levels = F.sequence(F.lit(1), F.lit(size.bit_length() - 1)) if size > 1 else F.array().cast("array<int>")
+
+    def leaf(tree: Column) -> Column:
+        first = tree * size + 1
+
+        def step(at: Column, _: Column) -> Column:
+            f = F.element_at(feature, first + at)
+            right = F.element_at(features, f + 1) > F.element_at(threshold, first + at)
+            return F.when(f < 0, at).otherwise(2 * at + 1 + right.cast("int"))
+
+        return F.element_at(value, first + F.aggregate(levels, F.lit(0), step))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(trees) - 1)), F.lit(0.0), lambda a, t: a + leaf(t)) / len(trees)
+
+
 def edges(x: np.ndarray, bins: int = 32) -> list[np.ndarray]:
     """Cuts between the quantiles of each feature."""
     return [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.llm import license_scan, pii, secret_scan
+from pairlens.llm import license_scan, pii, secret_scan, trees
 from pairlens.llm.spans import locate
 
 BASE = {
@@ -243,10 +243,10 @@ def test_forest_holds_on_lines_it_has_not_seen(spark):
     assert x.shape[1] == secret_scan.FEATURES
     score = np.mean([t(x) for t in forest], axis=0)
     assert ((score >= 0.5) == y).mean() >= 0.95
-    columns = [F.element_at("x", i + 1) for i in range(secret_scan.FEATURES)]
     frame = spark.createDataFrame([(r.tolist(),) for r in x[:50]], "x array<double>")
-    for tree in forest[:2]:
-        assert np.allclose([r[0] for r in frame.select(tree.column(columns)).collect()], tree(x[:50]))
+    assert np.allclose([r[0] for r in frame.select(trees.votes(forest, F.col("x"))).collect()], score[:50])
+    leaf = trees.Tree(np.array([-1]), np.zeros(1), np.array([0.25]))
+    assert [r[0] for r in frame.limit(1).select(trees.votes([leaf], F.col("x"))).collect()] == [0.25]
 
 
 def test_dictionary_features_equal_a_plain_model(spark):
