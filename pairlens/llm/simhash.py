@@ -1,14 +1,15 @@
 """SimHash near-duplicate detection over a Gray-order hierarchical index.
 
-Two fingerprints within ``radius`` bits agree in one of ``radius + 1`` blocks of bits, so
-each distinct fingerprint enters one cell per block.  A cell with more than CELL_ROWS
-members is refined by the same argument on its remaining bits, until all cells fit a task;
-that is exact and drops nothing.  Inside a cell, fingerprints are sorted by Gray rank,
-neighbours are grouped into nodes that keep the bit pattern their members share, and pairs
-of nodes are descended from the top: a pair is pruned as soon as the differences
-accumulated on shared bits exceed the radius.
+The distinct fingerprints are range-partitioned and sorted by Gray rank, so neighbours share
+most bits.  Runs of LEAF_ROWS of them are the leaves of the index; FAN nodes in a row make a
+node of the level above.  A node keeps the bit pattern that all its members share.  The search
+descends pairs of nodes from the top, level by level, as tables: a pair goes as soon as the
+differences on bits that both nodes share exceed the radius, and with it all pairs of their
+members.  Pairs of leaves that are left meet in a task, which goes on the same way inside them
+down to fingerprints.  There is no other path, at any size.
 
-Cells emit a spanning forest of their links, never all pairs.
+Leaves are ranges of sorted distinct fingerprints, so none is larger than the others, whatever
+the data; a task holds two leaves, and emits a spanning forest of their links, never all pairs.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal
 texts and repeated rows share a fingerprint; ties in doc_id are rows of one class; an empty
@@ -25,13 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import UPPER, runs, saved
+from pairlens.llm.common import UPPER, if_small, partitions, runs, saved
 from pairlens.llm.components import connected_components, spanning_forest
 
 SEED = 42
-CELL_ROWS = 1024
-#: Children of a node of the hierarchy.
-FAN = 4
+#: Fingerprints of a leaf of the index, children of a node above leaves, and inside them.
+LEAF_ROWS, FAN, INNER_FAN = 4096, 16, 4
 SIMILARITY = 0.8
 #: The two halves of a hash of a document's set of shingles.
 SET_KEY = ("k0", "k1")
@@ -87,100 +87,138 @@ def gray_rank(prints: np.ndarray) -> np.ndarray:
     return rank
 
 
-def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of ``prints``, sorted by Gray rank, that differ in ``radius`` bits at most."""
-    ones, any_ = [prints], [prints]  # bits set in all, in any member of a node, level by level
-    while len(ones[-1]) > 1:
-        starts = np.arange(0, len(ones[-1]), FAN)
-        ones.append(np.bitwise_and.reduceat(ones[-1], starts))
-        any_.append(np.bitwise_or.reduceat(any_[-1], starts))
+def _levels(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bits set in all and in any member of the nodes over sorted ``prints``, from single prints up to one node."""
+    found = [(prints, prints)]
+    while len(found[-1][0]) > 1:
+        starts = np.arange(0, len(found[-1][0]), INNER_FAN)
+        found.append((np.bitwise_and.reduceat(found[-1][0], starts), np.bitwise_or.reduceat(found[-1][1], starts)))
+    return found
+
+
+def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of prints of two leaves, each sorted by Gray rank, that differ in ``radius`` bits at most;
+    without ``right`` pairs i < j of one leaf."""
+    same = right is None
+    one = _levels(left)
+    two = one if same else _levels(right)
+    height = max(len(one), len(two))
+    # The lower hierarchy's root stands for itself on the levels above it.
+    one, two = (x + [x[-1]] * (height - len(x)) for x in (one, two))
     a = b = np.zeros(1, np.int64)
-    child = np.arange(FAN)
-    left, right = np.repeat(child, FAN), np.tile(child, FAN)
-    for level in range(len(ones) - 2, -1, -1):
-        all_, some = ones[level], any_[level]
-        a, b = (a[:, None] * FAN + left).ravel(), (b[:, None] * FAN + right).ravel()
-        inside = (b < len(all_)) & (a <= b if level else a < b)
+    child = np.arange(INNER_FAN)
+    first, second = np.repeat(child, INNER_FAN), np.tile(child, INNER_FAN)
+    for level in range(height - 1, -1, -1):
+        if level < height - 1:
+            a, b = (a[:, None] * INNER_FAN + first).ravel(), (b[:, None] * INNER_FAN + second).ravel()
+        (all_a, any_a), (all_b, any_b) = one[level], two[level]
+        inside = (a < len(all_a)) & (b < len(all_b))
+        if same:
+            inside &= a <= b if level else a < b
         a, b = a[inside], b[inside]
-        shared = ~((all_[a] ^ some[a]) | (all_[b] ^ some[b]))
-        near = np.bitwise_count((all_[a] ^ all_[b]) & shared) <= radius
+        shared = ~((all_a[a] ^ any_a[a]) | (all_b[b] ^ any_b[b]))
+        near = np.bitwise_count((all_a[a] ^ all_b[b]) & shared) <= radius
         a, b = a[near], b[near]
-    if len(ones) == 1:
-        return a[:0], b[:0]
     return a, b
 
 
-def _cell_links(radius: int):
-    """Rows sorted by cell to a forest of links of each cell."""
-    small = 24
+def _gray_column(prints: DataFrame) -> DataFrame:
+    """``prints`` with column r: its Gray rank, as a long whose signed order is that of the unsigned ranks."""
+    rows = prints.withColumn("r", F.col("fp"))
+    for shift in (1, 2, 4, 8, 16, 32):
+        rows = rows.withColumn("r", F.col("r").bitwiseXOR(F.shiftrightunsigned("r", shift)))
+    return rows.withColumn("r", F.col("r").bitwiseXOR(F.lit(-(2**63))))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, "cell"):
-            cells = rows["cell"].to_numpy()
-            prints = rows["fp"].to_numpy().view(np.uint64)
-            order = np.lexsort((gray_rank(prints), cells))
-            cells, prints, nodes = cells[order], prints[order], rows["node"].to_numpy()[order]
-            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-            sizes = np.diff(np.append(starts, len(cells)))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            # Small cells together: every row with the one k places further on in its cell.
-            left = np.repeat(starts + sizes, sizes) - np.arange(len(cells)) - 1
-            left[np.repeat(sizes > small, sizes)] = 0
-            rest = np.arange(len(cells))
-            for k in range(1, small):
-                rest = rest[left[rest] >= k]
-                near = rest[np.bitwise_count(prints[rest] ^ prints[rest + k]) <= radius]
-                found.append((near, near + k))
-            for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-                a, b = close_pairs(prints[s : s + n], radius)
-                found.append((a + s, b + s))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            kept = spanning_forest(len(prints), a, b, np.zeros(len(a), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[x[kept]]) for x in (a, b)], names=["a", "b"])
 
-    return links
+def _cut(leaf_rows: int):
+    """Prints in order to leaves (ones, some, prints): runs of ``leaf_rows``."""
+
+    def leaf(prints: np.ndarray) -> pa.RecordBatch:
+        starts = np.arange(0, len(prints), leaf_rows)
+        columns = [np.bitwise_and.reduceat(prints, starts).view(np.int64), np.bitwise_or.reduceat(prints, starts).view(np.int64), [prints[s : s + leaf_rows].tobytes() for s in starts]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.binary())], names=["ones", "some", "prints"])
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros(0, np.uint64)
+        for batch in batches:
+            rest = np.concatenate([rest, batch.column(0).to_numpy().view(np.uint64)])
+            if whole := len(rest) // leaf_rows * leaf_rows:
+                yield leaf(rest[:whole])
+                rest = rest[whole:]
+        if len(rest):
+            yield leaf(rest)
+
+    return leaves
+
+
+def index_leaves(prints: DataFrame) -> tuple[DataFrame, int]:
+    """The leaves (leaf, ones, some, prints) of the index over distinct ``prints`` (fp), numbered in Gray order; their number."""
+    spark = prints.sparkSession
+    ordered = _gray_column(prints.select("fp")).repartitionByRange(partitions(spark), "r").sortWithinPartitions("r").select("fp")
+    # Range partitions and the rows of each come in order: the high bits of the id are the partition.
+    leaves = saved(ordered.mapInArrow(_cut(LEAF_ROWS), "ones long, some long, prints binary").withColumn("at", F.monotonically_increasing_id()), "simhash-leaves")
+    part = F.shiftright("at", 33)
+    # A row a partition: numbers of leaves before it.
+    sizes = sorted((r["part"], r["n"]) for r in leaves.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    first, offsets = 0, []
+    for k, n in sizes:
+        offsets.append((k, first))
+        first += n
+    starts = F.broadcast(spark.createDataFrame(offsets, "part long, first long"))
+    numbered = leaves.withColumn("part", part).join(starts, "part").select((F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("leaf"), "ones", "some", "prints")
+    return numbered, first
+
+
+def close_leaves(leaves: DataFrame, count: int, radius: int) -> DataFrame:
+    """Pairs (a <= b) of leaves whose shared bits allow members within ``radius``, by descent from the top."""
+    height = 0
+    while FAN**height < count:
+        height += 1
+    nodes = saved(leaves.select(F.col("leaf").alias("node"), "ones", "some"), "simhash-nodes")
+    levels = [nodes]
+    for _ in range(height):
+        up = levels[-1].groupBy(F.expr(f"node DIV {FAN}").alias("node")).agg(F.bit_and("ones").alias("ones"), F.bit_or("some").alias("some"))
+        levels.append(saved(up, "simhash-nodes"))
+    pairs = leaves.sparkSession.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for level in range(height - 1, -1, -1):
+        kids = levels[level].groupBy(F.expr(f"node DIV {FAN}").alias("parent")).agg(F.collect_list(F.struct("node", "ones", "some")).alias("kids"))
+        kids = if_small(kids, FAN ** (height - level - 1), 24 * FAN + 32)
+        left, right = kids.select(F.col("parent").alias("a"), F.col("kids").alias("x")), kids.select(F.col("parent").alias("b"), F.col("kids").alias("y"))
+        near = "bit_count((p.ones ^ q.ones) & ~((p.ones ^ p.some) | (q.ones ^ q.some)))"
+        below = F.expr(f"flatten(transform(x, p -> transform(filter(y, q -> p.node <= q.node AND {near} <= {radius}), q -> struct(p.node AS a, q.node AS b))))")
+        # Both sides of a hot node are plain columns, which adaptive execution can split.
+        pairs = saved(pairs.join(left, "a").join(right, "b").select(F.explode(below).alias("p")).select("p.*"), "simhash-pairs")
+    return pairs
+
 
+def _leaf_links(radius: int):
+    """Rows (x, y: prints of two leaves; y null: one leaf) to a forest of the links between their fingerprints."""
 
-def _blocks(radius: int) -> Column:
-    """The cells of a row (cell, rest, width): one for each block of the bits in ``rest``."""
-    found = []
-    for k in range(radius + 1):
-        start = F.expr(f"CAST({k} * width DIV {radius + 1} AS INT)")
-        end = F.expr(f"CAST({k + 1} * width DIV {radius + 1} AS INT)")
-        low = F.expr(f"rest & (shiftleft(1L, CAST({k} * width DIV {radius + 1} AS INT)) - 1)")
-        width = end - start
-        value = F.expr(
-            f"shiftrightunsigned(rest, CAST({k} * width DIV {radius + 1} AS INT)) & (shiftleft(1L, CAST({k + 1} * width DIV {radius + 1} - {k} * width DIV {radius + 1} AS INT)) - 1)"
-        )
-        # A shift by the whole width would be none: the last block has nothing above it.
-        above = F.expr(
-            f"CASE WHEN {k} = {radius} THEN 0L ELSE shiftleft(shiftrightunsigned(rest, CAST({k + 1} * width DIV {radius + 1} AS INT)), CAST({k} * width DIV {radius + 1} AS INT)) END"
-        )
-        found.append(F.struct(F.xxhash64("cell", F.lit(k), value).alias("cell"), above.bitwiseOR(low).alias("rest"), (F.col("width") - width).cast("int").alias("width")))
-    return F.explode(F.array(*found))
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                left = np.frombuffer(x.as_buffer(), np.uint64)
+                right = np.frombuffer(y.as_buffer(), np.uint64) if y.is_valid else None
+                a, b = close_pairs(left, right, radius)
+                if not len(a):
+                    continue
+                prints = left if right is None else np.concatenate([left, right])
+                b = b if right is None else b + len(left)
+                kept = spanning_forest(len(prints), a, b, np.zeros(len(a), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(prints[v[kept]].view(np.int64)) for v in (a, b)], names=["a", "b"])
+
+    return links
 
 
 def close_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect the nodes of ``prints`` (fp, node) as all pairs within ``radius`` do."""
-    most = CELL_ROWS
-    carried = ["fp", "node"]
-    rows = prints.select(F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"), F.lit(64).alias("width"), *carried)
-    ready: list[DataFrame] = []
-    width = 64
-    while True:
-        rows = saved(rows.select(_blocks(radius).alias("c"), *carried).select("c.*", *carried), "simhash-cells")
-        # A cell below this width has no more distinct members than that.
-        width -= width // (radius + 1)
-        heavy = saved(rows.groupBy("cell").count().where(F.col("count") > most).select("cell"), "simhash-heavy")
-        if (1 << width) <= most or width <= radius + 1 or heavy.isEmpty():
-            ready.append(rows)
-            break
-        ready.append(rows.join(heavy, "cell", "left_anti"))
-        rows = rows.join(heavy, "cell", "left_semi")
-    cells = ready[0].select("cell", *carried)
-    for more in ready[1:]:
-        cells = cells.union(more.select("cell", *carried))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius), "a long, b long")
+    """Links (a, b) between distinct fingerprints ``prints`` (fp) that connect them as all pairs within ``radius`` do."""
+    leaves, count = index_leaves(prints)
+    pairs = close_leaves(leaves, count, radius)
+    left = leaves.select(F.col("leaf").alias("a"), F.col("prints").alias("x"))
+    right = leaves.select(F.col("leaf").alias("b"), F.col("prints").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"))
+    # Leaves are of one size and pairs independent of each other: any even spread will do.
+    return met.repartition(partitions(prints.sparkSession)).mapInArrow(_leaf_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -192,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column:
 def components_of(prints: DataFrame, radius: int) -> DataFrame:
     """``prints`` (doc_id, fp) with component_id."""
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    labels = connected_components(close_links(classes.select("fp", F.col("fp").alias("node")), radius)).withColumnRenamed("node", "fp")
+    labels = connected_components(close_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = classes.join(labels, "fp")
     smallest = linked.groupBy("rep").agg(F.min("first").alias("component_id"))
     joined = linked.join(saved(smallest, "simhash-smallest"), "rep").select("fp", "component_id")

@@ -2,17 +2,21 @@
 
 Vectors are quantised to integers.  Queries come in blocks and meet candidates in blocks;
 in each cell every component has its list of candidates sorted by value.  A query reads
-all lists in step, from the end that its component's sign favours.  What has been read
-gives each candidate a lower bound (unread components at their list's worst) and an upper
-bound (unread components at the list's frontier).  Reading stops when no candidate
-outside those seen can reach the k-th lower bound; the candidates whose upper bound still
-reaches it get their final scores, and cells are merged by rank.
+all lists in step, from the end that its component's sign favours.  What has been read of a
+candidate bounds its score: the sum so far, less or more at most the product of the lengths
+of the unread parts of both vectors (the candidates' lengths are known).  A candidate that no
+list has shown yet is also bounded by the sum of the lists' frontiers.  Reading stops when
+no outsider can reach the k-th lower bound and the candidates that still can are fewer than
+those a list would show in one more round; they get their final scores, and cells are merged
+by rank.  Bounds are rounded outwards, so the result is exact.
+
+Blocks are bounded in bytes: their rows shrink as vectors grow.
 
 Defined results: a vector that is null, holds a null or a non-finite component takes no
-part; vectors meet those of the same length only; of rows that share an id the smallest
-vector counts, once; equal scores go to the smaller id; scores are 64-bit integers, so
-components must stay below 2**25 in size; an empty table gives no rows; other columns are
-ignored.
+part, nor does one without an id; vectors meet those of the same length only; rows that share
+an id are rows of their own, as queries and as candidates; equal scores go to the smaller id;
+scores are 64-bit integers, so components must stay below 2**25 in size; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from pairlens.llm.common import partitions, saved
 
 SCALE = 1024
 K = 10
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 8192
+#: Bytes of the vectors of a block of queries and of candidates; sorted lists take three times as much.
+QUERY_BYTES, CANDIDATE_BYTES = 1 << 18, 1 << 22
 #: Rounds in which a list would be read to its end.
-ROUNDS = 16
+ROUNDS = 32
 
 
 def quantised(vector: Column) -> Column:
@@ -40,50 +44,54 @@ def quantised(vector: Column) -> Column:
 
 
 class SortedLists:
-    """The candidates of a cell, sorted by each component."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.vectors.T, self.rows, axis=1)
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k`` but the query's own, in order."""
+    """The candidates of a cell, sorted by each component; ``read`` and ``resolved`` count list entries and final scores."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.place = {row: at for at, row in enumerate(rows[order].tolist())}
+        self.squares = (self.vectors * self.vectors).sum(1)
+        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.read = self.resolved = 0
+
+    def top(self, query_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best ``k`` but the query's own row, in order."""
         n, lists = len(self.ids), np.flatnonzero(query)
-        own = np.searchsorted(self.ids, query_id)
-        own = own if own < n and self.ids[own] == query_id else -1
-        rivals = n - (own >= 0)
-        qualified = np.arange(n)
-        if rivals > k and len(lists):
-            weights = query[lists]
-            worst = np.where(weights > 0, weights * self.values[lists, 0], weights * self.values[lists, -1])
-            lower = np.full(n, worst.sum())
-            # What an unread component may still add above its list's worst.
-            seen = np.zeros((n, len(lists)), bool)
+        rival = np.ones(n, bool)
+        if query_row in self.place:
+            rival[self.place[query_row]] = False
+        open_ = rival
+        if rival.sum() > k and len(lists):
+            weights = query[lists].tolist()
+            total = int((query[lists] ** 2).sum())
+            summed, unread_query, unread = np.zeros(n, np.int64), np.full(n, total), self.squares.copy()
             step = max(1, -(-n // ROUNDS))
             for depth in range(0, n, step):
-                end = min(n, depth + step)
-                frontier = np.empty(len(lists), np.int64)
-                for c, (j, w) in enumerate(zip(lists.tolist(), weights.tolist(), strict=True)):
+                end, frontier = min(n, depth + step), 0
+                for j, w in zip(lists.tolist(), weights, strict=True):
                     part = slice(depth, end) if w < 0 else slice(n - end, n - depth)
-                    rows, gains = self.rows[j, part], w * self.values[j, part]
-                    lower[rows] += gains - worst[c]
-                    seen[rows, c] = True
-                    frontier[c] = gains[-1] if w < 0 else gains[0]
-                counted = lower if own < 0 else np.delete(lower, own)
-                reached = np.partition(counted, rivals - k)[rivals - k]
-                if frontier.sum() < reached:
-                    slack = (frontier - worst).astype(np.float64)
-                    upper = lower + (~seen).astype(np.float32) @ slack.astype(np.float32) * (1 + 1e-5) + 64
-                    qualified = np.flatnonzero(upper >= reached)
+                    rows, values = self.order[j, part], self.values[j, part]
+                    gains = w * values
+                    summed[rows] += gains
+                    unread_query[rows] -= w * w
+                    unread[rows] -= values * values
+                    frontier += int(gains[-1] if w < 0 else gains[0])
+                self.read += (end - depth) * len(lists)
+                far = np.sqrt(unread_query.astype(float) * unread)
+                far += 1 + 1e-12 * (far + np.abs(summed))
+                upper = summed + far
+                outside = unread_query == total
+                upper[outside] = np.minimum(upper[outside], frontier + 1 + 1e-12 * abs(frontier))
+                reached = np.partition((summed - far)[rival], -k)[-k]
+                open_ = rival & (upper >= reached)
+                if not (open_ & outside).any() and open_.sum() <= max(k, step):
                     break
-        scores = self.vectors[qualified] @ query
-        if own >= 0:
-            kept = qualified != own
-            qualified, scores = qualified[kept], scores[kept]
-        best = np.lexsort((qualified, -scores))[:k]
-        return self.ids[qualified[best]], scores[best]
+        left = np.flatnonzero(open_)
+        self.resolved += len(left)
+        scores = self.vectors[left] @ query
+        best = np.lexsort((left, -scores))[:k]
+        return self.ids[left[best]], scores[best]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -92,22 +100,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec
     ``queries`` is a condition on the column ``vec_id``.
     """
     spark = vectors.sparkSession
-    one = (
-        vectors.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column)).alias("v"))
-        .where("v IS NOT NULL AND vec_id IS NOT NULL")
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-    )
-    rows = saved(one, "topk-vectors")
+    one = vectors.select(F.col(id_column).cast("long").alias("vec_id"), quantised(F.col(vector_column)).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
+    # Numbers of rows are fixed by the write.
+    rows = saved(one.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     asked = rows.where(queries)
-    candidate_blocks = max(partitions(spark), -(-rows.count() // CANDIDATE_BLOCK))
-    query_blocks = -(-asked.count() // QUERY_BLOCK)
+    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    row_bytes = 8 * max(1, width)
+    candidate_blocks = max(partitions(spark), -(-count * row_bytes // CANDIDATE_BYTES))
+    query_blocks = -(-asked.count() * row_bytes // QUERY_BYTES)
 
-    def block(count: int, seed: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(max(1, count)).cast("long"))
+    def block(blocks: int, seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(max(1, blocks)).cast("long"))
 
-    def each(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, count) - 1).cast("long")))
+    def each(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, blocks) - 1).cast("long")))
 
     def cell(q: Column, c: Column) -> Column:
         return (q * candidate_blocks + c).alias("cell")
@@ -116,23 +122,23 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec
     right = rows.withColumn("c", block(candidate_blocks, 2)).withColumn("q", each(query_blocks))
 
     def search(queries_: pa.Table, candidates: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for width, asked_ids, asked_vectors in _by_width(queries_):
-            for other, ids, vectors_ in _by_width(candidates):
+        found: list[tuple[np.ndarray, ...]] = []
+        for width, asked_ids, asked_rows, asked_vectors in _by_width(queries_):
+            for other, ids, numbers, vectors_ in _by_width(candidates):
                 if other != width:
                     continue
-                lists = SortedLists(ids, vectors_)
-                for query_id, query in zip(asked_ids.tolist(), asked_vectors, strict=True):
-                    best, scores = lists.top(query_id, query, k)
-                    found.append((np.full(len(best), query_id, np.int64), best, scores))
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
-
-    columns = [cell(F.col("q"), F.col("c")), "vec_id", "v"]
+                lists = SortedLists(ids, numbers, vectors_)
+                for query_id, row, query in zip(asked_ids.tolist(), asked_rows.tolist(), asked_vectors, strict=True):
+                    best, scores = lists.top(row, query, k)
+                    found.append((np.full(len(best), query_id, np.int64), np.full(len(best), row, np.int64), best, scores))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("query_id", "row", "vec_id", "score"), columns, strict=True)))
+
+    columns = [cell(F.col("q"), F.col("c")), "vec_id", "row", "v"]
     grid = left.select(*columns).groupBy("cell").cogroup(right.select(*columns).groupBy("cell"))
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return (
-        grid.applyInArrow(search, "query_id long, vec_id long, score long")
+        grid.applyInArrow(search, "query_id long, row long, vec_id long, score long")
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
@@ -140,14 +146,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_column: str = "vec
 
 
 def _by_width(rows: pa.Table):
-    """(length, ids, vectors) for each length of vector among ``rows``."""
+    """(length, ids, numbers of rows, vectors) for each length of vector among ``rows``."""
     if not rows.num_rows:
         return
     lists = rows["v"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     lengths = np.diff(lists.offsets.to_numpy())
     flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
-    ids = rows["vec_id"].to_numpy()
+    ids, numbers = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
     for width in np.unique(lengths).tolist():
         own = np.flatnonzero(lengths == width)
-        yield width, ids[own], flat[starts[own][:, None] + np.arange(width)].astype(np.int64).reshape(len(own), width)
+        yield width, ids[own], numbers[own], flat[starts[own][:, None] + np.arange(width)].astype(np.int64).reshape(len(own), width)

@@ -1,10 +1,12 @@
 """URL verdicts from listed host and path prefixes, with column expressions alone.
 
-A listed entry is a host (it fits its subdomains) and a path prefix.  Entries are hashed
-into a blocked Bloom filter: a key sets PROBES bits of one 64-bit block, so a test reads
-one word.  A URL is tested at each (labels of the host, length of the path) that the list
-uses, a set that the limits on hosts and URLs bound; possible hits go on to an exact hash join, which removes false positives.  The
-longest entry decides; a URL that none fits is allowed.
+A listed entry is a host (it fits its subdomains) and a path prefix.  Canonical entries are
+hashed into a blocked Bloom filter: a key sets PROBES bits of one 64-bit block, so a test reads
+one word.  The filter is a table of its blocks, which a URL's keys meet by the number of the
+block: broadcast while its counted size allows, shuffled beyond, the same plan at any size.  A
+URL's keys are its host's suffixes with the path lengths that the list uses for that many
+labels.  Possible hits go on to an exact hash join, which removes false positives.  The longest
+entry decides; a URL that none fits is allowed.
 
 Defined results: a null URL or one without ``://`` has empty host and path; hosts and
 paths are compared as they stand but for A to Z in hosts; repeated rows each get their
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ascii_lower, if_small, power_of_two
+from pairlens.llm.common import ascii_lower, if_small, power_of_two, saved
 
 #: (host, path prefix, verdict)
 RULES = (
@@ -29,8 +31,6 @@ RULES = (
 )
 BITS_PER_KEY = 16
 PROBES = 5
-#: Entries up to which the filter (2 bytes each) goes along with the plan; a longer list is joined without it.
-FILTER_ENTRIES = 4_000_000
 
 
 def rules_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -50,7 +50,7 @@ def labels(host: Column) -> Column:
 
 
 def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks).cast("long")).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(blocks).cast("long"))
 
 
 def _mask(key: Column) -> Column:
@@ -66,14 +66,26 @@ def _or(columns: list[Column]) -> Column:
     return found
 
 
-def bloom_blocks(keys: DataFrame, entries: int) -> list[int]:
-    """The filter's blocks; the caller has checked that ``entries`` are few enough."""
+def bloom_filter(keys: DataFrame, entries: int) -> tuple[DataFrame, int]:
+    """The filter's blocks (block, word) that hold bits, and the number of all its blocks."""
     blocks = power_of_two(max(1, entries * BITS_PER_KEY // 64))
-    found = keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("word")).collect()
-    words = [0] * blocks
-    for row in found:
-        words[row["block"]] = row["word"]
-    return words
+    return keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("word")), blocks
+
+
+def possible_hits(keys: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``keys`` (row, key) that the filter lets pass."""
+    mask = _mask(F.col("key"))
+    probed = keys.withColumn("block", _block(F.col("key"), blocks)).join(if_small(words, blocks, 48), "block")
+    return probed.where(F.col("word").bitwiseAND(mask) == mask).select("row", "key")
+
+
+def listed_keys(host: str, path: str, lengths: dict[int, list[int]]) -> Column:
+    """The keys that a list with these path lengths by number of labels may hold for a URL."""
+    # An index is a number of labels; the arrays are literals that the limits on hosts and URLs bound.
+    table = "array(" + ", ".join(f"CAST(array({', '.join(map(str, lengths.get(c, [])))}) AS array<int>)" for c in range(1, max(lengths) + 1)) + ")"
+    counts = f"filter(sequence(1, least(size(split({host}, '[.]', -1)), {max(lengths)})), c -> size(element_at({table}, c)) > 0)"
+    prefixes = f"transform(filter(element_at({table}, c), n -> n <= length({path})), n -> concat(substring_index({host}, '.', -c), left({path}, n)))"
+    return F.expr(f"array_distinct(flatten(transform({counts}, c -> {prefixes})))")
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -87,28 +99,22 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_co
     )
     host, path = host_and_path(F.col(url_column))
     urls = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
-    shapes = [(r["labels"], r["path_length"]) for r in listed.select("labels", "path_length").distinct().collect()]
-    if not shapes:
-        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    listed = saved(listed, "url-list")
     entries = listed.count()
-    keys = F.array(
-        *[F.when(F.length("path") >= length, F.concat(F.substring_index("host", ".", -count), F.substring("path", 1, length))) for count, length in sorted(shapes)]
-    )
-    found = F.filter(keys, lambda k: k.isNotNull())
-    if entries <= FILTER_ENTRIES:
-        words = bloom_blocks(listed, entries)
-        found = F.filter(found, lambda k: F.element_at(F.lit(words), _block(k, len(words)) + 1).bitwiseAND(_mask(k)) == _mask(k))
-    possible = urls.withColumn("keys", F.array_distinct(found)).where(F.size("keys") > 0)
+    if not entries:
+        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    lengths: dict[int, list[int]] = {}
+    for shape in sorted(listed.select("labels", "path_length").distinct().collect()):
+        lengths.setdefault(shape["labels"], []).append(shape["path_length"])
+    # Numbers of rows are fixed by the write.
+    urls = saved(urls.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    words, blocks = bloom_filter(listed, entries)
+    keys = urls.select("row", F.explode(listed_keys("host", "path", lengths)).alias("key"))
     entry = F.struct(F.length("key").alias("length"), "host_length", "key", "verdict")
     hits = (
-        possible.select("page_id", "host", "path", F.explode("keys").alias("key"))
+        possible_hits(keys, saved(words, "url-filter"), blocks)
         .join(if_small(listed.select("key", "host_length", "verdict"), entries, 256), "key")
-        .groupBy("page_id", "host", "path")
+        .groupBy("row")
         .agg(F.max(entry).alias("entry"))
     )
-    same = F.expr("u.page_id <=> h.page_id AND u.host = h.host AND u.path = h.path")
-    return (
-        urls.alias("u")
-        .join(hits.alias("h"), same, "left")
-        .select("u.page_id", "u.host", "u.path", F.col("entry.key").alias("rule"), F.coalesce("entry.verdict", F.lit("allow")).alias("verdict"))
-    )
+    return urls.join(hits, "row", "left").select("page_id", "host", "path", F.col("entry.key").alias("rule"), F.coalesce("entry.verdict", F.lit("allow")).alias("verdict"))

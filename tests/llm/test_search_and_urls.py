@@ -7,19 +7,17 @@ from pairlens.llm import topk, url_filter
 
 
 def brute_top(rows, k):
-    vectors = {}
+    vectors = []
     for i, v in rows:
-        if v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        q = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-        vectors[i] = min(vectors.get(i, q), q)
-    out = set()
-    for i, q in vectors.items():
+        if v is not None and not any(x is None or not np.isfinite(x) for x in v):
+            vectors.append((i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]))
+    out = []
+    for at, (i, q) in enumerate(vectors):
         if i % 100:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors.items() if j != i and len(v) == len(q))
-        out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])}
-    return out
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for other, (j, v) in enumerate(vectors) if other != at and len(v) == len(q))
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
@@ -28,17 +26,33 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in (base[i % 6] + 0.1 * rng.normal(size=12)) / 4]) for i in range(900)]
     rows += [(1000 + i, rows[0][1]) for i in range(30)]  # ties
     rows += [(2000, None), (2001, [None] * 12), (2002, [float("nan")] * 12), (2003, [float("inf")] * 12), (2100, [0.0] * 12), (2200, []), (5, rows[7][1]), (6, rows[6][1])]
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 200)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(1))
-    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()}
+    rows += [(100, [0.9] * 12), (100, [1.0] * 12), (101, [1.0] * 12), (101, [0.5] * 12)]  # rows that share an id
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 200 * 12 * 8)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4 * 12 * 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("row", F.lit(0))
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect())
     assert got == brute_top(rows, 10)
 
 
+def test_bounds_leave_few_candidates_to_resolve():
+    rng = np.random.default_rng(3)
+    for width, noise in ((64, 1.0), (16, 1.0), (64, 0.3)):
+        centres = rng.normal(size=(20, width))
+        x = (centres[rng.integers(0, 20, 4000)] if noise < 1 else 0) + noise * rng.normal(size=(4000, width))
+        v = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+        lists = topk.SortedLists(np.arange(4000), np.arange(4000), v)
+        for i in range(0, 4000, 200):
+            ids, scores = lists.top(i, v[i], 10)
+            every = v @ v[i]
+            every[i] = -(2**62)
+            assert np.array_equal(ids, np.lexsort((np.arange(4000), -every))[:10]) and np.array_equal(scores, every[ids])
+        assert lists.resolved <= 20 * 4000 // 32 + 20 * 10
+
+
 def test_top_k_of_few_rows_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.25, -1.0]), (100, [0.0, 0.0])], schema)
-    got = {tuple(r) for r in topk.top_k(few, F.col("vec_id") % 100 == 0).collect()}
+    got = sorted(tuple(r) for r in topk.top_k(few, F.col("vec_id") % 100 == 0).collect())
     assert got == brute_top([(0, [1.0, 0.5]), (1, [0.25, -1.0]), (100, [0.0, 0.0])], 10)
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).collect() == []
 
@@ -72,10 +86,17 @@ def test_url_verdicts_equal_brute_force(spark):
 
 
 def test_url_filter_has_no_false_negatives(spark):
-    keys = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
-    words = url_filter.bloom_blocks(keys, 3000)
-    tested = F.element_at(F.lit(words), url_filter._block(F.col("key"), len(words)) + 1).bitwiseAND(url_filter._mask(F.col("key"))) == url_filter._mask(F.col("key"))
-    assert keys.where(~tested).count() == 0
-    others = spark.range(3000, 23000).select(F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
-    assert others.where(tested).count() < 1000
+    keys = spark.range(3000).select(F.col("id").alias("row"), F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
+    words, blocks = url_filter.bloom_filter(keys, 3000)
+    assert url_filter.possible_hits(keys, words, blocks).count() == 3000
+    others = spark.range(3000, 23000).select(F.col("id").alias("row"), F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
+    assert url_filter.possible_hits(others, words, blocks).count() < 1000
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.rules_table(spark)).collect() == []
+
+
+def test_a_list_of_a_million_entries(spark):
+    host = F.concat(F.lit("h"), "id", F.when(F.col("id") % 3 == 0, ".co.uk").otherwise(".com"))
+    rules = spark.range(1_000_000).select(host.alias("host"), F.concat(F.lit("/"), F.expr("repeat('p', CAST(id % 40 AS INT))")).alias("path"), F.lit("block").alias("verdict"))
+    urls = [(i, f"http://www.h{i}.{'co.uk' if i % 3 == 0 else 'com'}/{'p' * (i % 40 - (i % 5 == 0))}x") for i in range(1, 1000, 7)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got == {i: "allow" if i % 5 == 0 and i % 40 else "block" for i, _ in urls}

@@ -52,7 +52,8 @@ def texts(rng, n):
 def test_fingerprints_and_components_equal_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     rows = list(enumerate(texts(rng, 150))) + [(900, None), (901, ""), (902, " \t\n"), (903, "A\tb\x0bC"), (904, "a b c"), (5, "twice"), (950, "z " * 40000), (951, "z " * 40001)]
-    monkeypatch.setattr(simhash, "CELL_ROWS", 8)
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 8)
+    monkeypatch.setattr(simhash, "FAN", 2)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn("component_id", F.lit(1))
     got = simhash.near_duplicates(df).select("doc_id", simhash.hexadecimal(F.col("fp")), "component_id").collect()
     prints = [brute_fingerprint(t, 3) for _, t in rows]
@@ -62,7 +63,8 @@ def test_fingerprints_and_components_equal_brute_force(spark, monkeypatch):
 
 def test_links_of_dense_fingerprints_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 16)
+    monkeypatch.setattr(simhash, "FAN", 3)
     for radius in (1, 2, 4):
         base = rng.integers(0, 2**63, 12, dtype=np.uint64)
         prints = {int(b) for b in base}
@@ -79,14 +81,40 @@ def test_links_of_dense_fingerprints_equal_brute_force(spark, monkeypatch):
 
 def test_close_pairs_equal_brute_force():
     rng = np.random.default_rng(4)
-    for n in (1, 2, 5, 17, 300):
+
+    def leaf(n):
         prints = np.unique(rng.integers(0, 2**12, n, dtype=np.uint64))
-        prints = prints[np.argsort(simhash.gray_rank(prints))]
-        a, b = simhash.close_pairs(prints, 2)
-        want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if bin(int(prints[i]) ^ int(prints[j])).count("1") <= 2}
+        return prints[np.argsort(simhash.gray_rank(prints))]
+
+    for n, m in ((1, 1), (2, 40), (5, 3), (17, 17), (300, 90)):
+        one, two = leaf(n), leaf(m)
+        a, b = simhash.close_pairs(one, None, 2)
+        want = {(i, j) for i in range(len(one)) for j in range(i + 1, len(one)) if bin(int(one[i]) ^ int(one[j])).count("1") <= 2}
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+        a, b = simhash.close_pairs(one, two, 2)
+        want = {(i, j) for i in range(len(one)) for j in range(len(two)) if bin(int(one[i]) ^ int(two[j])).count("1") <= 2}
         assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
+def test_the_index_descends_and_prunes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 16)
+    monkeypatch.setattr(simhash, "FAN", 4)
+    rng = np.random.default_rng(9)
+    # Groups of prints a few bits apart, far from the other groups.
+    prints = np.unique([int(b) ^ (1 << int(rng.integers(0, 8))) ^ (1 << int(rng.integers(0, 8))) for b in rng.integers(0, 2**62, 40, dtype=np.uint64) for _ in range(20)]).astype(np.uint64)
+    df = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    leaves, count = simhash.index_leaves(df)
+    rows = sorted(leaves.collect(), key=lambda r: r["leaf"])
+    ranks = [x for r in rows for x in simhash.gray_rank(np.frombuffer(r["prints"], np.uint64)).tolist()]
+    assert [r["leaf"] for r in rows] == list(range(count)) and ranks == sorted(set(ranks)) and len(ranks) == len(prints)
+    pairs = [tuple(r) for r in simhash.close_leaves(leaves, count, 2).collect()]
+    # The whole result comes from these pairs of leaves, and most pairs are pruned.
+    assert len(pairs) == len(set(pairs)) < count * (count + 1) // 4
+    home = {int(p): r["leaf"] for r in rows for p in np.frombuffer(r["prints"], np.uint64)}
+    close = {tuple(sorted((home[int(p)], home[int(q)]))) for p in prints for q in prints if bin(int(p) ^ int(q)).count("1") <= 2}
+    assert close <= set(pairs)
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["rep"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
