@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,25 +31,69 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; only a session without that setting (a local
-    test) gets a folder of its own, removed when the process ends.
+    ``spark.checkpoint.dir`` names it.  Without that setting a session in one process (a test) gets
+    a folder of its own, removed when the process ends; on a cluster it is an error, since each
+    executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share; the master is {master}")
         found = tempfile.mkdtemp(prefix="pairlens-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables written by the scopes that are open, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The saved result of ``make``; tables that it wrote on the way are deleted."""
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        df = make()
+        spark = df.sparkSession
+        out = saved(df, label)
+    finally:
+        _scopes.pop()
+    for path in written[:-1]:
+        _delete(spark, path)
+    if _scopes:
+        _scopes[-1].append(written[-1])
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

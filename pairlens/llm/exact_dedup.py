@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import SPACE, if_small, partitions, power_of_two, saved
+from pairlens.llm.common import SPACE, fresh, if_small, partitions, power_of_two, saved
 
 #: Fingerprints that a merged range of quotients holds on average, at most.
 RANGE_ROWS = 32_768
@@ -173,17 +173,19 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with one row of each group of equal texts: the one with the smallest id."""
     judged = saved(exact_dedup(docs, id_column, text_column).select("doc_id", "text_sha256", "kept"), "dedup-judged")
-    id_, digest = F.col(id_column).cast("long"), F.sha2(normalised(F.col(text_column)), 256)
     dropped = judged.where(~F.col("kept")).select("doc_id", "text_sha256")
     twice = saved(judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256"), "dedup-twice")
+    # The caller's columns stay as they are, whatever their names.
+    id_, digest = fresh(docs, "id", "digest")
+    marked = docs.withColumns({id_: F.col(id_column).cast("long"), digest: F.sha2(normalised(F.col(text_column)), 256)})
 
-    def same(other: str) -> Column:
-        return F.col("_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("_digest") == F.col(f"{other}.text_sha256"))
+    def named(rows: DataFrame) -> tuple[DataFrame, Column]:
+        other = rows.toDF("other_doc_id", "other_text_sha256").alias("other")
+        return other, F.col(id_).eqNullSafe(F.col("other.other_doc_id")) & (F.col(digest) == F.col("other.other_text_sha256"))
 
-    marked = docs.withColumns({"_id": id_, "_digest": digest})
-    rest = marked.join(dropped.alias("d"), same("d"), "left_anti")
+    rest = marked.join(*named(dropped), "left_anti")
     if not twice.isEmpty():
         # The same id and text more than once: such rows are told apart by nothing, any one stays.
-        once = rest.join(twice.alias("t"), same("t"), "left_semi").dropDuplicates(["_id", "_digest"])
-        rest = rest.join(twice.alias("t"), same("t"), "left_anti").unionByName(once)
-    return rest.drop("_id", "_digest")
+        once = rest.join(*named(twice), "left_semi").dropDuplicates([id_, digest])
+        rest = rest.join(*named(twice), "left_anti").unionByName(once)
+    return rest.drop(id_, digest)

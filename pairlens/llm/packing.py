@@ -164,7 +164,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_col
     spread = 4 * partitions(docs.sparkSession)
     salts = {length: -(-count * spread // total) for length, count in histogram.items()}
 
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.element_at(F.lit([salts.get(i, 1) for i in range(1, size + 1)]), F.col("length")))
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.element_at(F.lit([salts.get(i, 1) for i in range(1, size + 1)]), F.col("length")))
     salted = pieces.withColumn("salt", salt.cast("int"))
     # At most ``size`` + 4 x partitions groups: the rank where each one starts.
     groups = sorted((r["length"], r["salt"], r["count"]) for r in salted.groupBy("length", "salt").count().collect())
@@ -192,5 +192,5 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, id_col
             kept[-1] = pa.array([np.frombuffer(x.as_buffer(), _TRANSIT).astype("<u4").tobytes() for x in kept[-1]], pa.binary())
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequences), pa.array(offsets)], names=[*(f.split()[0] for f in PIECES.split(", ")), "sequence_id", "offset"])
 
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "start")
+    order = W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids")
     return salted.withColumn("rank", F.row_number().over(order) - 1).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import UPPER, if_small, partitions, runs, saved
+from pairlens.llm.common import UPPER, fresh, if_small, partitions, runs, saved
 from pairlens.llm.components import connected_components, spanning_forest
 
 SEED = 42
@@ -40,6 +40,9 @@ SET_KEY = ("k0", "k1")
 BANDS, BAND_ROWS = 32, 6
 #: Rounds of links along cells before all that is left is compared.
 CHAIN_ROUNDS = 3
+#: Nodes of a cell up to which its pairs go on as rows; a larger one is cut into blocks of so many nodes
+#: and bytes of shingles, and pairs of blocks meet in tasks.
+PAIR_NODES, BLOCK_NODES, BLOCK_BYTES = 32, 128, 1 << 24
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _CHUNK = 1 << 15
 
@@ -356,21 +359,76 @@ def verified_links(links: DataFrame, sets: DataFrame, similarity: float) -> Data
     return links.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "x", "y").mapInArrow(compare, "a long, b long, ca long, cb long")
 
 
-def linked_nodes(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def block_links(rows: DataFrame, bands: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (ca, cb) between the components of large cells ``rows`` (cell, node, size, comp, count, bytes) that a
+    pair of nodes of a cell with that exact Jaccard similarity, or more, joins.
+
+    A pair of nodes is compared in the first of its common ``bands`` (node, cells) alone.
+    """
+    names = ["cell", "i", "j", "node", "comp", "side", "cells", "shingles"]
+
+    def compare(group: pa.Table) -> pa.Table:
+        cell, i, j = (group[c][0].as_py() for c in ("cell", "i", "j"))
+        comp, side = (group[c].to_numpy() for c in ("comp", "side"))
+        cells = np.array(group["cells"].to_pylist(), np.int64)
+        values = [np.frombuffer(x.as_buffer(), "<u8") for x in group["shingles"]]
+        sizes = np.array([len(v) for v in values])
+        owner = np.repeat(np.arange(len(values)), sizes)
+        columns = np.unique(np.concatenate(values), return_inverse=True)[1]
+        order = np.argsort(columns, kind="stable")
+        owner, columns = owner[order], columns[order]
+        # Sizes of all intersections: a matrix product over a part of the shingles at a time.
+        both, width = np.zeros((len(values),) * 2, np.float32), max(1, (1 << 24) // len(values))
+        for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, width):
+            part = slice(*np.searchsorted(columns, [at, at + width]))
+            held = np.zeros((len(values), width), np.float32)
+            held[owner[part], columns[part] - at] = 1
+            both += held @ held.T
+        both = both.astype(float)
+        alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+        a, b = np.nonzero(np.triu(alike & (comp[:, None] != comp[None, :]), 1))
+        if i != j:
+            across = side[a] != side[b]
+            a, b = a[across], b[across]
+        common = cells[a] == cells[b]
+        first = cells[a, common.argmax(1)] == cell
+        a, b = a[first], b[first]
+        kinds, index = np.unique(comp, return_inverse=True)
+        kept = spanning_forest(len(kinds), index[a], index[b], np.zeros(len(a), np.int64))
+        return pa.table({"ca": comp[a[kept]], "cb": comp[b[kept]]})
+
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
+    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")))
+    met = own.select("cell", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return met.join(bands, "node").join(sets, "node").select(*names).groupBy("cell", "i", "j").applyInArrow(compare, "ca long, cb long")
+
+
+def linked_nodes(cells: DataFrame, bands: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, rep) of the nodes of ``cells`` (cell, node, size): the components of all pairs of a cell that
     have the exact ``similarity``.
 
     Rounds compare neighbours in each cell and join what is confirmed; a last one compares all pairs of a
-    cell that aren't joined by then.
+    cell that aren't joined by then, those of large cells in blocks.
     """
     labels = saved(cells.select("node").distinct().withColumn("comp", F.col("node")), "simhash-labels")
     checked: DataFrame | None = None
     for step in (*range(CHAIN_ROUNDS), None):
         rows = cells.join(labels, "node").select("cell", "node", "size", "comp")
+        blocked: DataFrame | None = None
+        if step is None:
+            # Cells whose nodes are all joined are done.
+            rows = saved(rows, "simhash-open")
+            sizes = rows.groupBy("cell").agg(F.count("*").alias("count"), (8 * F.sum("size")).alias("bytes"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+            sizes = saved(sizes.where("least < most").select("cell", "count", "bytes"), "simhash-sizes")
+            large = saved(rows.join(sizes.where(F.col("count") > PAIR_NODES), "cell"), "simhash-large")
+            blocked = saved(block_links(large, bands, sets, similarity), "simhash-blocked")
+            rows = rows.join(sizes.where(F.col("count") <= PAIR_NODES).select("cell"), "cell", "left_semi")
         new = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_unlinked(similarity, step), "a long, b long, ca long, cb long").distinct()
         new = saved(new if checked is None else new.join(checked, ["a", "b"], "left_anti"), "simhash-links")
         checked = new.select("a", "b") if checked is None else checked.union(new.select("a", "b"))
-        good = saved(verified_links(new, sets, similarity), "simhash-verified")
+        good = saved(verified_links(new, sets, similarity), "simhash-verified").select("ca", "cb")
+        good = good if blocked is None else good.union(blocked)
         moves = connected_components(good.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
         moves = moves.select(F.col("node").alias("comp"), "rep")
         labels = saved(labels.join(moves, "comp", "left").select("node", F.coalesce("rep", "comp").alias("comp")), "simhash-labels")
@@ -393,11 +451,14 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILA
     cells = saved(cells.mapInArrow(_shared, "cell long, node long, size long"), "simhash-cells")
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    marked = docs.withColumns({"_id": F.col(id_column).cast("long"), "_h": F.xxhash64(text)})
+    # The caller's columns stay as they are, whatever their names.
+    id_, hash_, text_ = fresh(docs, "id", "h", "shingled")
+    marked = docs.withColumns({id_: F.col(id_column).cast("long"), hash_: F.xxhash64(text)})
     named = saved(cells.select("node").distinct().join(classes, "node").select("node", "first", "first_h"), "simhash-named")
-    same = F.col("_id").eqNullSafe(F.col("n.first")) & (F.col("_h") == F.col("n.first_h"))
-    texts = marked.select("_id", "_h", text.alias("_text")).join(named.alias("n"), same).groupBy("node").agg(F.min("_text").cast("binary").alias("text"))
-    labels = linked_nodes(cells, saved(shingle_sets(texts, words), "simhash-shingles"), similarity)
+    same = F.col(id_).eqNullSafe(F.col("n.first")) & (F.col(hash_) == F.col("n.first_h"))
+    texts = marked.select(id_, hash_, text.alias(text_)).join(named.alias("n"), same).groupBy("n.node").agg(F.min(text_).cast("binary").alias("text"))
+    bands = classes.select("node", "cells")
+    labels = linked_nodes(cells, bands, saved(shingle_sets(texts, words), "simhash-shingles"), similarity)
 
     linked = classes.select("node", "first").join(labels, "node")
     smallest = saved(linked.groupBy("rep").agg(F.min("first").alias("keep_id")), "simhash-smallest")
@@ -405,5 +466,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILA
     kept = classes.select("node", *SET_KEY, "first").join(saved(linked, "simhash-linked"), "node", "left")
     kept = saved(kept.select(*SET_KEY, F.coalesce("keep_id", "first").alias("keep_id")), "simhash-kept")
     gone = rows.select("doc_id", "h", *SET_KEY).join(kept, [*SET_KEY]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("h").alias("gone_h"))
-    gone = saved(gone, "simhash-gone")
-    return marked.join(gone.alias("g"), F.col("_id").eqNullSafe(F.col("g.doc_id")) & (F.col("_h") == F.col("g.gone_h")), "left_anti").drop("_id", "_h")
+    gone = saved(gone.toDF("gone_id", "gone_h"), "simhash-gone").alias("gone")
+    return marked.join(gone, F.col(id_).eqNullSafe(F.col("gone.gone_id")) & (F.col(hash_) == F.col("gone.gone_h")), "left_anti").drop(id_, hash_)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.llm import exact_dedup, mixing
+from pairlens.llm import common, exact_dedup, mixing
 
 
 def norm(t):
@@ -113,3 +113,45 @@ def test_mixed_rows_carry_out_the_mix(spark):
     assert got == {k: v for k, v in plan.items() if v}
     empty = df.limit(0)
     assert mixing.mix(empty).collect() == [] and mixing.mixed(empty).collect() == []
+
+
+def test_copies_go_and_clashing_columns_stay(spark):
+    rows = dedup_rows()
+    extra = {"_id": F.lit(1), "_digest": F.lit("d"), "id": F.lit(2), "digest": F.lit(3), "text_sha256": F.lit("x"), "kept": F.lit(False), "other_doc_id": F.lit(4)}
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").withColumns(extra)
+    out = exact_dedup.drop_copies(df)
+    assert out.columns == df.columns
+    found = out.collect()
+    first = {}
+    for i, t in rows:
+        first[norm(t)] = min(i, first.get(norm(t), i))
+    assert sorted(r["doc_id"] for r in found) == sorted(first.values())
+    assert {(r["_id"], r["_digest"], r["id"], r["digest"], r["other_doc_id"]) for r in found} == {(1, "d", 2, 3, 4)}
+
+
+def test_tables_written_on_the_way_are_deleted(spark):
+    import os
+
+    paths = []
+
+    def make():
+        one = common.saved(spark.range(5), "one")
+        inner = common.finished(lambda: common.saved(one, "two").where("id > 1"), "inner")
+        paths.extend(os.path.dirname(f.replace("file:", "").replace("//", "/")) for d in (one, inner) for f in d.inputFiles())
+        return inner.where("id > 2")
+
+    out = common.finished(make, "out")
+    assert out.count() == 2 and paths and not any(map(os.path.exists, paths))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    assert common.shared_dir(spark)

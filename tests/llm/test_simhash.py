@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -144,10 +145,12 @@ def test_near_copies_go_and_others_stay(spark):
             rows.append((10 * k + j, " ".join(copy)))
             near.append(10 * k + j)
     rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "One  two"), (0, rows[0][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", F.lit(1)).withColumn("fp", F.lit(2)).withColumnRenamed("_h", "h")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", F.lit(1)).withColumn("fp", F.lit(2)).withColumns({"_id": F.lit(7), "_text": F.lit("x"), "h": F.lit(1), "id": F.lit(3), "other": F.lit(4), "node": F.lit(5), "first": F.lit(6)})
     kept = simhash.drop_near_copies(df)
     assert kept.columns == df.columns
-    ids = [r["doc_id"] for r in kept.collect()]
+    found = kept.collect()
+    assert {(r["_h"], r["_id"], r["_text"], r["id"], r["other"], r["node"], r["first"]) for r in found} == {(1, 7, "x", 3, 4, 5, 6)}
+    ids = [r["doc_id"] for r in found]
     assert set(distinct) <= set(ids) and len(set(near) & set(ids)) <= 0.1 * len(near)
     assert 5000 in ids and 5001 not in ids and 5002 in ids and 5003 not in ids
     assert simhash.drop_near_copies(df.limit(0)).collect() == []
@@ -207,7 +210,13 @@ def test_copies_with_a_replaced_block_go(spark):
         assert sorted(r["doc_id"] for r in kept) == list(range(0, len(rows), 2))
 
 
-def test_every_link_of_a_near_threshold_group_counts(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_every_link_of_a_near_threshold_group_counts(spark, monkeypatch, small):
+    if small:
+        # Nearly all cells are cut into blocks, and neighbours aren't joined before.
+        monkeypatch.setattr(simhash, "PAIR_NODES", 2)
+        monkeypatch.setattr(simhash, "BLOCK_NODES", 4)
+        monkeypatch.setattr(simhash, "CHAIN_ROUNDS", 0)
     rng = random.Random(21)
     rows = []
     for _ in range(12):

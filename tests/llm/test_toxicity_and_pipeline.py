@@ -94,7 +94,7 @@ def test_pipeline_takes_out_what_is_planted(spark, tmp_path):
     spark.createDataFrame(all_, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
 
-    frame, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    frame, kept = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumns({"_toxicity": F.lit(1), "toxicity_score": F.lit(2), "_id": F.lit(3)}), []
     for name, stage in corpus_pipeline.STAGES:
         before = frame
         frame = stage(spark, before, str(tmp_path)).cache()
