@@ -6,11 +6,14 @@ mention licences without granting one; a temperature fitted on rows it has not s
 calibrates its probabilities.  A prediction stands only if enough of the family's template
 phrases occur in the paragraph, else the family is unknown.
 
-Paragraphs are lines.  A notice may go on over further lines: a line that isn't confirmed
-alone is judged with the words behind it, as many as twice the longest template has, and
-takes their family if these words aren't confirmed without it.  Words are left out before
-scoring only if they hold none of ``template_words()``, without which no template can be
-confirmed.  Equal texts are scored once and joined back.  Scoring has column expressions alone.
+A paragraph ends at a line without letters or digits; its rows are named by the line where a
+notice starts.  A line is judged alone first; one that isn't confirmed alone is judged with the
+words behind it in its paragraph, as many as twice the longest template has, and takes their
+family if these words aren't confirmed without it.  So wrapped notices count where they start,
+comment marks around them fall away with all that isn't a letter or a digit, and a long
+paragraph may hold several notices.  Words are left out before scoring only if they hold none
+of ``template_words()``, without which no template can be confirmed.  Equal texts are scored
+once and joined back.  Scoring has column expressions alone.
 
 Defined results: a null or empty text has no paragraphs; a paragraph that no template
 confirms has family ``unknown``; equal probabilities go to the family first in order;
@@ -30,33 +33,104 @@ from pairlens.llm.common import if_small, saved
 UNKNOWN = "unknown"
 #: Customary notices by family, as their licences word them.
 TEMPLATES = {
+    "agpl": (
+        "licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",
+        "spdx license identifier agpl 3.0",
+    ),
     "apache": (
         "licensed under the apache license version 2.0",
         "you may not use this file except in compliance with the license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "see the license for the specific language governing permissions and limitations under the license",
+        "spdx license identifier apache 2.0",
+        "lizenziert unter der apache lizenz version 2.0",
+        "sous licence apache version 2.0",
+        "bajo la licencia apache versión 2.0",
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "licensed under the bsd license",
+        "use of this source code is governed by a bsd style license that can be found in the license file",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+        "spdx license identifier bsd 3 clause",
+        "spdx license identifier bsd 2 clause",
+    ),
+    "cc-by": (
+        "licensed under a creative commons attribution 4.0 international license",
+        "licensed under cc by 4.0",
+        "spdx license identifier cc by 4.0",
+        "lizenz cc by 4.0",
+        "sous licence cc by 4.0",
+        "bajo licencia cc by 4.0",
+    ),
+    "cc-by-nc": (
+        "licensed under cc by nc 4.0",
+        "licensed under a creative commons attribution noncommercial 4.0 international license",
+        "spdx license identifier cc by nc 4.0",
+        "lizenz cc by nc 4.0",
+        "sous licence cc by nc 4.0",
+        "bajo licencia cc by nc 4.0",
+    ),
+    "cc-by-sa": (
+        "licensed under cc by sa 4.0",
+        "licensed under a creative commons attribution sharealike 4.0 international license",
+        "text is available under the creative commons attribution sharealike license",
+        "spdx license identifier cc by sa 4.0",
+        "lizenz cc by sa 4.0",
+        "sous licence cc by sa 4.0",
+        "bajo licencia cc by sa 4.0",
+    ),
+    "cc0": (
+        "dedicated to the public domain under cc0 1.0 universal",
+        "released into the public domain",
+        "this is free and unencumbered software released into the public domain",
+        "waived all copyright and related or neighboring rights to this work",
+        "spdx license identifier cc0 1.0",
     ),
-    "cc-by": ("licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0"),
-    "cc-by-nc": ("licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license"),
-    "cc-by-sa": ("licensed under cc by sa 4.0", "licensed under a creative commons attribution sharealike 4.0 international license"),
-    "cc0": ("dedicated to the public domain under cc0 1.0 universal", "released into the public domain"),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "you should have received a copy of the gnu general public license along with this program",
+        "spdx license identifier gpl 2.0",
+        "spdx license identifier gpl 3.0",
+        "lizenziert unter der gnu general public license version 3",
+        "sous licence gnu general public license version 3",
+    ),
+    "lgpl": (
+        "licensed under the gnu lesser general public license version 2.1",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        "spdx license identifier lgpl 2.1",
+        "spdx license identifier lgpl 3.0",
     ),
-    "lgpl": ("licensed under the gnu lesser general public license version 2.1",),
     "mit": (
         "released under the mit license",
         "licensed under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         "the software is provided as is without warranty of any kind",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "spdx license identifier mit",
+        "veröffentlicht unter der mit lizenz",
+        "publié sous licence mit",
+        "publicado bajo la licencia mit",
+    ),
+    "mpl": (
+        "this source code form is subject to the terms of the mozilla public license v 2.0",
+        "licensed under the mozilla public license version 2.0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+        "spdx license identifier mpl 2.0",
+    ),
+    "proprietary": (
+        "copyright all rights reserved no part may be reproduced without permission",
+        "all rights reserved",
+        "no part may be reproduced without permission",
+        "proprietary and confidential",
+        "unauthorized copying of this file via any medium is strictly prohibited",
+        "alle rechte vorbehalten",
+        "tous droits réservés",
+        "todos los derechos reservados",
     ),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2.0",),
-    "proprietary": ("copyright all rights reserved no part may be reproduced without permission", "all rights reserved", "no part may be reproduced without permission"),
 }
 #: Sentences that mention licences, rights or warranties and grant nothing.
 OTHER = (
@@ -70,10 +144,17 @@ OTHER = (
     "a fishing license is needed in this area under the law",
     "she was licensed as a nurse in this state",
     "public records are kept in the general office",
+    "spdx license identifier zlib",
+    "spdx license identifier isc",
+    "identifier of the license plate",
+    "you should have received a copy of the letter",
+    "a free program of the public library",
+    "the rights of all are reserved seats",
+    "the source of the software was not named in the file",
 )
-CUES = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|public\W+domain|rights\W+reserved"
+CUES = r"(?i)li[cz]en[scz]|permission|copyright|warrant|redistribut|public\W+domain|rights\W+reserved"
 #: Lengths of the n-grams in words, draws of training rows per template, and passes over them.
-GRAMS, DRAWS, PASSES = (1, 2, 3), 60, 300
+GRAMS, DRAWS, PASSES = (1, 2, 3), 30, 250
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
 #: Words behind a line that are read along with it.
 AHEAD = 2 * max(len(t.replace(".", " ").split()) for rows in TEMPLATES.values() for t in rows)
@@ -132,7 +213,7 @@ class Model:
         chooser = random.Random(seed)
         rows, classes = self._training_rows(chooser)
         index = {g: i for i, g in enumerate(vocabulary)}
-        x = np.zeros((len(rows), len(vocabulary)))
+        x = np.zeros((len(rows), len(vocabulary)), np.float32)
         for r, words in enumerate(rows):
             x[r, [index[g] for g in _grams(words) if g in index]] = 1.0
         y = np.eye(len(self.families))[classes]
@@ -169,7 +250,8 @@ class Model:
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, rate: float = 0.5, ridge: float = 1e-4, lasso: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
         """Softmax regression by proximal gradient steps: small weights become zero."""
-        w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+        w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+        y = y.astype(np.float32)
         for _ in range(PASSES):
             error = _softmax(x @ w + b) - y
             w -= rate * (x.T @ error / len(x) + ridge * w)
@@ -190,7 +272,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, paragraph (number of the line), cue, norm (its words), ahead (the words behind it) and both
+    """doc_id, paragraph (number of the line where it starts), cue, norm (its words), ahead (the words behind it) and both
     together, of the lines that hold a cue or may start a notice."""
     words = rf"(?i)(?:^|[^a-z0-9])(?:{'|'.join(template_words())})(?:$|[^a-z0-9])"
     texts = docs.where(F.col(text_column).rlike(CUES) | F.col(text_column).rlike(words))
@@ -199,7 +281,9 @@ def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # Lines that hold words, so that AHEAD of them hold AHEAD words.
     lines = lines.withColumn("full", F.filter(F.transform("norms", lambda x, i: F.struct(i.alias("at"), x.alias("norm"))), lambda x: x["norm"] != ""))
     lines = lines.select("doc_id", "raw", "full", F.posexplode("full").alias("k", "x"))
-    behind = F.array_join(F.transform(F.slice("full", F.col("k") + 2, AHEAD), lambda x: x["norm"]), " ")
+    # Lines follow each other without a gap as long as their numbers do.
+    near = F.filter(F.slice("full", F.col("k") + 2, AHEAD), lambda x, i: x["at"] == F.col("x.at") + i + 1)
+    behind = F.array_join(F.transform(near, lambda x: x["norm"]), " ")
     lines = lines.select("doc_id", F.col("x.at").cast("long").alias("paragraph"), F.element_at("raw", F.col("x.at") + 1).rlike(CUES).alias("cue"), F.col("x.norm").alias("norm"), F.substring_index(behind, " ", AHEAD).alias("ahead"))
     lines = lines.withColumn("both", F.concat_ws(" ", "norm", F.when(F.col("ahead") != "", F.col("ahead"))))
     return lines.where(F.col("cue") | F.col("both").rlike(rf"(?:^| )(?:{'|'.join(template_phrases())})(?:$| )"))

@@ -289,3 +289,103 @@ def test_template_words_drop_nothing_that_can_be_confirmed():
             pairs = {tuple(found[i : i + 2]) for i in range(len(found) - 1)}
             assert sum(not words & set(p) for p in pairs) < license_scan.LEAST_SIMILARITY * len(pairs), family
             assert sum(" ".join(p) not in phrases for p in pairs) < license_scan.LEAST_SIMILARITY * len(pairs), family
+
+
+#: Headers as their licences give them, longer than the templates and worded differently in places.
+HEADERS = {
+    "apache": 'Copyright 2021 Jane Doe. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "gpl": "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published from: Germany.",
+    "cc-by-sa": "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply. By using this site, you agree to the Terms of Use",
+    "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited. Written by Jane Doe, September 2019.",
+}
+#: Written by hand: single lines and their families.
+NOTICES = [
+    ("SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"),
+    ("SPDX-License-Identifier: Zlib", "unknown"), ("Lizenz: CC BY 4.0", "cc-by"), ("Alle Rechte vorbehalten.", "proprietary"), ("Tous droits réservés.", "proprietary"), ("Todos los derechos reservados.", "proprietary"),
+    ("Publié sous licence MIT.", "mit"), ("(c) 2020 Acme Inc. All rights reserved.", "proprietary"), ("Neither the name of the holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("See the License for the specific language governing permissions and", "apache"), ("Content is available under CC BY-SA 4.0", "cc-by-sa"), ("You need a permission to fish here", "unknown"), ("Er hat die Lizenz verloren", "unknown"),
+    ("The license of the bar was not renewed by the city", "unknown"), ("This project is licensed under the MIT License - see the LICENSE file", "mit"), ("Use of this source code is governed by a BSD-style license", "bsd"),
+]
+
+
+def test_headers_wrapped_in_comments_that_are_no_templates(spark):
+    import textwrap
+
+    rows, want = [], []
+    for mark in ("", "# ", " * ", "// "):
+        for family, text in HEADERS.items():
+            lines = textwrap.wrap(text, 72 - len(mark))
+            rows.append((len(rows), "\n".join(["import foo", "", *[mark + x for x in lines], mark.rstrip(), "def bar(): pass"])))
+            want.append(family)
+    rows += [(len(rows) + i, text) for i, (text, _) in enumerate(NOTICES)]
+    want += [family for _, family in NOTICES]
+    found = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["family"] != "unknown":
+            found.setdefault(r["doc_id"], set()).add(r["family"])
+    wrong = [(rows[i][1], family, found.get(i)) for i, family in enumerate(want) if found.get(i, {"unknown"}) != {family}]
+    assert len(wrong) <= 1, wrong
+
+
+def brute_licences(model, text):
+    """Rows of one text by a plain model: (line, family, probability, similarity)."""
+    judged = {}
+
+    def judge(norm):
+        if norm not in judged:
+            margin = np.array(model.bias, float)
+            grams = license_scan._grams(norm.split())
+            for g in grams:
+                margin = margin + np.array(model.weights.get(g, 0.0))
+            p = license_scan._softmax((margin / model.temperature)[None])[0]
+            family = model.families[int(p.argmax())]
+            templates = {}
+            for f, t, phrase in set(model.phrases):
+                if f == family:
+                    templates.setdefault(t, []).append(phrase in grams)
+            similarity = max([sum(v) / len(v) for v in templates.values()], default=0.0)
+            sure = family != "unknown" and p.max() >= license_scan.LEAST_PROBABILITY and similarity >= license_scan.LEAST_SIMILARITY
+            judged[norm] = (family if sure else "unknown", round(float(p.max()), 6), round(similarity, 6))
+        return judged[norm]
+
+    lines = [" ".join(license_scan._words(x)) for x in (text or "").split("\n")]
+    out = []
+    for at, norm in enumerate(lines):
+        if not norm:
+            continue
+        end = next((j for j in range(at + 1, len(lines)) if not lines[j]), len(lines))
+        ahead = " ".join(" ".join(lines[at + 1 : end]).split()[: license_scan.AHEAD])
+        cue = bool(re.search(license_scan.CUES, text.split("\n")[at]))
+        both = f"{norm} {ahead}".strip()
+        alone = judge(norm)
+        starts = alone[0] == "unknown" and judge(both)[0] != "unknown" and judge(both)[0] != (judge(ahead)[0] if ahead else "unknown")
+        if cue or starts or alone[0] != "unknown":
+            out.append((at, *(judge(both) if starts else alone)))
+    return out
+
+
+def test_rows_equal_a_plain_model(spark):
+    import textwrap
+
+    rng = random.Random(3)
+    filler = "the cat sat on a license of rights under terms and conditions in any form software public 4 0 by".split()
+    pieces = [t for ts in license_scan.TEMPLATES.values() for t in ts] + list(HEADERS.values()) + [t for t, _ in NOTICES]
+    texts = [None, "", "\n\n", "é\nAll rights\n\nreserved", "All rights\nreserved"]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            piece = rng.choice(pieces).split()
+            words += [rng.choice(filler) for _ in range(rng.randrange(8))] + [w for w in piece if rng.random() < 0.93]
+        lines = textwrap.wrap(" ".join(words), rng.choice([30, 72, 400]))
+        texts.append("\n".join(x if rng.random() < 0.9 else x + "\n--\n" for x in lines))
+    model = license_scan.Model()
+    got = sorted(tuple(r) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect())
+    want = sorted((i, *r) for i, t in enumerate(texts) for r in brute_licences(model, t))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in want], atol=2e-6)
