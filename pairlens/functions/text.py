@@ -13,11 +13,10 @@ HEADERS = ("Market Statement:", "Resolution Criteria:", "Clarifications:", "End
 def normalise_text(text: Column) -> Column:
     """LF line ends, no trailing white space, runs of blank lines as one, none at the end."""
     folded = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    lines = F.transform(F.split(folded, "\n"), lambda line: F.regexp_replace(line, f"[{SPACE}]+$", ""))
-    # A blank line goes if the one before it is blank; arrays_zip with a shifted copy keeps that local.
-    before = F.concat(F.array(F.lit("-")), lines)
-    kept = F.filter(F.arrays_zip(lines.alias("a"), before.alias("b")), lambda p: (p["a"] != "") | (p["b"] != "") | p["a"].isNull())
-    return F.rtrim(F.array_join(F.transform(F.filter(kept, lambda p: p["a"].isNotNull()), lambda p: p["a"]), "\n"), F.lit("\n"))
+    # A run of white space is looked at from its start only, so long ones inside a line stay cheap.
+    trimmed = F.regexp_replace(folded, f"(?md)(?<![{SPACE} ])[{SPACE} ]+$", "")
+    # A blank line goes if the one before it is blank.
+    return F.rtrim(F.regexp_replace(trimmed, r"(?<=\n\n)\n+|(?<=\A\n)\n+", ""), F.lit("\n"))
 
 
 def content_hash(text: Column) -> Column:

@@ -15,23 +15,28 @@ def first_reactions(events: DataFrame, snapshots: DataFrame, window_ms: float =
     """For each event the first snapshot 0 to ``window_ms`` later: snapshot_ts and latency_ms; others have none and go.
 
     ``events``: event_id, event_ts and the keys; ``snapshots``: snapshot_ts, the keys and
-    ``seq`` for ties.  Time is cut into buckets of the window's length, so the range
-    condition has an equality to join on and an event meets two buckets; the first match is
-    kept by an aggregate that runs before the shuffle as well.
+    ``seq`` for ties.  Time is cut into buckets of the window's length.  Both tables are read
+    together backwards in time, bucket by bucket, with the last snapshot seen at hand; an event
+    behind all snapshots of its bucket takes the first of the next bucket.  So each row is
+    sorted once and no event meets more than two snapshots.
     """
     width = int(window_ms * 1000)
 
     def bucket(ts: str) -> Column:
         return F.floor(micros(ts) / F.lit(width))
 
-    left = events.withColumn("_b", F.explode(F.array(bucket("event_ts"), bucket("event_ts") + 1)))
-    right = snapshots.select("snapshot_ts", *keys, *seq, *[c for c in snapshots.columns if c not in ("snapshot_ts", *keys, *seq)], bucket("snapshot_ts").alias("_b"))
-    gap = micros("snapshot_ts") - micros("event_ts")
-    both = left.join(right, ["_b", *keys]).where(gap.between(0, width)).withColumn("_gap", gap)
     rest = [c for c in snapshots.columns if c not in keys]
-    first = F.min_by(F.struct("_gap", *rest), F.struct("_gap", *seq)).alias("x")
-    found = both.groupBy("event_id", "event_ts", *keys).agg(first)
-    return found.select("event_id", "event_ts", *keys, (F.col("x._gap") / 1000.0).alias("latency_ms"), *[F.col(f"x.{c}").alias(c) for c in rest])
+    left = events.where("event_ts IS NOT NULL").select(bucket("event_ts").alias("_b"), *keys, F.struct("event_id", "event_ts").alias("_e"), micros("event_ts").alias("_at"))
+    right = snapshots.where("snapshot_ts IS NOT NULL").select(bucket("snapshot_ts").alias("_b"), *keys, F.struct(*rest).alias("_s"), micros("snapshot_ts").alias("_at"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(seq)])
+    both = left.unionByName(right, allowMissingColumns=True)
+    # Backwards: at one time snapshots come before events, the one with the smallest ``seq`` last.
+    backwards = [F.col("_at").desc(), F.col("_e").isNotNull(), *[F.col(f"_o{i}").desc() for i in range(len(seq))]]
+    seen = F.last("_s", ignorenulls=True).over(W.partitionBy("_b", *keys).orderBy(*backwards).rowsBetween(W.unboundedPreceding, 0))
+    own = both.withColumn("_x", seen).where("_e IS NOT NULL").select("_b", *keys, "_e", "_x")
+    firsts = right.groupBy((F.col("_b") - 1).alias("_b"), *keys).agg(F.min_by("_s", F.struct("_at", *[f"_o{i}" for i in range(len(seq))])).alias("_n"))
+    found = own.join(firsts, ["_b", *keys], "left").withColumn("_x", F.coalesce("_x", "_n"))
+    gap = micros("_x.snapshot_ts") - micros("_e.event_ts")
+    return found.where(gap.between(0, width)).select("_e.event_id", "_e.event_ts", *keys, (gap / 1000.0).alias("latency_ms"), *[F.col(f"_x.{c}").alias(c) for c in rest])
 
 
 def latency_stats(samples: DataFrame, order: Sequence[str], last: int = 1000) -> DataFrame:
@@ -61,6 +66,20 @@ def moving_average(values: Column, old: float = 0.9) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: F.when(acc == 0, x).otherwise(old * acc + (1 - old) * x))
 
 
+def moving_averages(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, old: float = 0.9) -> DataFrame:
+    """:func:`moving_average` of each key's values, none below zero, in ``order``: (keys, ema), without gathering them.
+
+    A value counts (1 - old) * old ** k, k being the number of values after it; the first that isn't zero
+    counts old ** (k + 1) more.
+    """
+    after = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])) - 1
+    ranked = rows.select(*keys, F.col(value).cast("double").alias("_v"), after.alias("_k"))
+    started = F.when(F.col("_v") != 0, F.col("_k"))
+    first = F.max_by("_v", started) * F.pow(F.lit(old), F.max(started) + 1)
+    weighted = F.sum((1 - old) * F.pow(F.lit(old), F.col("_k")) * F.col("_v"))
+    return ranked.groupBy(*keys).agg((weighted + F.coalesce(first, F.lit(0.0))).alias("ema"))
+
+
 def last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     by = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).drop("_n")

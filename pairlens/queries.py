@@ -712,8 +712,8 @@ SELECT user_id, round(arg_max(ema, n), 6) AS ema FROM f GROUP BY user_id
 """
 )
 def q_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return rows.select("user_id", F.round(latency.moving_average(F.transform("v", lambda x: x["value"])), 6).alias("ema"))
+    found = latency.moving_averages(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return found.select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 100")

@@ -131,3 +131,60 @@ def test_quarantine(spark):
     df = spark.createDataFrame([("kalshi", 0.5), ("nowhere", 0.5), ("kalshi", 1.5), (None, None)], "venue string, confidence double")
     good, bad = quarantined(df)
     assert good.count() == 2 and sorted(r["failed_checks"] for r in bad.collect()) == [["confidence"], ["venue"]]
+
+
+def test_normalised_text_equals_a_plain_model(spark):
+    import random
+
+    from pairlens.functions import text
+
+    blank = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　"
+
+    def model(t):
+        lines = [x.rstrip(blank) for x in (t or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+        return "\n".join(x for i, x in enumerate(lines) if i == 0 or x or lines[i - 1]).rstrip("\n")
+
+    rng = random.Random(5)
+    texts = [None, "", "\n\n\n", "a" + " " * 20000 + "b"] + ["".join(rng.choice(["a", "b c", "\n", "\n\n", "\r\n", "\r", " ", "\t", " ", "\x85", "é"]) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", text.normalise_text(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [model(t) for t in texts]
+
+
+def test_moving_averages_equal_the_fold(spark):
+    import random
+
+    from pairlens.operators import latency
+
+    rng = random.Random(6)
+    rows = [(k, i, rng.choice([0.0, 0.0, 1.5, 7.25, 3.0])) for k in range(12) for i in range(rng.randrange(1, 60))] + [(99, 0, 0.0), (99, 1, 0.0)]
+    df = spark.createDataFrame(rows, "k long, i long, v double")
+    got = {r["k"]: r["ema"] for r in latency.moving_averages(df, ["k"], ["i"], "v").collect()}
+    for k in {r[0] for r in rows}:
+        ema = 0.0
+        for _, _, v in sorted(r for r in rows if r[0] == k):
+            ema = v if ema == 0 else 0.9 * ema + 0.1 * v
+        assert abs(got[k] - ema) < 1e-9
+
+
+def test_first_reactions_equal_brute_force(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from pairlens.operators import latency
+
+    rng = random.Random(7)
+    start = datetime(2026, 1, 1)
+    at = lambda ms: start + timedelta(milliseconds=ms)
+    events = [(i, at(rng.randrange(40_000)), f"m{i % 3}") for i in range(300)] + [(900, None, "m0")]
+    snaps = [(at(rng.randrange(40_000)), f"m{i % 3}", i) for i in range(120)] + [(events[0][1], "m0", 500), (events[0][1], "m0", 501)]
+    left = spark.createDataFrame(events, "event_id long, event_ts timestamp, market string")
+    right = spark.createDataFrame(snaps, "snapshot_ts timestamp, market string, seq long")
+    for keys in ([], ["market"]):
+        got = {r["event_id"]: (r["latency_ms"], r["seq"]) for r in latency.first_reactions(left, right if keys else right.drop("market"), 1_000.0, keys, ["seq"]).collect()}
+        want = {}
+        for i, ts, m in events:
+            near = sorted((s[0], s[2]) for s in snaps if ts and (not keys or s[1] == m) and timedelta(0) <= s[0] - ts <= timedelta(seconds=1))
+            if near:
+                want[i] = ((near[0][0] - ts) / timedelta(milliseconds=1), near[0][1])
+        assert got == want
