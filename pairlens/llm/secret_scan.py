@@ -38,6 +38,7 @@ RUN = r"(?:(?<![A-Za-z0-9+/=_.-])|\G)(?=[A-Za-z+/=_.-]*+[0-9])[A-Za-z0-9+/=_.-]{
 ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|private_key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?)[^\x20\x09-\x0D\"',;:=&]{6,}+"
 #: What stands between a user's name and the host of a URL.
 IN_URL = r"(?<=://[A-Za-z0-9._-]{1,40}:)[^\x20\x09-\x0D\"'/@:]{4,}+(?=@[A-Za-z0-9])"
+URL = r"://[A-Za-z0-9._-]{1,40}:[^\x20\x09-\x0D\"'/@:]{4,}@[A-Za-z0-9]"
 SECRET_WORDS = r"key|token|secret|passw|pwd|auth|credential|bearer|private"
 HASH_WORDS = r"commit|sha|hash|md5|checksum|digest|uuid|guid|etag|revision|isbn|doi|order|invoice|version|page|id\b|checkout|integrity"
 OPEN_WORDS = r"public|certificate|ssh-|base64,|data:|image|font"
@@ -94,9 +95,9 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.where(F.col("text").rlike(f"(?i)[0-9]|://|{SECRET_WORDS}"))
-    for name, pattern in (("assigned", ASSIGNED), ("in_url", IN_URL), ("runs", RUN)):
-        rows = locate(rows, pattern, name)
-    rows = rows.drop("text")
+    # Looking back from every character is dear: only texts with such a URL are looked at for its password.
+    rows = rows.withColumn("url_text", F.when(F.col("text").rlike(URL), F.col("text")).otherwise(""))
+    rows = locate(locate(locate(rows, ASSIGNED, "assigned"), IN_URL, "in_url", text="url_text"), RUN, "runs").drop("text", "url_text")
 
     def free(of: str, other: str) -> Column:
         # Both lists are in order of position, so a hit meets few of the other list; sizes are those of assigned values.
@@ -219,7 +220,9 @@ def findings(seed: int = 5, draws: int = DRAWS, words: list[str] | None = None)
 def measured(lines: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Candidates with their features x."""
     found = candidates(lines)
-    return found.select("doc_id", "start", "stop", F.array(*features(F.col("hit"), F.col("tail"), F.col("head"), dictionary)).alias("x"))
+    # The generator computes them once; a projection would go into each step of each tree.
+    x = F.array(*features(F.col("hit"), F.col("tail"), F.col("head"), dictionary))
+    return found.select("doc_id", "start", "stop", F.explode(F.array(x)).alias("x"))
 
 
 def labelled(spark: SparkSession, lines: list[tuple[str, int, int]], dictionary: Dictionary) -> tuple[np.ndarray, np.ndarray]:
