@@ -1,12 +1,15 @@
 """Exact similarity retrieval across venues, in blocks of matrices.
 
 Rows fall into blocks by hash; every query block meets every block of rows in a cell of a
-grid, where one matrix product scores them and a partial selection keeps the best.  Cells
-hold bounded blocks, so a larger table means more cells, not larger ones.
+grid, where one matrix product scores them and a partial selection keeps the best.  Blocks
+are bounded in bytes, so a larger table means more cells, not larger ones; a row is sent twice
+for each block, and vectors travel in the type they come in.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,10 +18,11 @@ from pyspark.sql import functions as F
 
 from pairlens.config import Settings
 
-BLOCK_ROWS = 4096
+#: Bytes of a block's vectors; a cell holds two blocks and 256 rows of scores.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 26, 1 << 16
 
 
-def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: str, k: int | None = None, least: float | None = None, settings: Settings = Settings(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: str, k: int | None = None, least: float | None = None, settings: Settings = Settings(), block_rows: int | None = None) -> DataFrame:
     """query_id, rank, candidate_id, similarity: the best ``k`` rows of other venues by cosine, from ``least`` on.
 
     Scores are rounded to six places; equal ones go to the smaller id.  Vectors that are
@@ -27,8 +31,12 @@ def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: s
     k, least = settings.top_k if k is None else k, settings.least_similarity if least is None else least
     v = F.col(vector_column)
     usable = v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)
-    base = rows.where(usable).select(F.col(id_column).cast("long").alias("id"), F.col(venue_column).cast("string").alias("venue"), v.cast("array<double>").alias("v"))
-    blocks = max(1, -(-base.count() // block_rows))
+    base = rows.where(usable).select(F.col(id_column).cast("long").alias("id"), F.col(venue_column).cast("string").alias("venue"), v.alias("v"))
+    count, width = base.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    # Small tables still give every core a cell.
+    fewest = 1 if block_rows else math.isqrt(rows.sparkSession.sparkContext.defaultParallelism - 1) + 1
+    block_rows = block_rows or min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * max(1, width))))
+    blocks = max(fewest, -(-count // block_rows))
 
     def block(seed: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks).cast("long"))
@@ -48,10 +56,13 @@ def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: s
                 part = slice(at, at + 256)
                 s = np.round(qm[part] @ cm.T, 6)
                 s[(qv[part][:, None] == cv) | (qi[part][:, None] == ci) | (s < least)] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(s, best, axis=1)
-                r, c = np.nonzero(np.isfinite(found))
-                out.append((qi[part][r], ci[best[r, c]], found[r, c]))
+                last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if 0 < k < s.shape[1] else -np.inf
+                r, c = np.nonzero(np.isfinite(s) & (s >= last))
+                # Ties of the last one go to the smaller id, so no cell gives a query more than k rows.
+                order = np.lexsort((c, -s[r, c], r))
+                r, c = r[order], c[order]
+                kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append((qi[part][r[kept]], ci[c[kept]], s[r[kept], c[kept]]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0], "candidate_id": columns[1], "similarity": columns[2]})
 
@@ -61,9 +72,13 @@ def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: s
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    vectors = [np.asarray(v, float) for v in rows["v"].to_pylist()]
-    width = max(map(len, vectors))
-    m = np.array([np.pad(v, (0, width - len(v))) for v in vectors])
+    lists = rows["v"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    starts = lists.offsets.to_numpy()
+    lengths = np.diff(starts)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    m = np.zeros((len(lengths), lengths.max()))
+    m[row, np.arange(starts[0], starts[-1]) - starts[row]] = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     venues = np.array([v if v is not None else "" for v in rows["venue"].to_pylist()], dtype=object)
     return rows["id"].to_numpy(), venues, m

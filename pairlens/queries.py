@@ -330,7 +330,7 @@ def q_threshold_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", scores.threshold_value_score(F.lit(1000.0), F.col("p_retailprice")).alias("score"))
 
 
-# Books: market = part, venue A / B = return flag A / R, yes / no = line status O / F
+# Books: market = part, venue = return flag (a pair of books is A and R), yes / no = line status O / F
 
 _BOOK_SETTINGS = Settings(ladder_step=50.0, budget=100.0, ladder_rungs=20)
 _KEYS = ["market"]
@@ -339,7 +339,7 @@ _LEVELS = """
 levels AS (
   SELECT l_partkey AS market, l_returnflag AS venue, CASE WHEN l_linestatus = 'O' THEN 'yes' ELSE 'no' END AS outcome,
          round(0.45 + l_discount, 4) + 0.0 AS price, sum(l_quantity) AS size
-  FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL
+  FROM lineitem GROUP BY ALL
 )"""
 _SCHED = f"""
 WITH {_LEVELS},
@@ -371,7 +371,7 @@ JOIN b ON b.market = p.market AND p.q > b.prev_qty AND p.q <= b.cum_qty"""
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    rows = _t(spark, sf_dir, "lineitem")
     price = (F.round(0.45 + F.col("l_discount"), 4) + 0.0).alias("price")
     outcome = F.when(F.col("l_linestatus") == "O", "yes").otherwise("no").alias("outcome")
     return rows.groupBy(F.col("l_partkey").alias("market"), F.col("l_returnflag").alias("venue"), outcome, price).agg(F.sum("l_quantity").alias("size"))
@@ -533,7 +533,7 @@ def q_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH o AS (SELECT c_custkey, c_name, c_mktsegment AS text_hash FROM customer WHERE c_custkey % 3 <> 0),
-n AS (SELECT c_custkey, c_name || '!' AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NEW' END AS text_hash FROM customer WHERE c_custkey % 5 <> 0)
+n AS (SELECT c_custkey, c_name || '!' AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NEW' END AS text_hash FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 <> 0)
 SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey,
        CASE WHEN n.c_custkey IS NOT NULL AND (o.c_custkey IS NULL OR o.text_hash IS DISTINCT FROM n.text_hash) THEN n.c_name ELSE o.c_name END AS c_name,
        CASE WHEN n.c_custkey IS NOT NULL AND (o.c_custkey IS NULL OR o.text_hash IS DISTINCT FROM n.text_hash) THEN n.text_hash ELSE o.text_hash END AS text_hash
@@ -544,7 +544,7 @@ def q_upsert_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "customer")
     old = rows.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.col("c_mktsegment").alias("text_hash"))
     hash_ = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("NEW")
-    new = rows.where("c_custkey % 5 <> 0").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), hash_.alias("text_hash"))
+    new = rows.where("c_custkey % 3 = 0 OR c_custkey % 5 <> 0").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), hash_.alias("text_hash"))
     return persist.upsert(old, new, ["c_custkey"], "text_hash", F.lit(None).cast("timestamp"))
 
 
