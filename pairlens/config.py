@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from dataclasses import dataclass, field, fields
+from typing import Any
+
+#: Texts that mean true.
+TRUE = ("true", "1", "yes", "on")
+
+
+def from_env(name: str, default: Any) -> Any:
+    """The environment's value in the type of ``default``; what can't be read as a number gives the default."""
+    text = os.environ.get(name)
+    if text is None or default is None or isinstance(default, str):
+        return default if text is None else text
+    if isinstance(default, bool):
+        return text.lower() in TRUE
+    try:
+        return type(default)(text)
+    except ValueError:
+        return default
 
 
 @dataclass(frozen=True)
@@ -30,6 +48,13 @@ class Settings:
     least_profit: float = 5.0
     correlation_window_ms: float = 5_000.0
 
+    @classmethod
+    def of_environment(cls, prefix: str = "PAIRLENS_") -> Settings:
+        """Numbers by variables such as PAIRLENS_TOP_K, the rest as they stand."""
+        plain = cls()
+        names = [f.name for f in fields(cls) if f.name != "weights"]
+        return cls(**{n: from_env(prefix + n.upper(), getattr(plain, n)) for n in names})
+
 
 #: Entry fee rates by venue (taker), and the two other schedules.
 FEE_RATES = {"kalshi": 0.07, "polymarket": 0.0}

@@ -60,3 +60,11 @@ def accepts(strategy: str) -> Column:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known are {sorted(STRATEGIES)}")
     return STRATEGIES[strategy]()
+
+
+def match_search(text: Column, *needed: tuple[str, ...]) -> Column:
+    """Every group of spellings has one in the text, such as both teams and the game; null texts hold none."""
+    found = F.lit(True)
+    for spellings in needed:
+        found = found & mentions(F.coalesce(text, F.lit("")), spellings)
+    return found

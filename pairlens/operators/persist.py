@@ -1,7 +1,8 @@
 """Merges, versions and sinks.
 
 Plain Parquet has no MERGE and no transaction over several tables: merges return the whole
-new state of a table, writes are keyed by batch id and can be repeated.
+new state of a table, writes are keyed by batch id and can be repeated, and a batch over several
+tables counts from the moment its marker is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,13 +76,18 @@ def write_audit(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").partitionBy("category").text(path)
 
 
+def passing(error: Exception) -> bool:
+    """Whether a repeat may help: trouble of files, networks and jobs, not wrong plans or code."""
+    return isinstance(error, (OSError, PySparkException)) and not isinstance(error, AnalysisException)
+
+
 class BatchWriter:
     """For ``foreachBatch``: steps in order, retried with growing waits, then the batch goes to a dead letter folder.
 
     Every step gets the batch and its id, and must give the same result when run again.
     """
 
-    def __init__(self, steps: Sequence[Callable[[DataFrame, int], None]], dead_letters: str, retries: int = 3, transient: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, steps: Sequence[Callable[[DataFrame, int], None]], dead_letters: str, retries: int = 3, transient: Callable[[Exception], bool] = passing, sleep: Callable[[float], None] = time.sleep):
         self.steps, self.dead_letters, self.retries, self.transient, self.sleep = steps, dead_letters, retries, transient, sleep
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -106,3 +113,37 @@ class BatchWriter:
 def append_once(path: str) -> Callable[[DataFrame, int], None]:
     """A step that writes each batch to a folder of its own, so that a repeat replaces it."""
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def commit_together(root: str, tables: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> Callable[[DataFrame, int], None]:
+    """A step that writes a batch to several tables, in order, of which readers see all or none.
+
+    Each table gets a folder for the batch, which a repeat replaces; the marker comes last.  A
+    batch that has its marker is not written again.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = _markers(spark, root)
+        if done is not None and not done.where(F.col("batch") == batch_id).isEmpty():
+            return
+        for name, rows in tables:
+            rows(batch).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("batch")).coalesce(1).write.mode("append").parquet(f"{root}/_committed_batches")
+
+    return step
+
+
+def _markers(spark: SparkSession, root: str) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_committed_batches")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("batch long").parquet(str(path)).distinct()
+
+
+def committed(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    """Rows of the batches that have their marker, with the column ``batch``; none before the first."""
+    done = _markers(spark, root)
+    if done is None:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/{table}").join(done, "batch", "left_semi").select(*spark.createDataFrame([], schema).columns, "batch")

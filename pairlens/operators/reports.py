@@ -84,3 +84,31 @@ def chart_panels(snapshots: DataFrame) -> DataFrame:
 
 def recent(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return rows.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def pipeline_counters(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of the ten counters of a run.
+
+    ``events``: duplicate, failed (boolean), candidates (null before retrieval); ``pairs``:
+    verdict, persisted (boolean).  Null flags count as false; a failed event isn't processed.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    done = ~flag("duplicate") & ~flag("failed") & F.col("candidates").isNotNull()
+    of_events = events.agg(
+        F.count("*").alias("events_received"),
+        F.count_if(flag("duplicate")).alias("events_deduplicated"),
+        F.count_if(done).alias("events_processed"),
+        F.count_if(flag("failed")).alias("events_failed"),
+        F.count_if(done & (F.col("candidates") == 0)).alias("events_no_candidates"),
+    )
+    verdicts = [F.count_if(F.col("verdict") == v).alias(f"pairs_{v}") for v in ("equivalent", "needs_review", "not_equivalent")]
+    of_pairs = pairs.agg(F.count("*").alias("pairs_found"), *verdicts, F.count_if(flag("persisted")).alias("pairs_persisted"))
+    # Both sides are one row.
+    return of_events.join(F.broadcast(of_pairs))
+
+
+def cache_stats(lookups: DataFrame, key: str) -> DataFrame:
+    """What a cache without a bound would do: the first lookup of a key misses, later ones hit."""
+    per = lookups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    both = per.agg(F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("hits"), F.count("*").alias("misses"))
+    return both.withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))

@@ -544,3 +544,34 @@ def q_valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.when(k % 5 == 0, "elsewhere").otherwise("kalshi").alias("venue"), F.when(k % 5 != 1, "Market Statement:\nline two\nx").alias("canonical_text"), F.lit("v").alias("venue_market_id"), F.lit("h").alias("identity_hash"), F.when(k % 3 == 0, F.col("p_name")).otherwise("").alias("title")
     )
     return retrieve.valid_candidates(rows, ("kalshi",)).select("p_partkey", "title")
+
+
+@query(
+    """
+SELECT * FROM (SELECT count(*) AS events_received, count_if(event_type = 'view') AS events_deduplicated, count_if(event_type NOT IN ('view', 'error') AND user_id IS NOT NULL) AS events_processed,
+  count_if(event_type = 'error') AS events_failed, count_if(event_type NOT IN ('view', 'error') AND user_id % 4 = 0) AS events_no_candidates FROM events),
+(SELECT count(*) AS pairs_found, count_if(l_returnflag = 'A') AS pairs_equivalent, count_if(l_returnflag = 'N') AS pairs_needs_review, count_if(l_returnflag = 'R') AS pairs_not_equivalent,
+  count_if(l_linestatus = 'F') AS pairs_persisted FROM lineitem)
+"""
+)
+def q_pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select((F.col("event_type") == "view").alias("duplicate"), (F.col("event_type") == "error").alias("failed"), (F.col("user_id") % 4).alias("candidates"))
+    verdict = F.when(F.col("l_returnflag") == "A", "equivalent").when(F.col("l_returnflag") == "N", "needs_review").otherwise("not_equivalent")
+    return reports.pipeline_counters(events, _t(spark, sf_dir, "lineitem").select(verdict.alias("verdict"), (F.col("l_linestatus") == "F").alias("persisted")))
+
+
+@query("SELECT (count(*) - count(DISTINCT l_partkey))::BIGINT AS hits, count(DISTINCT l_partkey) AS misses, (count(*) - count(DISTINCT l_partkey)) / count(*) AS hit_rate FROM lineitem")
+def q_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cache_stats(_t(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'absent' WHEN 2 THEN 'limited' ELSE 'failed' END AS outcome, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS body FROM orders")
+def q_fetch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.expr("element_at(array(200, 404, 429, 500), int(o_orderkey % 4) + 1)")
+    return venues.fetched(_t(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), F.col("o_orderpriority").alias("body"))).select("o_orderkey", "outcome", "body")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 6 = 0")
+def q_match_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Red Foxes").otherwise("Foxes"), F.lit(" vs BLUE OWLS - "), F.when(F.col("p_partkey") % 3 == 0, "Game 3").otherwise("Game 2"))
+    return _t(spark, sf_dir, "part").where(discovery.match_search(title, ("red foxes", "rfx"), ("blue owls",), ("game 3", "game3"))).select("p_partkey")

@@ -278,6 +278,13 @@ def timeline_events(timelines: DataFrame) -> DataFrame:
     return rows.select(event_id.alias("event_id"), F.col("e.type").alias("event_type"), at.alias("event_timestamp"), "match_id").dropDuplicates(["event_id"])
 
 
+def fetched(responses: DataFrame) -> DataFrame:
+    """Responses (status, body) with their outcome: found, absent (404), limited (429, to be asked again) or failed."""
+    status = F.col("status")
+    outcome = F.when(status.between(200, 299), "found").when(status == 404, "absent").when(status == 429, "limited").otherwise("failed")
+    return responses.withColumns({"outcome": outcome, "body": F.when(outcome == "found", F.col("body"))})
+
+
 #: Parsers by venue; add a venue by registering its own.
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"kalshi": kalshi_messages, "polymarket": polymarket_messages}
 

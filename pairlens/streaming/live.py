@@ -7,13 +7,13 @@ joins.  Checkpoints replace reconnecting and draining: stop a query and start it
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from pairlens.functions.text import micros
 
@@ -155,3 +155,14 @@ class Health(StreamingQueryListener):
 
     def onQueryTerminated(self, event: Any) -> None:
         self.progress.setdefault(str(event.runId), {"rows": 0})["state"] = "failed" if event.exception else "stopped"
+
+
+def start_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """Runs ``step`` on what came in each interval; a source's own limits (``maxFilesPerTrigger``) bound a batch, and nothing is dropped."""
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def drain(query: StreamingQuery) -> None:
+    """Ends a query when all that has come is processed; started again on its checkpoint it goes on from there."""
+    query.processAllAvailable()
+    query.stop()

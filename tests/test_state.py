@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairlens import config
 from pairlens.operators import dedup, latency, persist, reports, rerank, retrieve
 from pairlens.plans import matching, spreads
 from pairlens.streaming import live
@@ -171,3 +172,45 @@ def test_stream_distinct_and_throttle(spark, tmp_path):
     assert len(run(spark, live.distinct_events(stream, "id", "ts"), tmp_path, "dis_out")) == 2
     batch = spark.createDataFrame(rows, "id string, ts timestamp, v double")
     assert {(r["id"], r["v"]) for r in live.throttled(batch, ["id"], "ts", ["ts"]).collect()} == {("a", 2.0), ("b", 3.0)}
+
+
+def test_batches_of_several_tables_count_whole(spark, tmp_path):
+    root, broken = str(tmp_path / "root"), [True]
+
+    def pairs(batch):
+        if broken[0]:
+            raise OSError("busy")
+        return batch.withColumn("pair", F.lit("p"))
+
+    step = persist.commit_together(root, [("markets", lambda b: b), ("pairs", pairs)])
+    with pytest.raises(OSError):
+        step(spark.range(3), 7)
+    assert persist.committed(spark, root, "markets", "id long").isEmpty()
+    broken[0] = False
+    step(spark.range(3), 7)
+    step(spark.range(5), 7)
+    step(spark.range(2), 8)
+    assert sorted(map(tuple, persist.committed(spark, root, "markets", "id long").collect())) == [(0, 7), (0, 8), (1, 7), (1, 8), (2, 7)]
+    assert persist.committed(spark, root, "pairs", "id long, pair string").count() == 5
+
+
+def test_only_passing_errors_are_tried_again(spark, tmp_path):
+    waits = []
+    persist.BatchWriter([lambda b, i: 1 / 0], str(tmp_path / "dead"), sleep=waits.append)(spark.range(1), 1)
+    assert not waits and spark.read.json(str(tmp_path / "dead")).count() == 1
+
+
+def test_counters_of_empty_tables_and_nulls(spark):
+    events = spark.createDataFrame([(None, None, None), (None, None, 0), (True, None, 1), (None, True, 2)], "duplicate boolean, failed boolean, candidates long")
+    none = spark.createDataFrame([], "verdict string, persisted boolean")
+    assert tuple(reports.pipeline_counters(events, none).first()) == (4, 1, 1, 1, 1, 0, 0, 0, 0, 0)
+    assert tuple(reports.cache_stats(spark.createDataFrame([], "k long"), "k").first()) == (0, 0, 0.0)
+
+
+def test_settings_of_the_environment(monkeypatch):
+    monkeypatch.setenv("PAIRLENS_TOP_K", "0")
+    monkeypatch.setenv("PAIRLENS_BUDGET", "many")
+    monkeypatch.setenv("FLAG", "Yes")
+    found = config.Settings.of_environment()
+    assert (found.top_k, found.budget) == (0, 5000.0)
+    assert config.from_env("FLAG", False) is True and config.from_env("ABSENT", 3) == 3
