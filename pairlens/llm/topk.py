@@ -63,26 +63,31 @@ class SortedLists:
             rival[self.place[query_row]] = False
         open_ = rival
         if rival.sum() > k and len(lists):
-            weights = query[lists].tolist()
-            total = int((query[lists] ** 2).sum())
-            summed, unread_query, unread = np.zeros(n, np.int64), np.full(n, total), self.squares.copy()
+            weights = query[lists].astype(float)
+            rising, falling = weights < 0, weights > 0
+            total, squares = float((weights * weights).sum()), self.squares.astype(float)
+            lengths = np.sqrt(total * squares)
+            # Sums of floats stay within this share of the product of the lengths.
+            error = 1e-12 + 1e-15 * len(lists)
+            summed, unread_query, unread, outside = np.zeros(n), np.full(n, total), squares.copy(), np.ones(n, bool)
             step = max(1, -(-n // ROUNDS))
             for depth in range(0, n, step):
-                end, frontier = min(n, depth + step), 0
-                for j, w in zip(lists.tolist(), weights, strict=True):
-                    part = slice(depth, end) if w < 0 else slice(n - end, n - depth)
-                    rows, values = self.order[j, part], self.values[j, part]
-                    gains = w * values
-                    summed[rows] += gains
-                    unread_query[rows] -= w * w
-                    unread[rows] -= values * values
-                    frontier += int(gains[-1] if w < 0 else gains[0])
+                end = min(n, depth + step)
+                # One pass over what the lists show in this round, those read from their end turned round.
+                low, high = (lists[rising], slice(depth, end)), (lists[falling], slice(n - end, n - depth))
+                rows = np.concatenate([self.order[low], self.order[high][:, ::-1]]).ravel()
+                values = np.concatenate([self.values[low], self.values[high][:, ::-1]]).astype(float)
+                w = np.concatenate([weights[rising], weights[falling]])[:, None]
+                gains = w * values
+                summed += np.bincount(rows, gains.ravel(), n)
+                unread_query -= np.bincount(rows, np.broadcast_to(w * w, gains.shape).ravel(), n)
+                unread -= np.bincount(rows, (values * values).ravel(), n)
+                outside[rows] = False
+                frontier, size = gains[:, -1].sum(), np.abs(gains[:, -1]).sum()
                 self.read += (end - depth) * len(lists)
-                far = np.sqrt(unread_query.astype(float) * unread)
-                far += 1 + 1e-12 * (far + np.abs(summed))
+                far = np.sqrt((np.maximum(unread_query, 0) + error * total) * (np.maximum(unread, 0) + error * squares)) + 1 + error * lengths
                 upper = summed + far
-                outside = unread_query == total
-                upper[outside] = np.minimum(upper[outside], frontier + 1 + 1e-12 * abs(frontier))
+                upper[outside] = np.minimum(upper[outside], frontier + 1 + error * size)
                 reached = np.partition((summed - far)[rival], -k)[-k]
                 open_ = rival & (upper >= reached)
                 if not (open_ & outside).any() and open_.sum() <= max(k, step):
