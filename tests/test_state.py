@@ -214,3 +214,13 @@ def test_settings_of_the_environment(monkeypatch):
     found = config.Settings.of_environment()
     assert (found.top_k, found.budget) == (0, 5000.0)
     assert config.from_env("FLAG", False) is True and config.from_env("ABSENT", 3) == 3
+
+
+def test_drained_batches_hold_all_rows_once(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    for part in (spark.range(3), spark.range(3, 5)):
+        part.coalesce(1).write.mode("append").json(source)
+        rows = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(source)
+        live.drain(live.start_batches(rows, lambda b, i: seen.extend(r.id for r in b.collect()), str(tmp_path / "state"), every="0 seconds"))
+        assert sorted(seen) == list(range(len(seen)))
+    assert len(seen) == 5
