@@ -164,6 +164,29 @@ def regex_entities(statement: Column, criteria: Column, narrow: bool = False) ->
     return run(F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit(""))))
 
 
+#: Entity types by the labels of customary named-entity models; other labels (dates, money, numbers) are no entities.
+LABELS = {"PERSON": "person", "ORG": "organization", "GPE": "location", "LOC": "location", "FAC": "location", "NORP": "other", "EVENT": "other", "PRODUCT": "other", "WORK_OF_ART": "other"}
+
+
+def of_labels(found: list[tuple[str, str]]) -> list[dict]:
+    """Entities of a model's (text, label) spans: known labels, no common words, the first of equal texts."""
+    named: dict[str, str | None] = {}
+    for name, label in found:
+        if name.lower() not in NOT_NAMES:
+            named.setdefault(name, LABELS.get(label))
+    return [{"name": n, "entity_type": kind, "aliases": []} for n, kind in named.items() if kind]
+
+
+def labelling(load: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]]]) -> Callable[[], Callable[[list[str]], list[list[dict]]]]:
+    """A loader for :func:`model_entities` from one whose model gives (text, label) spans."""
+
+    def loaded() -> Callable[[list[str]], list[list[dict]]]:
+        model = load()
+        return lambda texts: [of_labels(found) for found in model(texts)]
+
+    return loaded
+
+
 def model_entities(text: Column, load: Callable[[], Callable[[list[str]], list[list[dict]]]]) -> Column:
     """Entities of a named-entity model; ``load`` runs once per Python worker.  Texts under ten characters have none."""
 

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairlens.operators.aliases import spellings
+
 FUZZY = 0.5
 MISMATCH_PENALTY = 0.3
 
-#: A starting set of aliases by canonical name; pass a full table as a parameter.
-ALIASES: dict[str, tuple[str, ...]] = {
-    "Bitcoin": ("btc", "xbt"),
-    "Ethereum": ("eth", "ether"),
-    "Solana": ("sol",),
-    "Dogecoin": ("doge",),
-    "Cardano": ("ada",),
-    "Ripple": ("xrp",),
-    "Litecoin": ("ltc",),
-    "Polkadot": ("dot",),
-    "Chainlink": ("link",),
-    "Polygon": ("matic",),
-    "Tether": ("usdt",),
-    "Federal Reserve": ("fed", "the fed", "fomc"),
-    "SEC": ("securities and exchange commission",),
-    "Bank of Japan": ("boj",),
-    "European Central Bank": ("ecb",),
-    "United States": ("us", "usa", "u.s.", "united states of america"),
-    "United Kingdom": ("uk", "u.k.", "britain", "great britain"),
-}
+#: The built-in spellings by name; another table goes in as a parameter.
+ALIASES: dict[str, tuple[str, ...]] = spellings()
 
 
 def alias_lookup(aliases: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
@@ -37,8 +23,8 @@ def alias_lookup(aliases: dict[str, tuple[str, ...]] | None = None) -> dict[str,
 
 
 def canonical_name(name: Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """The canonical name of an alias, else the name in lower case; the table goes along as a literal map."""
-    table = F.create_map(*[F.lit(x) for pair in alias_lookup(aliases).items() for x in pair])
+    """The canonical name of an alias, else the name in lower case; the table goes along as one literal."""
+    table = F.from_json(F.lit(json.dumps(alias_lookup(aliases))), "map<string,string>")
     return F.coalesce(F.element_at(table, F.lower(name)), F.lower(name))
 
 

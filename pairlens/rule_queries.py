@@ -162,9 +162,9 @@ def q_entity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", F.round("s.score", 6).alias("score"), "s.matched", "s.mismatched")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Bitcoin' WHEN 1 THEN 'Federal Reserve' WHEN 2 THEN 'United Kingdom' ELSE lower(c_name) END AS name FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Bitcoin' WHEN 1 THEN 'Federal Reserve' WHEN 2 THEN 'Supreme Court' ELSE lower(c_name) END AS name FROM customer")
 def q_canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").select("c_custkey", entities.canonical_name(_cases("c_custkey", "'XBT'", "'The Fed'", "'uk'", "c_name")).alias("name"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", entities.canonical_name(_cases("c_custkey", "'XBT'", "'The Fed'", "'the court'", "c_name")).alias("name"))
 
 
 @query(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import extract, text
+from pairlens.operators import entities
 
 CASES = [
     ("Will BTC be above $100k by June?", [(100_000.0, "dollars", ">", False)]),
@@ -89,3 +90,19 @@ def test_extracted_specs_once_per_text(spark):
     assert rows["h"]["data_source"] == "Coinbase" and rows["h"]["thresholds"][0]["value"] == 100_000.0
     assert str(rows["h"]["resolution_date"]) == "2026-12-31 00:00:00" and rows["h"]["event_date"] is None
     assert rows["g"]["failed_fields"] == ["statement", "resolution_date", "entities", "thresholds", "data_source"]
+
+
+def test_entities_of_a_model_with_labels(spark):
+    def load():
+        return lambda texts: [[("Paris", "GPE"), ("Monday", "DATE"), ("Paris", "PERSON"), ("ACME", "ORG")] for _ in texts]
+
+    rows = spark.createDataFrame([("Paris and ACME on Monday",), ("short",), (None,)], "t string")
+    got = [[(e["name"], e["entity_type"]) for e in r["e"]] for r in rows.select(extract.model_entities(F.col("t"), extract.labelling(load)).alias("e")).collect()]
+    assert got == [[("Paris", "location"), ("ACME", "organization")], [], []]
+
+
+def test_spellings_of_names(spark):
+    names = {"LA Lakers": "Los Angeles Lakers", "ny jets": "New York Jets", "jets": "Winnipeg Jets", "sixers": "Philadelphia 76ers", "SCOTUS": "Supreme Court", "someone": "someone", "st louis cardinals": "St. Louis Cardinals"}
+    rows = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string")
+    assert {r["n"]: r["c"] for r in rows.select("n", entities.canonical_name(F.col("n")).alias("c")).collect()} == {**names, None: None}
+    assert entities.entity_match([{"name": "BTC", "entity_type": "other", "aliases": None}], [{"name": "my coin", "entity_type": "other", "aliases": None}], entities.alias_lookup({"My Coin": ("btc",)}))[:2] == (1.0, 1)
