@@ -52,20 +52,24 @@ def folded(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return lists[0].join(lists[1], list(keys)).select(*keys, "a", "b", F.least("_a", "_b").alias("max_qty"))
 
 
-def valued(points: DataFrame) -> DataFrame:
-    """``points`` (a, b, q and others) with the cost and fee of q contracts of both sides in place of the lists."""
-    rest = [c for c in points.columns if c not in ("a", "b")]
-
-    def segment(name: str) -> Column:
-        return F.get(F.filter(name, lambda s: (F.col("q") > s["prev_qty"]) & (F.col("q") <= s["cum_qty"])), F.lit(0)).alias(f"_{name}")
+def priced(rows: DataFrame) -> DataFrame:
+    """``rows`` (a, b: the segments that hold q, and others) with the cost and fee of q contracts in place of the segments."""
 
     def value(name: str, what: str) -> Column:
-        s = F.col(f"_{name}")
+        s = F.col(name)
         share = (F.col("q") - s["prev_qty"]) / (s["cum_qty"] - s["prev_qty"])
         return (s[f"prev_{what}"] + share * (s[f"cum_{what}"] - s[f"prev_{what}"])).alias(f"{name}_{what}")
 
-    found = points.select(*rest, segment("a"), segment("b"))
-    return found.select(*rest, *[value(n, w) for n in "ab" for w in ("cost", "fee")])
+    return rows.select(*[c for c in rows.columns if c not in ("a", "b")], *[value(n, w) for n in "ab" for w in ("cost", "fee")])
+
+
+def valued(points: DataFrame) -> DataFrame:
+    """``points`` (a, b, q and others) with the cost and fee of q contracts of both sides in place of the lists."""
+
+    def segment(name: str) -> Column:
+        return F.get(F.filter(name, lambda s: (F.col("q") > s["prev_qty"]) & (F.col("q") <= s["cum_qty"])), F.lit(0)).alias(name)
+
+    return priced(points.select(*[c for c in points.columns if c not in ("a", "b")], segment("a"), segment("b")))
 
 
 def outcome(points: DataFrame, digits: tuple[int, int, int] = (2, 4, 2)) -> DataFrame:
@@ -108,16 +112,21 @@ def diminishing_returns(curve: DataFrame, keys: Sequence[str], shares: tuple[int
 
 
 def outlay_segments(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Total outlay between neighbouring knots of both books: q0, q1, out0, out1 and the key's max_out."""
-    knots = F.array_distinct(F.concat(F.transform("a", lambda s: s["cum_qty"]), F.transform("b", lambda s: s["cum_qty"])))
-    points = folded(a, b, keys).withColumn("q", F.explode(F.filter(knots, lambda q: q <= F.col("max_qty"))))
+    """Total outlay between neighbouring knots of both books: q0, q1, out0, out1 and the key's max_out.
+
+    Both schedules are read once, from the deepest knot down: the segment of a side that holds a
+    knot is the last one of that side whose end has been met.
+    """
+    ends = [s.where("cum_qty > prev_qty").select(*keys, F.col("cum_qty").alias("q"), F.struct(*_SEGMENT).alias(n)) for s, n in ((a, "a"), (b, "b"))]
+    down = W.partitionBy(*keys).orderBy(F.col("q").desc())
+    met = down.rangeBetween(W.unboundedPreceding, W.currentRow)
+    both = ends[0].unionByName(ends[1], allowMissingColumns=True).withColumns({n: F.last(n, ignorenulls=True).over(met) for n in "ab"})
     out = F.col("a_cost") + F.col("b_cost") + F.col("a_fee") + F.col("b_fee")
-    return (
-        valued(points).select(*keys, "max_qty", F.col("q").alias("q1"), out.alias("out1"))
-        .withColumn("q0", F.lag("q1", 1, 0.0).over(W.partitionBy(*keys).orderBy("q1")))
-        .withColumn("out0", F.lag("out1", 1, 0.0).over(W.partitionBy(*keys).orderBy("q1")))
-        .withColumn("max_out", F.max("out1").over(W.partitionBy(*keys)))
-    )
+    knots = priced(both.where("a IS NOT NULL AND b IS NOT NULL")).select(*keys, F.col("q").alias("q1"), out.alias("out1"))
+    down = W.partitionBy(*keys).orderBy(F.col("q1").desc())
+    before = {"q0": F.lead("q1", 1, 0.0).over(down), "out0": F.lead("out1", 1, 0.0).over(down)}
+    # An end of both books comes twice, once with nothing between.
+    return knots.withColumns({**before, "max_out": F.first("out1").over(down)}).where("q1 > q0")
 
 
 def _bought(segments: DataFrame, capital: Column) -> DataFrame:
