@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ def ttl_dedup(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str
     """Rows that come more than the time to live after the last row kept of their key; without one, the first.
 
     A kept row starts the clock and later ones never restart it, so this is a fold.  Rows are
-    read in sorted batches with the last kept time alone as state, whatever a key's size.
+    read in sorted batches with the last kept time alone as state, whatever a key's size; from a
+    kept row a search leads to the next one, so the rows between cost nothing.  A row without a
+    time is kept and starts no clock.
     """
     if not ttl_seconds:
         return first_seen(rows, keys, [ts, *order])
@@ -34,15 +39,26 @@ def ttl_dedup(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str
     sorted_ = rows.withColumns({"_key": key, "_us": micros(ts)}).repartition("_key").sortWithinPartitions("_key", "_us", *order)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, kept_at = None, 0
+        key_now, kept_at = None, None
         for batch in batches:
-            mask = []
-            for k, at in zip(batch["_key"].to_pylist(), batch["_us"].to_pylist(), strict=True):
-                new = k != key_now or at is None or at - kept_at > limit
-                if new:
-                    key_now, kept_at = k, at or 0
-                mask.append(new)
-            yield batch.filter(pa.array(mask, pa.bool_())).drop_columns(["_key", "_us"]) if len(mask) else batch.drop_columns(["_key", "_us"])
+            mask = np.zeros(batch.num_rows, bool)
+            if batch.num_rows:
+                parts = pc.run_end_encode(batch["_key"])
+                times, known = batch["_us"].fill_null(0).to_numpy().tolist(), batch["_us"].is_valid().to_numpy(zero_copy_only=False)
+                at = 0
+                for key_here, end in zip(parts.values.to_pylist(), parts.run_ends.to_pylist(), strict=True):
+                    if key_here != key_now:
+                        key_now, kept_at = key_here, None
+                    while at < end and not known[at]:
+                        mask[at] = True
+                        at += 1
+                    if kept_at is not None:
+                        at = bisect_right(times, kept_at + limit, at, end)
+                    while at < end:
+                        mask[at], kept_at = True, times[at]
+                        at = bisect_right(times, kept_at + limit, at, end)
+                    at = end
+            yield batch.filter(pa.array(mask)).drop_columns(["_key", "_us"])
 
     return sorted_.mapInArrow(keep, rows.schema)
 

@@ -112,3 +112,22 @@ def cache_stats(lookups: DataFrame, key: str) -> DataFrame:
     per = lookups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     both = per.agg(F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("hits"), F.count("*").alias("misses"))
     return both.withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))
+
+
+def opportunity_lines(ranked: DataFrame, width: int = 40) -> DataFrame:
+    """A line of text for each ranked opportunity: section, pair, sides, asks, edge, profit, yield; for a console."""
+    money = lambda c: F.coalesce(F.format_number(c, 2), F.lit("N/A"))
+    ask = lambda c: F.coalesce(F.format_number(c, 4), F.lit("N/A"))
+    label = F.when(F.length("pair_key") > width, F.concat(F.substring("pair_key", 1, width - 3), F.lit("..."))).otherwise(F.col("pair_key"))
+    parts = (
+        F.rpad("section", 10, " "),
+        F.rpad(label, width, " "),
+        F.concat(F.lit("A "), F.rpad("side_a", 3, " "), F.lit(" "), ask("ask_a")),
+        F.concat(F.lit("B "), F.rpad("side_b", 3, " "), F.lit(" "), ask("ask_b")),
+        F.concat(F.lit("edge "), ask("gross_edge")),
+        F.concat(F.lit("net "), ask("net_profit_1")),
+        F.concat(F.lit("at budget "), money("pnl_at_budget")),
+        F.concat(F.lit("bps a day "), money("daily_yield_bps")),
+        F.concat(F.lit("days "), F.coalesce(F.col("days_to_resolution").cast("string"), F.lit("N/A"))),
+    )
+    return ranked.select("pair_key", "side_a", "side_b", F.concat_ws("  ", *parts).alias("line"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairlens.config import VENUES, Settings
 from pairlens.functions import discovery, extract, scores, text
-from pairlens.operators import dedup, entities, rerank, retrieve
+from pairlens.operators import dedup, entities, persist, rerank, retrieve
 
 #: Venues with a text builder; register a column function to add one.
 BUILDERS: dict[str, Callable[[], Column]] = {
@@ -27,8 +27,21 @@ def canonicalised(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumns(hashes), events.where(~F.coalesce(known, F.lit(False)))
 
 
-def extracted(texts: DataFrame, narrow_names: bool = False) -> DataFrame:
-    """Specs of (content_hash, canonical_text): each distinct text is read once."""
+def vector_points(markets: DataFrame, encode: Callable = rerank.LexicalEncoder) -> DataFrame:
+    """Points of market events for a vector index: (point_id, vector, venue, venue_market_id, title, content_hash).
+
+    Venues without a text builder and events without a title give none.
+    """
+    rows, _ = canonicalised(markets)
+    vector = rerank.embedded(F.col("canonical_text"), encode)
+    return rows.select(persist.point_id(F.col("identity_hash")).alias("point_id"), vector.alias("vector"), "venue", "venue_market_id", "title", "content_hash")
+
+
+def extracted(texts: DataFrame, narrow_names: bool = False, load_names: Callable | None = None) -> DataFrame:
+    """Specs of (content_hash, canonical_text): each distinct text is read once.
+
+    ``load_names`` loads a named-entity model whose entities come before those of the patterns.
+    """
     once = texts.select("content_hash", "canonical_text").dropDuplicates(["content_hash"])
     t = F.col("canonical_text")
     rows = once.withColumns(
@@ -41,10 +54,12 @@ def extracted(texts: DataFrame, narrow_names: bool = False) -> DataFrame:
         }
     )
     s, c = F.col("statement"), F.col("resolution_criteria")
+    both = F.trim(F.concat_ws(" ", F.coalesce(s, F.lit("")), F.coalesce(c, F.lit(""))))
+    named = extract.model_entities(both, load_names) if load_names else F.array().cast(f"array<{extract.ENTITY}>")
     rows = rows.withColumns(
         {
             "thresholds": extract.thresholds(s, c),
-            "entities": extract.merged_entities(F.array().cast(f"array<{extract.ENTITY}>"), extract.regex_entities(s, c, narrow_names)),
+            "entities": extract.merged_entities(named, extract.regex_entities(s, c, narrow_names)),
             "data_source": extract.data_source(c, s),
             "clauses": text.secondary_clauses(c),
         }
@@ -115,6 +130,18 @@ def verified(pairs: DataFrame, settings: Settings = Settings(), aliases: dict[st
     return rows.withColumns({"verdict": verdict, "confidence": confidence, "outcome_mapping": mapping, "pair_key": scores.pair_key(F.col("market_a_id"), F.col("market_b_id"))}).drop("_e", "multi")
 
 
+def verify_by_id(matches: DataFrame, specs: DataFrame, settings: Settings = Settings(), aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Verified pairs of (market_a_id, market_b_id, score) with specs stored as ``<market id>_spec``.
+
+    ``specs``: spec_id and the fields of :func:`extracted`; pairs that lack a spec are left out.
+    """
+    rows = matches
+    for s in "ab":
+        side = specs.select(*[F.col(c).alias("_spec" if c == "spec_id" else f"{c}_{s}") for c in specs.columns])
+        rows = rows.withColumn("_spec", F.concat(f"market_{s}_id", F.lit("_spec"))).join(side, "_spec").drop("_spec")
+    return verified(rows, settings, aliases)
+
+
 def persistable(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("verdict").isin("equivalent", "needs_review"))
 

@@ -7,6 +7,9 @@ joins.  Checkpoints replace reconnecting and draining: stop a query and start it
 
 from __future__ import annotations
 
+import json
+import logging
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -15,7 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from pairlens.config import Settings
 from pairlens.functions.text import micros
+from pairlens.operators import books as book_ops
+
+log = logging.getLogger(__name__)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -94,6 +101,24 @@ def books(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("venue", "vmid").transformWithStateInPandas(BookState(), outputStructType=BookState.SCHEMA, outputMode="update", timeMode="None")
 
 
+def with_refresh(deltas: DataFrame, fetched: DataFrame, every_seconds: int = 30) -> DataFrame:
+    """Deltas together with whole books fetched now and then, as one input of :func:`books`.
+
+    ``fetched``: levels (venue, vmid, seq, outcome, bid price, size) with taken_at; all levels of
+    a market within an interval are one snapshot, which clears what was there.  An empty book is
+    one level of size 0.
+    """
+    number = F.floor(micros("taken_at") / (every_seconds * 1_000_000))
+    levels = fetched.select("venue", "vmid", "seq", number.alias("snapshot"), "outcome", "price", "size")
+    return deltas.select(levels.columns).union(levels)
+
+
+def still_fresh(rows: DataFrame, ts: str, seconds: float = 5.0, now: Column | None = None) -> DataFrame:
+    """Rows no older than some seconds of wall-clock time when they are processed; rows without a time are stale."""
+    at = micros(now if now is not None else F.current_timestamp())
+    return rows.where(micros(ts) >= at - int(seconds * 1_000_000))
+
+
 def delta_levels(messages: DataFrame) -> DataFrame:
     """Levels of delta messages (payload, seq): prices in cents, both outcomes."""
     pairs = "array<array<double>>"
@@ -139,22 +164,102 @@ def first_of(matches: DataFrame) -> DataFrame:
 class Health(StreamingQueryListener):
     """Rows and rates of the last progress of each query, and how it ended."""
 
-    def __init__(self) -> None:
+    def __init__(self, clock: Callable[[], float] = time.monotonic) -> None:
+        self.clock = clock
         self.progress: dict[str, dict[str, Any]] = {}
 
+    def _entry(self, run_id: Any) -> dict[str, Any]:
+        return self.progress.setdefault(str(run_id), {"rows": 0, "state": "running", "heard": self.clock()})
+
     def onQueryStarted(self, event: Any) -> None:
-        self.progress[str(event.runId)] = {"rows": 0, "state": "running"}
+        self._entry(event.runId)
 
     def onQueryProgress(self, event: Any) -> None:
-        own = self.progress.setdefault(str(event.progress.runId), {"rows": 0, "state": "running"})
+        own = self._entry(event.progress.runId)
         own["rows"] += event.progress.numInputRows
         own["rate"] = event.progress.processedRowsPerSecond
+        own["heard"] = self.clock()
 
     def onQueryIdle(self, event: Any) -> None:
-        pass
+        self._entry(event.runId)["heard"] = self.clock()
 
     def onQueryTerminated(self, event: Any) -> None:
-        self.progress.setdefault(str(event.runId), {"rows": 0})["state"] = "failed" if event.exception else "stopped"
+        self._entry(event.runId)["state"] = "failed" if event.exception else "stopped"
+
+    def beat(self, silent_after: float = 60.0) -> dict[str, Any]:
+        """What a heartbeat reports: queries by state, all rows, and running queries not heard of for a while."""
+        states = [own["state"] for own in self.progress.values()]
+        silent = sorted(k for k, own in self.progress.items() if own["state"] == "running" and self.clock() - own["heard"] > silent_after)
+        return {"status": "running" if "running" in states else "stopped", **{s: states.count(s) for s in ("running", "stopped", "failed")}, "rows": sum(own["rows"] for own in self.progress.values()), "silent": silent}
+
+
+class PairWatch:
+    """For ``foreachBatch`` on :func:`books`: keeps the last books of the two markets of one pair and
+    hands each opportunity to a callback whenever one of them changes.
+
+    ``pair``: pair_key, venue_a, vmid_a, venue_b, vmid_b, inverted, date_a, date_b.  The driver
+    holds two books and no more; after a restart a side counts again from its next change on.  A
+    callback that fails is logged and stops nothing.
+    """
+
+    PAIR = "pair_key string, venue_a string, vmid_a string, venue_b string, vmid_b string, inverted boolean, date_a timestamp, date_b timestamp"
+    LEVEL = "venue string, vmid string, outcome string, price double, size double"
+
+    def __init__(self, pair: tuple, on_opportunity: Callable[[dict[str, Any]], None], settings: Settings = Settings(), as_of: Column | None = None):
+        self.pair, self.call, self.settings, self.as_of = pair, on_opportunity, settings, as_of
+        self.sides = {(pair[1], pair[2]): [], (pair[3], pair[4]): []}
+        self.updates = 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        (va, ma), (vb, mb) = self.sides
+        mine = ((F.col("venue") == va) & (F.col("vmid") == ma)) | ((F.col("venue") == vb) & (F.col("vmid") == mb))
+        changed: dict[tuple, list[tuple]] = {}
+        for r in batch.where(mine).select("venue", "vmid", "outcome", "price", "size").collect():
+            changed.setdefault((r["venue"], r["vmid"]), []).append(tuple(r))
+        if not changed:
+            return
+        self.updates += len(changed)
+        self.sides.update(changed)
+        if not all(self.sides.values()):
+            return
+        levels = spark.createDataFrame([x for side in self.sides.values() for x in side], self.LEVEL)
+        found = book_ops.opportunities(spark.createDataFrame([self.pair], self.PAIR), levels, self.as_of if self.as_of is not None else F.current_timestamp(), self.settings)
+        for r in found.collect():
+            try:
+                self.call(r.asDict())
+            except Exception:
+                log.exception("the callback failed on %s", r["pair_key"])
+
+
+class Rebroadcast:
+    """For ``writeStream.foreach``: every row as JSON to each client that ``connect`` gives in the task.
+
+    A client is a function of the text; one that fails gets no more rows of the task.
+    """
+
+    def __init__(self, connect: Callable[[], Sequence[Callable[[str], None]]]):
+        self.connect = connect
+
+    def open(self, partition_id: int, epoch_id: int) -> bool:
+        self.clients = list(self.connect())
+        return True
+
+    def process(self, row: Any) -> None:
+        line = json.dumps(row.asDict(recursive=True), default=str)
+        for send in list(self.clients):
+            try:
+                send(line)
+            except Exception:
+                self.clients.remove(send)
+
+    def close(self, error: Exception | None) -> None:
+        self.clients = []
+
+
+def bounded_files(spark: SparkSession, path: str, schema: str, files: int = 100, format: str = "json") -> DataFrame:
+    """A stream over a folder whose batches take some files at most: what comes faster waits in the folder, nothing is dropped."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(format).load(path)
 
 
 def start_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:

@@ -30,6 +30,13 @@ def test_ttl_dedup_equals_a_fold(spark):
     assert dedup.ttl_dedup(df.limit(0), ["k"], "t", ["i"]).count() == 0
 
 
+def test_ttl_dedup_of_missing_times_and_a_hot_key(spark):
+    rows = [(1, "k", None), (2, "k", None), (3, "k", at(0)), (4, "k", at(1))] + [(100 + i, "hot", at(i)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "i long, k string, t timestamp")
+    got = {r["i"] for r in dedup.ttl_dedup(df, ["k"], "t", ["i"]).collect()}
+    assert got == {1, 2, 3} | {100, 3701, 7302, 10903}
+
+
 def test_upsert_and_versions(spark):
     schema = "id string, venue string, vmid string, title string, text_hash string, created_at timestamp, updated_at timestamp"
     old = spark.createDataFrame([("1", "k", "a", "A", "h1", T0, T0), ("2", "k", "b", "B", None, T0, T0), ("3", "k", "c", "C", "h3", T0, T0)], schema)
@@ -224,3 +231,91 @@ def test_drained_batches_hold_all_rows_once(spark, tmp_path):
         live.drain(live.start_batches(rows, lambda b, i: seen.extend(r.id for r in b.collect()), str(tmp_path / "state"), every="0 seconds"))
         assert sorted(seen) == list(range(len(seen)))
     assert len(seen) == 5
+
+
+def test_refresh_clears_a_book(spark, tmp_path):
+    live.use_rocksdb(spark)
+    schema = "venue string, vmid string, seq long, outcome string, price double, size double"
+    deltas = spark.createDataFrame([("k", "m", 1, -1, "no", 0.58, 7.0), ("k", "m", 5, -1, "yes", 0.4, 2.0)], "venue string, vmid string, seq long, snapshot long, outcome string, price double, size double")
+    fetched = spark.createDataFrame([("k", "m", 3, "no", 0.5, 9.0, at(31)), ("k", "m", 4, "no", 0.4, 1.0, at(32)), ("k", "e", 1, "no", 0.0, 0.0, at(0))], f"{schema}, taken_at timestamp")
+    path = str(tmp_path / "levels")
+    live.with_refresh(deltas, fetched).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(deltas.schema).parquet(path)
+    got = {(r["vmid"], r["outcome"], r["price"], r["size"]) for r in run(spark, live.books(stream), tmp_path, "refresh_out", "update")}
+    assert got == {("m", "yes", 0.5, 9.0), ("m", "yes", 0.6, 1.0), ("m", "no", 0.6, 2.0)}
+
+
+def test_only_fresh_rows_stay(spark):
+    rows = spark.createDataFrame([(1, at(0)), (2, at(5)), (3, at(6)), (4, None)], "i int, ts timestamp")
+    assert {r["i"] for r in live.still_fresh(rows, "ts", 5.0, F.lit(at(10))).collect()} == {2, 3}
+
+
+def test_watch_of_one_pair(spark):
+    seen = []
+
+    def call(found):
+        seen.append(found)
+        raise ValueError("a callback's own trouble")
+
+    watch = live.PairWatch(("p", "polymarket", "x", "polymarket", "y", False, None, None), call, as_of=F.lit(T0))
+
+    def book(*rows):
+        return spark.createDataFrame(rows, live.PairWatch.LEVEL)
+
+    watch(book(("polymarket", "x", "yes", 0.40, 100.0), ("polymarket", "x", "no", 0.61, 50.0), ("polymarket", "other", "yes", 0.1, 1.0)), 0)
+    assert not seen and watch.updates == 1
+    watch(book(("polymarket", "y", "yes", 0.47, 80.0), ("polymarket", "y", "no", 0.55, 60.0)), 1)
+    best = {(r["side_a"], r["side_b"]): r for r in seen}
+    assert set(best) == {("yes", "no"), ("no", "yes")}
+    assert best["yes", "no"]["gross_edge"] == 0.05 and best["yes", "no"]["optimal_qty"] == 60.0
+    watch(book(("polymarket", "other", "yes", 0.1, 1.0)), 2)
+    assert len(seen) == 2 and watch.updates == 2
+
+
+def test_rebroadcast_drops_failing_clients(spark):
+    got, tries = [], []
+
+    def broken(line):
+        tries.append(line)
+        raise OSError("gone")
+
+    sink = live.Rebroadcast(lambda: [broken, got.append])
+    assert sink.open(0, 0)
+    for r in spark.createDataFrame([(1, T0), (2, None)], "a int, t timestamp").collect():
+        sink.process(r)
+    sink.close(None)
+    assert len(tries) == 1 and [line[:7] for line in got] == ['{"a": 1', '{"a": 2']
+
+
+def test_heartbeat(spark, tmp_path):
+    now = [0.0]
+    health = live.Health(lambda: now[0])
+    health.progress = {"x": {"rows": 3, "state": "running", "heard": 0.0}, "y": {"rows": 4, "state": "failed", "heard": 0.0}}
+    now[0] = 61.0
+    assert health.beat() == {"status": "running", "running": 1, "stopped": 0, "failed": 1, "rows": 7, "silent": ["x"]}
+
+
+def test_bounded_files_come_in_parts(spark, tmp_path):
+    path, sizes = str(tmp_path / "many"), []
+    spark.range(6).repartition(3).write.json(path)
+    live.drain(live.start_batches(live.bounded_files(spark, path, "id long", files=1), lambda b, i: sizes.append(b.count()), str(tmp_path / "bounded"), every="0 seconds"))
+    assert sum(sizes) == 6 and len(sizes) == len(list((tmp_path / "many").glob("part-*")))
+
+
+def test_verification_by_ids_leaves_out_what_lacks_a_spec(spark):
+    events = [("kalshi", "A", "Will the Lakers win 50 games?"), ("polymarket", "B", "Will LA Lakers win 50 games?")]
+    texts = spark.createDataFrame([(m, f"Market Statement:\n{t}") for _, m, t in events], "content_hash string, canonical_text string")
+    specs = matching.extracted(texts).withColumn("spec_id", F.concat("content_hash", F.lit("_spec"))).drop("content_hash")
+    matches = spark.createDataFrame([("A", "B", 0.95), ("A", "Z", 0.95)], "market_a_id string, market_b_id string, score double")
+    got = matching.verify_by_id(matches, specs).collect()
+    assert [(r["market_a_id"], r["market_b_id"]) for r in got] == [("A", "B")] and got[0]["pair_key"]
+
+
+def test_points_and_lines(spark):
+    schema = "venue string, venue_market_id string, title string, resolution_criteria string, description string, end_date timestamp, outcomes array<struct<label:string>>"
+    rows = [("kalshi", "A", "Will it rain?", None, None, None, None), ("nowhere", "B", "x", None, None, None, None), ("kalshi", "C", None, None, None, None, None)]
+    points = matching.vector_points(spark.createDataFrame(rows, schema)).collect()
+    assert [(p["venue_market_id"], len(p["point_id"]), len(p["vector"])) for p in points] == [("A", 36, 256)]
+    found = spark.createDataFrame([("a|" + "b" * 60, "yes", "no", 0.4, 0.55, 0.05, 0.05, 1234.5, 2.0, None, "actionable")], "pair_key string, side_a string, side_b string, ask_a double, ask_b double, gross_edge double, net_profit_1 double, pnl_at_budget double, daily_yield_bps double, days_to_resolution int, section string")
+    line = reports.opportunity_lines(found).first()["line"]
+    assert line.startswith("actionable  a|") and "at budget 1,234.50" in line and line.endswith("days N/A")
