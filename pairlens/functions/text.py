@@ -13,10 +13,10 @@ HEADERS = ("Market Statement:", "Resolution Criteria:", "Clarifications:", "End
 def normalise_text(text: Column) -> Column:
     """LF line ends, no trailing white space, runs of blank lines as one, none at the end."""
     folded = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    # A run of white space is looked at from its start only, so long ones inside a line stay cheap.
-    trimmed = F.regexp_replace(folded, f"(?md)(?<![{SPACE} ])[{SPACE} ]+$", "")
+    # Printable ASCII, and single spaces before it, are passed by comparisons; a run of white space is looked at from its start only.
+    trimmed = F.regexp_replace(folded, f"(?md)(?=[^!-~](?:[^!-~]|\\z))[{SPACE}](?<![{SPACE}]{{2}})[{SPACE}]*+$", "")
     # A blank line goes if the one before it is blank.
-    return F.rtrim(F.regexp_replace(trimmed, r"(?<=\n\n)\n+|(?<=\A\n)\n+", ""), F.lit("\n"))
+    return F.rtrim(F.regexp_replace(trimmed, r"(?=\n)(?<=\n\n|\A\n)\n+", ""), F.lit("\n"))
 
 
 def content_hash(text: Column) -> Column:
