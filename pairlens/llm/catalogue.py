@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import exact_dedup, license_scan, mixing, packing, pii, secret_scan, simhash, topk, toxicity, url_filter
+from pairlens.llm import exact_dedup, license_scan, mixing, packing, pii, secret_scan, sessions, simhash, topk, toxicity, url_filter
 from pairlens.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessions(table(spark, sf_dir, "clicks"))
+    return found.withColumn("path_sha256", F.sha2("path", 256)).drop("path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_sessions": op11_sessions,
 }
 
 _EXACT_DEDUP_SQL = r"""
@@ -155,9 +161,49 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """
 
+_SESSIONS_SQL = """
+WITH RECURSIVE once AS (
+  SELECT click_id, client_id, epoch_us(ts) AS at_us, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 21600000000, false) AS late,
+         coalesce(kind = 'error' AND value >= 60, false) AS final, coalesce(floor(100 * value + 0.5)::BIGINT, 0) AS cents
+  FROM clicks WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, arrived_at NULLS FIRST, client_id, kind, value) = 1
+), timely AS (
+  SELECT *, lag(at_us) OVER o AS prior, lag(final) OVER o AS prior_final, row_number() OVER o AS rn
+  FROM once WHERE NOT late WINDOW o AS (PARTITION BY client_id ORDER BY at_us, click_id)
+), marked AS (
+  SELECT *, CASE WHEN prior IS NULL THEN 'none' WHEN prior_final THEN 'end' WHEN at_us - prior >= 600000000 THEN 'gap' END AS break
+  FROM timely
+), breaks AS (
+  SELECT *, min(CASE WHEN break IS NOT NULL THEN rn END) OVER (PARTITION BY client_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_break
+  FROM marked
+), jumps AS (
+  SELECT b.client_id, b.rn, b.break, nullif(least(coalesce(b.next_break, 1000000000), coalesce(t.rn, 1000000000)), 1000000000) AS next
+  FROM breaks b ASOF LEFT JOIN (SELECT client_id, at_us, min(rn) AS rn FROM timely GROUP BY ALL) t ON b.client_id = t.client_id AND b.at_us + 2400000000 < t.at_us
+), starts(client_id, rn) AS (
+  SELECT client_id, rn FROM jumps WHERE break IS NOT NULL
+  UNION
+  SELECT s.client_id, j.next FROM starts s JOIN jumps j ON s.client_id = j.client_id AND s.rn = j.rn WHERE j.next IS NOT NULL
+), spans AS (
+  SELECT s.client_id, s.rn, b.click_id AS session_id, b.at_us AS start_us,
+         lead(s.rn) OVER c AS until, lead(b.at_us) OVER c AS next_us, coalesce(lead(b.break) OVER c, 'length') AS next_break
+  FROM starts s JOIN breaks b ON s.client_id = b.client_id AND s.rn = b.rn
+  WINDOW c AS (PARTITION BY s.client_id ORDER BY s.rn)
+), filled AS (
+  SELECT s.client_id, s.session_id, s.start_us, s.next_us, max(t.at_us) AS end_us, count(*) AS n_clicks, sum(t.cents)::BIGINT AS value_cents,
+         CASE WHEN any_value(s.until) IS NOT NULL THEN any_value(s.next_break) WHEN arg_max(t.final, t.rn) THEN 'end' ELSE 'none' END AS closed_by,
+         sha256(string_agg(t.click_id::VARCHAR, ',' ORDER BY t.at_us, t.click_id)) AS path_sha256
+  FROM spans s JOIN timely t ON s.client_id = t.client_id AND t.rn >= s.rn AND t.rn < coalesce(s.until, 1000000000)
+  GROUP BY s.client_id, s.session_id, s.start_us, s.next_us
+)
+SELECT f.client_id, f.session_id, f.start_us, f.end_us, f.n_clicks, f.value_cents, f.closed_by, f.path_sha256,
+       (SELECT count(*) FROM once l WHERE l.late AND l.client_id = f.client_id AND l.at_us >= f.start_us AND l.at_us < coalesce(f.next_us, 9223372036854775807)) AS n_late
+FROM filled f
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": _EXACT_DEDUP_SQL,
     "op5_exact_topk": _TOPK_SQL,
     "op6_url_filter": _URL_SQL,
     "op9_source_mixing": _MIXING_SQL,
+    "op11_sessions": _SESSIONS_SQL,
 }
