@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import exact_dedup, license_scan, mixing, packing, pii, secret_scan, sessions, simhash, topk, toxicity, url_filter
+from pairlens.llm import collocations, exact_dedup, license_scan, mixing, packing, pii, quality, secret_scan, sessions, simhash, topk, toxicity, url_filter
 from pairlens.llm.common import table
 
 
@@ -68,6 +68,14 @@ def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("path_sha256", F.sha2("path", 256)).drop("path")
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_sessions": op11_sessions,
+    "op12_quality": op12_quality,
+    "op13_collocations": op13_collocations,
 }
 
 _EXACT_DEDUP_SQL = r"""
@@ -200,10 +210,44 @@ SELECT f.client_id, f.session_id, f.start_us, f.end_us, f.n_clicks, f.value_cent
 FROM filled f
 """
 
+_COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), totals AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, words, ws[i : i + words - 1] AS ws
+  FROM (SELECT lang, ws, words, unnest(range(1, len(ws) - words + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4)) v(words))
+), counts AS (
+  SELECT lang, words, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM grams GROUP BY lang, words, ws HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.ws, c.f AS a, k, array_to_string(c.ws[1 : k], ' ') AS head, array_to_string(c.ws[k + 1 :], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM counts WHERE words > 1) c
+), weakest AS (
+  SELECT u.lang, u.phrase, u.a, l.f AS l, r.f AS r, (2000000 * u.a::HUGEINT // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM cuts u JOIN counts l ON u.lang = l.lang AND u.head = l.phrase JOIN counts r ON u.lang = r.lang AND u.rest = r.phrase
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, u.k) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(f) AS outer_f
+  FROM (SELECT lang, ws, f, m, unnest(range(1, words - m + 2)) AS i FROM counts, (VALUES (2), (3)) v(m) WHERE m < words)
+  GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN inner_ i ON w.lang = i.lang AND w.phrase = i.phrase
+  WHERE i.outer_f IS NULL OR 100 * i.outer_f::HUGEINT < 80 * w.a::HUGEINT
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": _EXACT_DEDUP_SQL,
     "op5_exact_topk": _TOPK_SQL,
     "op6_url_filter": _URL_SQL,
     "op9_source_mixing": _MIXING_SQL,
     "op11_sessions": _SESSIONS_SQL,
+    "op13_collocations": _COLLOCATIONS_SQL,
 }
