@@ -36,7 +36,9 @@ LEAST, LONGEST, TOP, SHARE = 30, 4, 2000, 80
 #: Cells of a row of a sketch, as a power of two, and its rows: two sketches of 8 MB as bits.
 CELL_BITS, SKETCH_ROWS = 25, 2
 #: Cells whose counters travel together.
-BLOCK_BITS = 12
+BLOCK_BITS = 15
+#: Bytes of a text that are hashed at once.
+STRETCH = 1 << 22
 #: Words that a shard holds at least before it is worked off, all languages together.
 SHARD_WORDS = 1_000_000
 #: Parts that a language's phrases are ranked in before their best are ranked together.
@@ -76,75 +78,131 @@ def cells_of(prints: np.ndarray, cell_bits: int) -> list[np.ndarray]:
     return [((_scrambled(prints + np.uint64(r) * _PRIME) >> np.uint64(64 - cell_bits)) + np.uint64(r << cell_bits)).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
+
+    def __init__(self, base: int = 0x5851F42D4C957F2D):
+        self.bases = [np.uint64(base), np.uint64(pow(base, -1, 1 << 64))]
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) < n:
+            self.tables = [np.cumprod(np.append(np.uint64(1), np.full(n + n // 4, base))) for base in self.bases]
+        return [t[:n] for t in self.tables]
+
+
+_POWERS = Powers()
+
+
+def normal(text: str) -> bytes:
+    """``text`` in lower case with line feeds for what ends a piece and blanks for what parts words."""
+    return text.encode("utf-8", "replace").translate(_TABLE)
+
+
+def hashed(raw: bytes, seed: int) -> np.ndarray:
+    """A hash of each word of a normal text and 0 for each end of a piece, in order.
+
+    A word's hash is a polynomial in its bytes, as a difference of running sums; long texts are read in stretches.
+    """
+    out, at = [], 0
+    while at < len(raw):
+        stop = at + STRETCH
+        if stop < len(raw):
+            # Stretches end between words.
+            cut = max(raw.rfind(b" ", at, stop), raw.rfind(b"\n", at, stop)) + 1
+            if cut <= at:
+                cut = min([len(raw), *(x + 1 for x in (raw.find(b" ", stop), raw.find(b"\n", stop)) if x >= 0)])
+            stop = cut
+        data = np.frombuffer(raw, np.uint8, min(stop, len(raw)) - at, at)
+        at = stop
+        power, inverse = _POWERS.upto(len(data) + 1)
+        end = data == 10
+        gap = end | (data == 32)
+        begins = ~gap & np.append(True, gap[:-1])
+        first = np.flatnonzero(begins)
+        last = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
+        sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1]))
+        words = _scrambled((sums[last] - sums[first]) * inverse[first] + np.uint64(seed)) | np.uint64(1)
+        marks = np.flatnonzero(begins | end)
+        found = np.zeros(len(marks), np.uint64)
+        found[begins[marks]] = words
+        out.append(found)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Shard:
-    """Texts of one language as word ids; pieces end with id 0."""
+    """Texts of one language as hashes of their words; 0 ends a piece.  ``spelled`` shards know the words as well."""
 
-    def __init__(self, lang: str):
-        self.lang, self.seed = lang, xxhash.xxh32_intdigest(lang.encode())
+    def __init__(self, lang: str, spelled: bool):
+        self.lang, self.seed, self.spelled = lang, xxhash.xxh64_intdigest(lang.encode()), spelled
         self.vocabulary: dict[bytes, int] = defaultdict(int, {_END: 0})
         self.vocabulary.default_factory = self.vocabulary.__len__
         self.parts: list[np.ndarray] = []
         self.texts: list[str] = []
         self.words = 0
 
-    def add(self, texts: list[str], keep: bool) -> None:
-        raw = "\n".join(texts).encode("utf-8", "replace").translate(_TABLE)
-        tokens = raw.replace(b"\n", b" " + _END + b" ").split()
-        tokens.append(_END)
-        ids = np.fromiter(map(self.vocabulary.__getitem__, tokens), np.int64, len(tokens))
-        self.parts.append(ids)
-        self.words += int(np.count_nonzero(ids))
-        if keep:
+    def add(self, texts: list[str]) -> None:
+        raw = normal("\n".join(texts)) + b"\n"
+        if self.spelled:
+            tokens = raw.replace(b"\n", b" " + _END + b" ").split()
+            part = np.fromiter(map(self.vocabulary.__getitem__, tokens), np.int64, len(tokens))
             self.texts.append(f" {b' '.join(tokens).replace(_END, b'\n').decode()} ")
+        else:
+            part = hashed(raw, self.seed)
+        self.parts.append(part)
+        self.words += int(np.count_nonzero(part))
 
     def close(self) -> None:
-        self.ids = np.concatenate(self.parts)
+        whole = np.concatenate(self.parts)
         self.parts = []
-        self.names = list(self.vocabulary)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in self.names], np.uint64)[self.ids]
-
-    def within(self, length: int) -> np.ndarray:
-        """Whether ``length`` words from each place on lie in one piece."""
-        inside, n = self.ids > 0, max(0, len(self.ids) - length + 1)
-        found = inside[:n].copy()
-        for k in range(1, length):
-            found &= inside[k : k + n]
-        return found
-
-    def prints(self, length: int) -> np.ndarray:
+        if self.spelled:
+            self.ids, self.names = whole, list(self.vocabulary)
+            self.name_hashes = np.append(np.uint64(0), hashed(b" ".join(self.names[1:]), self.seed))
+            self.hashes = self.name_hashes[whole]
+        else:
+            self.hashes = whole
+        self.inside = self.hashes > 0
+
+    def prints(self, places: np.ndarray, length: int) -> np.ndarray:
         """A fingerprint of the ``length`` words from each place on."""
-        n = max(0, len(self.ids) - length + 1)
-        h = np.full(n, length, np.uint64)
+        h = np.full(len(places), length, np.uint64)
         for k in range(length):
-            h = _scrambled(h * _PRIME + self.hashes[k : k + n])
+            h = _scrambled(h * _PRIME + self.hashes[places + k])
         return h
 
-    def candidates(self, sketches: list[Sketch], length: int) -> np.ndarray:
-        """The places from which ``length`` words may be frequent, as far as the sketches tell.
+    def candidates(self, sketches: list[Sketch], longest: int) -> list[np.ndarray]:
+        """By length, the places from which 1 to ``longest`` words of a piece may be frequent, as far as the sketches tell.
 
         Sketch k bounds lengths 2k + 1 and 2k + 2; what it can't bound rests on the longest parts that it can.
         """
-        found = self.within(length)
-        for known in range(1, min(length, 2 * len(sketches)) + 1):
-            at = np.flatnonzero(found)
-            seen = sketches[(known - 1) // 2]
-            fits = np.zeros(len(found) + length - known, bool)
-            near = np.unique((at[:, None] + np.arange(length - known + 1)).ravel())
-            fits[near] = seen.reaches(self.prints(known)[near])
-            for k in range(length - known + 1):
-                found &= fits[k : k + len(found)]
-        return np.flatnonzero(found)
-
-    def phrases(self, places: np.ndarray, length: int) -> list[str]:
-        """The distinct phrases of ``length`` words at ``places``, compared word by word."""
-        key = self.ids[places]
-        for k in range(1, length):
-            _, key = np.unique(key * len(self.names) + self.ids[places + k], return_inverse=True)
-        _, first = np.unique(key, return_index=True)
-        return [b" ".join(self.names[w] for w in self.ids[p : p + length]).decode() for p in places[first].tolist()]
-
-
-def shards(batches: Iterator[pa.RecordBatch], keep: bool, words: int) -> Iterator[Shard]:
+        found, fits = [], self.inside
+        for length in range(1, longest + 1):
+            if length > 1:
+                # Both parts without the last and without the first word.
+                fits = fits[:-1] & fits[1:]
+            if (length - 1) // 2 < len(sketches):
+                at = np.flatnonzero(fits)
+                kept = sketches[(length - 1) // 2].reaches(self.prints(at, length))
+                fits = np.zeros(len(fits), bool)
+                fits[at[kept]] = True
+            found.append(np.flatnonzero(fits))
+        return found
+
+    def phrases(self, places: list[np.ndarray]) -> dict[int, list[str]]:
+        """By length from 2 on, the distinct phrases at ``places``, compared by the ids of their words."""
+        size, ids = len(self.names), self.ids
+        found, ranks = {}, ids
+        for length in range(2, len(places) + 1):
+            at = places[length - 1]
+            # The rank of the part without the last word, among those of its length, and the last word.
+            _, first, inverse = np.unique(ranks[at] * size + ids[at + length - 1], return_index=True, return_inverse=True)
+            found[length] = [b" ".join([self.names[w] for w in ids[p : p + length].tolist()]).decode() for p in at[first].tolist()]
+            ranks = np.zeros(len(ids), np.int64)
+            ranks[at] = inverse
+        return found
+
+
+def shards(batches: Iterator[pa.RecordBatch], spelled: bool, words: int) -> Iterator[Shard]:
     """Closed shards of the (lang, text) rows of a partition."""
     held: dict[str, Shard] = {}
     for batch in batches:
@@ -154,7 +212,9 @@ def shards(batches: Iterator[pa.RecordBatch], keep: bool, words: int) -> Iterato
             for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                held.setdefault(lang, Shard(lang)).add(texts, keep)
+                if lang not in held:
+                    held[lang] = Shard(lang, spelled)
+                held[lang].add(texts)
             if sum(s.words for s in held.values()) >= words:
                 yield from _closed(held)
     yield from _closed(held)
@@ -179,7 +239,8 @@ def sketched(texts: DataFrame, before: list[Broadcast], lengths: tuple[int, ...]
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [b.value for b in before]
         for shard in shards(batches, False, words):
-            prints = np.concatenate([shard.prints(n)[shard.candidates(known, n)] for n in lengths])
+            places = shard.candidates(known, lengths[-1])
+            prints = np.concatenate([shard.prints(places[n - 1], n) for n in lengths])
             for cells in cells_of(prints, cell_bits):
                 cells, counts = np.unique(cells, return_counts=True)
                 home = cells >> BLOCK_BITS
@@ -226,18 +287,21 @@ def counted(texts: DataFrame, sketches: list[Broadcast], longest: int, words: in
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [b.value for b in sketches]
         for shard in shards(batches, True, words):
-            phrases, lengths = [""], [0]
-            for n in range(1, longest + 1):
-                found = shard.phrases(shard.candidates(known, n), n)
+            places = shard.candidates(known, longest)
+            single = np.bincount(shard.ids[places[0]], minlength=len(shard.names))
+            seen = np.flatnonzero(single)
+            phrases, lengths = ["", *[shard.names[w].decode() for w in seen.tolist()]], [0] + [1] * len(seen)
+            base = len(phrases)
+            for n, found in shard.phrases(places).items():
                 phrases += found
                 lengths += [n] * len(found)
             counts = np.zeros(len(phrases), np.int64)
-            counts[0] = shard.words
+            counts[0], counts[1:base] = shard.words, single[seen]
             texts, lang = shard.texts, shard.lang
-            del shard
-            if len(phrases) > 1:
+            del shard, places
+            if len(phrases) > base:
                 automaton = ahocorasick.Automaton()
-                for k in range(1, len(phrases)):
+                for k in range(base, len(phrases)):
                     automaton.add_word(f" {phrases[k]} ", k)
                 automaton.make_automaton()
                 for text in texts:
@@ -298,7 +362,7 @@ def judged(counts: DataFrame, top: int, share: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE, cell_bits: int = CELL_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The ``top`` phrases of 2 to ``longest`` words of each ``lang``: lang, rank, phrase, a, l, r, n, score."""
-    if least < 1 or longest < 2 or cell_bits < BLOCK_BITS:
+    if least < 1 or longest < 2 or not BLOCK_BITS <= cell_bits <= 40:
         raise ValueError("phrases have two words and occur once at least; a sketch holds a block at least")
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

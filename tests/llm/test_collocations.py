@@ -52,7 +52,7 @@ def made(seed, n):
     return docs + docs[:9] + [("en", ""), ("fr", ". ! "), ("es", "a a a a a a a a a a a a a a a")]
 
 
-@pytest.mark.parametrize(("seed", "least", "longest", "top", "cell_bits"), [(1, 3, 4, 2000, 20), (2, 5, 4, 7, 12), (3, 1, 3, 50, 14), (4, 300, 2, 9, 16), (5, 4, 5, 30, 25)])
+@pytest.mark.parametrize(("seed", "least", "longest", "top", "cell_bits"), [(1, 3, 4, 2000, 20), (2, 5, 4, 7, 15), (3, 1, 3, 50, 16), (4, 300, 2, 9, 16), (5, 4, 5, 30, 25)])
 def test_equals_counting_all(spark, seed, least, longest, top, cell_bits):
     docs = made(seed, 150)
     frame = spark.createDataFrame(docs, "lang string, text string").repartition(3)
@@ -71,19 +71,36 @@ def test_other_columns_long_texts_and_empty_tables(spark):
 
 
 def test_bounds_never_fall_below_counts():
-    shard = collocations.Shard("en")
-    shard.add([t for _, t in made(7, 80) if t], True)
+    shard = collocations.Shard("en", False)
+    shard.add([t for _, t in made(7, 80) if t])
     shard.close()
-    for n in (1, 2, 3):
-        prints = shard.prints(n)[shard.within(n)]
-        phrases, counts = np.unique(prints, return_counts=True)
+    for n, places in enumerate(shard.candidates([], 3), 1):
+        phrases, counts = np.unique(shard.prints(places, n), return_counts=True)
         bits = np.zeros(collocations.SKETCH_ROWS << 13, np.uint8)
-        for cells in collocations.cells_of(prints, 16):
-            total = np.bincount(cells, minlength=len(bits) * 8) >= 5
-            bits |= np.packbits(total, bitorder="little")
+        for cells in collocations.cells_of(shard.prints(places, n), 16):
+            bits |= np.packbits(np.bincount(cells, minlength=len(bits) * 8) >= 5, bitorder="little")
         assert collocations.Sketch(bits, 16).reaches(phrases)[counts >= 5].all()
 
 
+def test_hashes_know_words_wherever_they_stand(monkeypatch):
+    texts = [t for _, t in made(11, 60) if t]
+    raw = collocations.normal("\n".join(texts))
+    words = [w for piece in raw.split(b"\n") for w in [*piece.split(b" "), b"\n"] if w][:-1]
+    whole = collocations.hashed(raw, 9)
+    assert len(whole) == len(words) and [h == 0 for h in whole] == [w == b"\n" for w in words]
+    assert len(set(zip(words, whole.tolist()))) == len(set(words)) == len(set(whole.tolist()))
+    for stretch in (1, 7, 100):
+        monkeypatch.setattr(collocations, "STRETCH", stretch)
+        assert np.array_equal(collocations.hashed(raw, 9), whole)
+    spelled = collocations.Shard("en", True)
+    spelled.add(texts)
+    spelled.close()
+    plain_ = collocations.Shard("en", False)
+    plain_.add(texts)
+    plain_.close()
+    assert np.array_equal(spelled.hashes, plain_.hashes) and spelled.words == plain_.words
+
+
 def test_scores_beyond_64_bits(spark):
     big = 9_000_000_000_000_000_000
     rows = [("en", "", 0, big), ("en", "a", 1, big), ("en", "b", 1, big - 1), ("en", "a b", 2, big - 2)]
