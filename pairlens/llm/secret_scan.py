@@ -13,8 +13,8 @@ expression, so the main path has column expressions alone.
 The dictionary is the words of a public vocabulary file, whose path is a parameter.
 
 Defined results: a null or empty text has no candidates; overlapping candidates count once,
-the assigned value first, then the URL's password; repeated rows each get theirs; positions
-are code points, the end exclusive; an empty table gives no rows; other columns are ignored.
+the assigned value first, then the URL's password; repeated rows each get theirs; a text may
+be very long and hold any number of candidates; positions are code points, the end exclusive; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlens.llm import trees
@@ -97,14 +98,35 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rows = rows.where(F.col("text").rlike(f"(?i)[0-9]|://|{SECRET_WORDS}"))
     # Looking back from every character is dear: only texts with such a URL are looked at for its password.
     rows = rows.withColumn("url_text", F.when(F.col("text").rlike(URL), F.col("text")).otherwise(""))
-    rows = locate(locate(locate(rows, ASSIGNED, "assigned"), IN_URL, "in_url", text="url_text"), RUN, "runs").drop("text", "url_text")
-
-    def free(of: str, other: str) -> Column:
-        # Both lists are in order of position, so a hit meets few of the other list; sizes are those of assigned values.
-        return F.filter(of, lambda r: ~F.exists(other, lambda a: (a["start"] < r["stop"]) & (r["start"] < a["stop"])))
-
-    rows = rows.withColumn("first", F.concat("assigned", free("in_url", "assigned")))
-    return rows.select("doc_id", F.explode(F.concat("first", free("runs", "first"))).alias("x")).select("doc_id", "x.*")
+    rows = locate(locate(locate(rows, ASSIGNED, "assigned"), IN_URL, "in_url", text="url_text"), RUN, "runs")
+    # Two hashes tell texts that share an id apart; rows that repeat as a whole have equal hits.
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2"), *_KINDS)
+    lists = [f"transform({name}, x -> named_struct('kind', {k}, 'start', x.start, 'stop', x.stop, 'hit', x.hit, 'tail', x.tail, 'head', x.head))" for k, name in enumerate(_KINDS)]
+    every = F.expr(f"concat({', '.join(lists)})")
+    return without_overlaps(rows.select("doc_id", "h", "h2", F.explode(every).alias("x")).select("doc_id", "h", "h2", "x.*")).drop("h", "h2", "kind")
+
+
+#: Lists of candidates; one gives way where it overlaps one of a list before.
+_KINDS = ("assigned", "in_url", "runs")
+
+
+def without_overlaps(hits: DataFrame) -> DataFrame:
+    """``hits`` (doc_id, h, h2, kind, start, stop, and others) that overlap no hit of a smaller kind which stays.
+
+    In order of start only the farthest end before and the next start behind can overlap.  Both are running values,
+    one in that order and one against it: a frame that looks ahead would begin anew at each row.
+    """
+    text = W.partitionBy("doc_id", "h", "h2")
+    order = text.orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
+    against = text.orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(W.unboundedPreceding, -1)
+    hits = hits.withColumn("free", F.col("kind") == 0)
+    for kind in range(1, len(_KINDS)):
+        kept = F.col("free") & (F.col("kind") < kind)
+        before = F.max(F.when(kept, F.col("stop"))).over(order)
+        behind = F.min(F.when(kept, F.col("start"))).over(against)
+        alone = F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(behind >= F.col("stop"), F.lit(True))
+        hits = hits.withColumn("free", F.when(F.col("kind") == kind, alone).otherwise(F.col("free")))
+    return hits.where("free").drop("free")
 
 
 def features(hit: Column, tail: Column, head: Column, dictionary: Dictionary) -> list[Column]:
