@@ -280,13 +280,20 @@ def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     lines = lines.withColumn("norms", F.transform("raw", lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))))
     # Lines that hold words, so that AHEAD of them hold AHEAD words.
     lines = lines.withColumn("full", F.filter(F.transform("norms", lambda x, i: F.struct(i.alias("at"), x.alias("norm"))), lambda x: x["norm"] != ""))
-    lines = lines.select("doc_id", "raw", "full", F.posexplode("full").alias("k", "x"))
-    # Lines follow each other without a gap as long as their numbers do.
-    near = F.filter(F.slice("full", F.col("k") + 2, AHEAD), lambda x, i: x["at"] == F.col("x.at") + i + 1)
-    behind = F.array_join(F.transform(near, lambda x: x["norm"]), " ")
-    lines = lines.select("doc_id", F.col("x.at").cast("long").alias("paragraph"), F.element_at("raw", F.col("x.at") + 1).rlike(CUES).alias("cue"), F.col("x.norm").alias("norm"), F.substring_index(behind, " ", AHEAD).alias("ahead"))
-    lines = lines.withColumn("both", F.concat_ws(" ", "norm", F.when(F.col("ahead") != "", F.col("ahead"))))
-    return lines.where(F.col("cue") | F.col("both").rlike(rf"(?:^| )(?:{'|'.join(template_phrases())})(?:$| )"))
+
+    def window(x: Column, k: Column) -> Column:
+        # Lines follow each other without a gap as long as their numbers do.
+        near = F.filter(F.slice("full", k + 2, AHEAD), lambda y, i: y["at"] == x["at"] + i + 1)
+        ahead = F.substring_index(F.array_join(F.transform(near, lambda y: y["norm"]), " "), " ", AHEAD)
+        return F.struct(x["at"].cast("long").alias("paragraph"), F.element_at("raw", x["at"] + 1).rlike(CUES).alias("cue"), x["norm"].alias("norm"), ahead.alias("ahead"))
+
+    def both(x: Column) -> Column:
+        return F.concat_ws(" ", x["norm"], F.when(x["ahead"] != "", x["ahead"]))
+
+    # A line's row holds its own window and never the text: long texts have many lines.
+    may_start = rf"(?:^| )(?:{'|'.join(template_phrases())})(?:$| )"
+    found = F.filter(F.transform("full", window), lambda x: x["cue"] | both(x).rlike(may_start))
+    return lines.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*", both(F.col("x")).alias("both"))
 
 
 def _gram_column(words: Column, n: int) -> Column:
