@@ -111,10 +111,13 @@ def open_tokens(found: DataFrame) -> DataFrame:
     token = "named_struct('start', t.start, 'stop', t.start + length(t.token), 'token', t.token, 'kinds', t.kinds, 'patterns', t.patterns)"
     rows = found.where(F.size("tokens") > 0).select(*_KEY, F.explode(F.expr(f"concat(transform(base, b -> {blank}), transform(tokens, t -> {token}))")).alias("x"))
     # In order of start, with base matches first, only the farthest end before and the next start behind can overlap.
-    order = W.partitionBy(*_KEY).orderBy("x.start", F.col("x.token").isNotNull())
+    # Both are running values: a frame that looks ahead would begin anew at each row.
+    token = F.col("x.token").isNotNull()
+    order = W.partitionBy(*_KEY).orderBy("x.start", token).rowsBetween(W.unboundedPreceding, 0)
+    against = W.partitionBy(*_KEY).orderBy(F.col("x.start").desc(), token.desc()).rowsBetween(W.unboundedPreceding, -1)
     base = F.col("x.token").isNull()
-    before = F.max(F.when(base, F.col("x.stop"))).over(order.rowsBetween(W.unboundedPreceding, 0))
-    behind = F.min(F.when(base, F.col("x.start"))).over(order.rowsBetween(1, W.unboundedFollowing))
+    before = F.max(F.when(base, F.col("x.stop"))).over(order)
+    behind = F.min(F.when(base, F.col("x.start"))).over(against)
     rows = rows.withColumns({"before": F.coalesce(before, F.lit(-1)), "behind": behind})
     free = F.col("x.token").isNotNull() & (F.col("before") <= F.col("x.start")) & (F.col("behind").isNull() | (F.col("behind") >= F.col("x.stop")))
     return rows.where(free).select(*_KEY, "x.*")
