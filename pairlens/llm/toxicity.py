@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm import trees
-from pairlens.llm.common import saved
+from pairlens.llm.common import fresh, saved
 
 #: Labelled rows of each kind that are used at most: those whose hashed ids come first.
 SAMPLE_ROWS = {1: 6_000, 0: 9_000}
@@ -241,7 +241,8 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), t
 
     kept = docs.select(*carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_text")
+    (own,) = fresh(kept, "text")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias(own)
     return docs.select(*carry, text).mapInArrow(run, f"{schema}, `{name}` double")
 
 

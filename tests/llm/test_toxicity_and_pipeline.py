@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pairlens.llm import toxicity, trees
 
+#: Names that stages use inside.
+NAMES = ["_toxicity", "toxicity_score", "toxicity", "_text", "_id", "id", "digest", "_digest", "norm", "fp", "h", "keep_id", "kept", "group_size", "node", "rep", "component_id", "size", "key", "taken", "target", "ids", "rank", "start", "length", "offset", "sequence_id", "source_size", "part", "salt", "a", "b"]
+
 INSULTS = ["grobnar", "grobnix", "grobnuff", "vilster", "dreckle"]
 
 
@@ -94,7 +97,7 @@ def test_pipeline_takes_out_what_is_planted(spark, tmp_path):
     spark.createDataFrame(all_, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
 
-    frame, kept = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumns({"_toxicity": F.lit(1), "toxicity_score": F.lit(2), "_id": F.lit(3)}), []
+    frame, kept = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumns({name: F.lit(k) for k, name in enumerate(NAMES)}), []
     for name, stage in corpus_pipeline.STAGES:
         before = frame
         frame = stage(spark, before, str(tmp_path)).cache()
