@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairlens.operators.aliases import spellings
+from pairlens.operators.aliases import SPELLINGS
 
 FUZZY = 0.5
 MISMATCH_PENALTY = 0.3
 
 #: The built-in spellings by name; another table goes in as a parameter.
-ALIASES: dict[str, tuple[str, ...]] = spellings()
+ALIASES: dict[str, tuple[str, ...]] = SPELLINGS
 
 
 def alias_lookup(aliases: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
@@ -28,48 +27,62 @@ def canonical_name(name: Column, aliases: dict[str, tuple[str, ...]] | None = No
     return F.coalesce(F.element_at(table, F.lower(name)), F.lower(name))
 
 
-def _overlap(a: str, b: str) -> float:
-    x, y = set(a.lower().split()), set(b.lower().split())
-    return len(x & y) / len(x | y) if x and y else 0.0
-
-
-def entity_match(a: list[dict], b: list[dict], lookup: dict[str, str]) -> tuple[float, int, int]:
-    """(score, matched, mismatched types): equal canonical names first, then the best overlap, each B once."""
-    if not len(a) or not len(b):
-        return 0.5, 0, 0
-
-    def index(entities: list[dict]) -> dict[str, int]:
-        names: dict[str, int] = {}
-        for i, e in enumerate(entities):
-            for name in (e["name"], *(e["aliases"] if e["aliases"] is not None else ())):
-                names.setdefault(lookup.get(name.lower(), name.lower()), i)
-        return names
-
-    other = index(b)
-    partner: dict[int, int] = {}
-    for name, i in index(a).items():
-        j = other.get(name)
-        if j is not None and i not in partner and j not in partner.values():
-            partner[i] = j
-    for i in range(len(a)):
-        if i in partner:
-            continue
-        free = [j for j in range(len(b)) if j not in partner.values()]
-        best = max(free, key=lambda j: (_overlap(a[i]["name"], b[j]["name"]), -j), default=None)
-        if best is not None and _overlap(a[i]["name"], b[best]["name"]) >= FUZZY:
-            partner[i] = best
-    total = max(len(a), len(b))
-    wrong = sum(a[i]["entity_type"] != b[j]["entity_type"] for i, j in partner.items())
-    return max(0.0, len(partner) / total - wrong / total * MISMATCH_PENALTY), len(partner), wrong
+#: What parts the words of a name.
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
-def entity_score(a: Column, b: Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """struct(score, matched, mismatched) of two arrays of entities."""
-    lookup = alias_lookup(aliases)
+def _words(name: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(name), _BLANKS), lambda w: w != ""))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """The share of common words in all words of two lists; 0 if either is empty."""
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
+
 
-    @F.pandas_udf("struct<score:double,matched:int,mismatched:int>")
-    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = [entity_match(x if x is not None else [], y if y is not None else [], lookup) for x, y in zip(left, right, strict=True)]
-        return pd.DataFrame(rows, columns=["score", "matched", "mismatched"])
+def _named(entities: Column, aliases: dict[str, tuple[str, ...]] | None) -> Column:
+    """(name, i): the canonical names of each entity, itself first, then its aliases."""
 
-    return run(a, b)
+    def names(e: Column, i: Column) -> Column:
+        own = F.concat(F.array(e["name"]), F.coalesce(e["aliases"], F.array().cast("array<string>")))
+        return F.transform(own, lambda n: F.struct(canonical_name(n, aliases).alias("name"), i.alias("i")))
+
+    return F.flatten(F.transform(entities, names))
+
+
+def entity_score(a: Column, b: Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """struct(score, matched, mismatched) of two arrays of entities: equal canonical names first, then the best overlap, each entity once.
+
+    Both steps are folds over the first list that carry the pairs found so far.  Without entities on a side the score is a half.
+    """
+    empty = F.array().cast("array<struct<i:int,j:int>>")
+    # Of names that occur again the first entity counts.
+    own, other = _named(a, aliases), _named(b, aliases)
+    first = F.filter(own, lambda x, k: F.array_position(F.transform(own, lambda y: y["name"]), x["name"]) == k + 1)
+
+    def free(pairs: Column, side: str, at: Column) -> Column:
+        return ~F.exists(pairs, lambda p: p[side] == at)
+
+    def equal(pairs: Column, x: Column) -> Column:
+        j = F.get(F.filter(other, lambda y: y["name"] == x["name"]), F.lit(0))["i"]
+        taken = free(pairs, "i", x["i"]) & free(pairs, "j", j)
+        return F.when(j.isNotNull() & taken, F.concat(pairs, F.array(F.struct(x["i"].alias("i"), j.alias("j"))))).otherwise(pairs)
+
+    words = [F.transform(side, lambda e: _words(e["name"])) for side in (a, b)]
+
+    def near(pairs: Column, i: Column) -> Column:
+        open_ = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda j: free(pairs, "j", j))
+        # Equal overlaps go to the entity that stands first.
+        best = F.array_max(F.transform(open_, lambda j: F.struct(_overlap(F.get(words[0], i), F.get(words[1], j)).alias("overlap"), (-j).alias("j"))))
+        found = F.concat(pairs, F.array(F.struct(i.alias("i"), (-best["j"]).alias("j"))))
+        return F.when(free(pairs, "i", i) & (best["overlap"] >= FUZZY), found).otherwise(pairs)
+
+    def scored(pairs: Column) -> Column:
+        total = F.greatest(F.size(a), F.size(b))
+        wrong = F.size(F.filter(pairs, lambda p: ~F.get(a, p["i"])["entity_type"].eqNullSafe(F.get(b, p["j"])["entity_type"])))
+        score = F.greatest(F.lit(0.0), F.size(pairs) / total - wrong / total * MISMATCH_PENALTY)
+        return F.struct(score.alias("score"), F.size(pairs).alias("matched"), wrong.alias("mismatched"))
+
+    fuzzy = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.aggregate(first, empty, equal), near, scored)
+    none = F.struct(F.lit(0.5).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("mismatched"))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), fuzzy).otherwise(none)

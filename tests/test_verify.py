@@ -71,44 +71,57 @@ def test_outcome_mapping_and_inversion(spark):
 
 def model_entities(a, b, lookup):
     """Step by step: exact names in order of A, then each rest of A with its best free B."""
-    canon = lambda e: lookup.get(e["name"].lower(), e["name"].lower())
+    if not a or not b:
+        return 0.5, 0, 0
+    canon = lambda e: [lookup.get(n.lower(), n.lower()) for n in (e["name"], *(e["aliases"] or ()))]
     used, hits, wrong = set(), set(), 0
     firsts = {}
     for j, e in enumerate(b):
-        firsts.setdefault(canon(e), j)
+        for n in canon(e):
+            firsts.setdefault(n, j)
     seen = set()
     for i, e in enumerate(a):
-        if canon(e) in seen:
-            continue
-        seen.add(canon(e))
-        j = firsts.get(canon(e))
-        if j is not None and j not in used:
-            used.add(j), hits.add(i)
-            wrong += e["entity_type"] != b[j]["entity_type"]
+        for n in canon(e):
+            if n in seen:
+                continue
+            seen.add(n)
+            j = firsts.get(n)
+            if j is not None and j not in used and i not in hits:
+                used.add(j), hits.add(i)
+                wrong += e["entity_type"] != b[j]["entity_type"]
     for i, e in enumerate(a):
         if i in hits:
             continue
         best, at = 0.0, None
         for j, o in enumerate(b):
             x, y = set(e["name"].lower().split()), set(o["name"].lower().split())
-            s = len(x & y) / len(x | y)
+            s = len(x & y) / len(x | y) if x and y else 0.0
             if j not in used and s > best:
                 best, at = s, j
         if at is not None and best >= 0.5:
             used.add(at), hits.add(i)
             wrong += e["entity_type"] != b[at]["entity_type"]
     total = max(len(a), len(b))
-    return max(0.0, len(hits) / total - wrong / total * 0.3)
+    return max(0.0, len(hits) / total - wrong / total * 0.3), len(hits), wrong
 
 
-def test_greedy_entity_match_equals_a_plain_model():
+def test_greedy_entity_match_equals_a_plain_model(spark):
     rng = random.Random(6)
-    names = ["Bitcoin", "BTC", "New York Mets", "New York", "Mets", "York", "Federal Reserve", "the fed", "Ada Lovelace"]
+    names = ["Bitcoin", "BTC", "New York Mets", "New York", "Mets", "York", "Federal Reserve", "the fed", "Ada Lovelace", "", "ADA\u2003lovelace ", "New  York\x1cMets Fans"]
+
+    def drawn():
+        return [(rng.choice(names), rng.choice(["person", "other"]), rng.choice([None, [], [rng.choice(names)], rng.sample(names, 2)])) for _ in range(rng.randrange(0, 6))]
+
+    rows = [(i, drawn(), drawn()) for i in range(600)]
+    df = spark.createDataFrame(rows, f"i int, a array<{ENTITY}>, b array<{ENTITY}>")
     lookup = entities.alias_lookup()
-    for _ in range(500):
-        a, b = ([{"name": rng.choice(names), "entity_type": rng.choice(["person", "other"]), "aliases": []} for _ in range(rng.randrange(1, 5))] for _ in "ab")
-        assert entities.entity_match(a, b, lookup)[0] == pytest.approx(model_entities(a, b, lookup))
-    assert entities.entity_match([], [], lookup)[0] == 0.5 and entities.entity_match(a, [], lookup)[0] == 0.5
+    got = {r["i"]: tuple(r["x"]) for r in df.select("i", entities.entity_score(F.col("a"), F.col("b")).alias("x")).collect()}
+    named = lambda side: [dict(zip(("name", "entity_type", "aliases"), e)) for e in side]
+    for i, a, b in rows:
+        assert got[i] == pytest.approx(model_entities(named(a), named(b), lookup)), (a, b)
+    empty = spark.createDataFrame([(None, None)], f"a array<{ENTITY}>, b array<{ENTITY}>").select(entities.entity_score(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert tuple(empty) == (0.5, 0, 0)
+    assert "Python" not in df.select(entities.entity_score(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_threshold_lists(spark):
