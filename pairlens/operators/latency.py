@@ -33,8 +33,10 @@ def first_reactions(events: DataFrame, snapshots: DataFrame, window_ms: float =
     backwards = [F.col("_at").desc(), F.col("_e").isNotNull(), *[F.col(f"_o{i}").desc() for i in range(len(seq))]]
     seen = F.last("_s", ignorenulls=True).over(W.partitionBy("_b", *keys).orderBy(*backwards).rowsBetween(W.unboundedPreceding, 0))
     own = both.withColumn("_x", seen).where("_e IS NOT NULL").select("_b", *keys, "_e", "_x")
-    firsts = right.groupBy((F.col("_b") - 1).alias("_b"), *keys).agg(F.min_by("_s", F.struct("_at", *[f"_o{i}" for i in range(len(seq))])).alias("_n"))
-    found = own.join(firsts, ["_b", *keys], "left").withColumn("_x", F.coalesce("_x", "_n"))
+    # Null keys equal each other here as they do within a bucket.
+    names = {k: f"_k{i}" for i, k in enumerate(["_b", *keys])}
+    firsts = right.groupBy((F.col("_b") - 1).alias("_k0"), *[F.col(k).alias(names[k]) for k in keys]).agg(F.min_by("_s", F.struct("_at", *[f"_o{i}" for i in range(len(seq))])).alias("_n"))
+    found = own.join(firsts, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left").withColumn("_x", F.coalesce("_x", "_n"))
     gap = micros("_x.snapshot_ts") - micros("_e.event_ts")
     return found.where(gap.between(0, width)).select("_e.event_id", "_e.event_ts", *keys, (gap / 1000.0).alias("latency_ms"), *[F.col(f"_x.{c}").alias(c) for c in rest])
 
