@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlens.config import FEE_RATES, Settings
 from pairlens.folders import new_folder
-from pairlens.operators import metric
+from pairlens.operators import chains, metric
 from pairlens.operators.store import KeyedTable
 from pairlens.queries import _LATENCY, _WINDOW_MS, ORACLES, _t, query
 from pairlens.streaming import live, pairs, reactions
@@ -120,3 +120,9 @@ def q_stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["q_topk_cross_label"])
 def q_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.similar(_t(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 20, 0.3)
+
+
+@query(ORACLES.get("q_ttl_dedup"))
+def q_ttl_dedup_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return chains.ttl_dedup(rows, ["user_id", "event_type"], "ts", ["event_id"], 86_400)
