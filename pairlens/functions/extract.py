@@ -1,7 +1,7 @@
 """Rule-based extraction from contract texts.
 
-Thresholds need the text around a match, so they run in Arrow-batched functions; names and
-data sources likewise.  Each distinct text should be extracted once: see
+Thresholds need the text around a match: positions come from :mod:`pairlens.functions.scan`, so all rules are
+column expressions.  Each distinct text should be extracted once: see
 :func:`pairlens.plans.matching.extracted`.
 """
 
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairlens.functions import scan
 from pairlens.schemas import ENTITY, THRESHOLD
 
 # Patterns and word lists of the rules.
@@ -83,85 +84,98 @@ PROVENANCE = (
 )
 
 
-def _number(text: str) -> tuple[float, str, bool] | None:
-    """(value, its digits, multiplied or not) of a number with thousands marks and a k or m behind."""
-    digits = text.strip("$%").replace(",", "")
-    times = _MULTIPLES.get(digits[-1:].lower(), 1)
-    digits = digits[:-1] if times > 1 else digits
-    try:
-        return float(digits) * times, digits, times > 1
-    except ValueError:
-        return None
-
-
-def _context(text: str, at: int) -> dict:
-    near = _COMPARISON.search(text[max(0, at - 30) : at + 50].lower())
-    negated = bool(_NEGATION.search(text[max(0, at - 50) : at].lower()))
-    return {
-        "comparison": _SIGNS.get(near[1], near[1]) if near else ">=",
-        "is_negated": negated,
-        "negation_context": text[max(0, at - 100) : at + 50].strip() if negated else None,
-    }
-
-
-def _unit_at(text: str, at: int) -> str:
-    found = _UNIT.search(text[at : at + 80].lower())
-    return found[1].rstrip("s") if found else "numeric"
-
-
-def _readings(text: str) -> Iterator[tuple[int, float, str]]:
-    """(position, value, unit) of every threshold, pass by pass."""
-    for pattern, unit in ((_CURRENCY, "dollars"), (_PERCENT, "percentage")):
-        for m in pattern.finditer(text):
-            if read := _number(m[0]):
-                yield m.start(), read[0], unit
-    for pattern in (_AFTER_WORD, _BEFORE_UNIT):
-        for m in pattern.finditer(text):
-            read = _number(m[1])
-            if read is None or (not read[2] and _YEAR.match(read[1].split(".")[0])):
-                continue
-            unit = _unit_at(text, m.start())
-            behind = text[m.end() : m.end() + 20].lower()
-            if pattern is _BEFORE_UNIT and unit in _ORDINAL_UNITS and any(w in behind for w in _ORDINAL_WORDS):
-                continue  # "Game 3 Winner" numbers a game
-            yield m.start(), read[0], unit
-
-
-def thresholds_of(text: str) -> list[dict]:
-    """Thresholds in order of discovery; the first of a value and unit counts."""
-    found: dict[tuple[float, str], dict] = {}
-    for at, value, unit in _readings(text):
-        if (value, unit) not in found:
-            found[value, unit] = {"value": value, "unit": unit, **_context(text, at)}
-    return list(found.values())
+#: For Java: digits, words and blanks of all of Unicode, as in Python.
+_UNICODE = "(?U)"
+_READING = "struct<at:int,value:double,unit:string>"
 
 
-def names_of(text: str, narrow: bool = False) -> list[dict]:
-    """Proper names, then the sides of "X vs Y"; the first spelling counts."""
-    hits = [(m[1].strip(), True) for m in (PROPER_NAMES_NARROW if narrow else PROPER_NAMES).finditer(text)]
-    hits += [(side.strip(), False) for m in VERSUS.finditer(text) for side in m.groups()]
-    found: dict[str, dict] = {}
-    for name, proper in hits:
-        if len(name) >= 3 and name.lower() not in NOT_NAMES and name not in found:
-            kind = "person" if proper and 2 <= len(name.split()) <= 4 else "other"
-            found[name] = {"name": name, "entity_type": kind, "aliases": []}
-    return list(found.values())
+def _java(pattern: re.Pattern) -> str:
+    return (_UNICODE + ("(?i)" if pattern.flags & re.IGNORECASE else "")) + pattern.pattern
+
+
+def _value(number: Column) -> Column:
+    """(value, digits, times) of a number with thousands marks and a k or m behind; the value is null where there are no digits."""
+    bare = F.replace(F.regexp_replace(number, r"^[$%]+|[$%]+$", ""), F.lit(","), F.lit(""))
+    times = F.coalesce(*[F.when(F.lower(F.right(bare, F.lit(1))) == mark, n) for mark, n in _MULTIPLES.items()], F.lit(1))
+    digits = F.when(times > 1, F.left(bare, F.length(bare) - 1)).otherwise(bare)
+    return F.struct((digits.try_cast("double") * times).alias("value"), digits.alias("digits"), times.alias("times"))
+
+
+def _unit_at(text: Column, at: Column) -> Column:
+    found = F.regexp_extract(F.lower(F.substr(text, at + 1, F.lit(80))), _java(_UNIT), 1)
+    return F.when(found == "", "numeric").otherwise(F.regexp_replace(found, "s+$", ""))
+
+
+def _threshold(text: Column, at: Column, value: Column, unit: Column) -> Column:
+    near = F.regexp_extract(F.lower(scan.around(text, at, 30, 50)), _java(_COMPARISON), 1)
+    signs = F.create_map(*[F.lit(x) for pair in _SIGNS.items() for x in pair])
+    negated = F.lower(scan.around(text, at, 50, 0)).rlike(_java(_NEGATION))
+    context = F.when(negated, scan.stripped(scan.around(text, at, 100, 50)))
+    comparison = F.when(near == "", ">=").otherwise(F.coalesce(F.element_at(signs, near), near))
+    return F.struct(value.alias("value"), unit.alias("unit"), comparison.alias("comparison"), negated.alias("is_negated"), context.alias("negation_context"))
+
+
+def _readings(text: Column) -> Column:
+    """(at, value, unit) of every threshold, pass by pass."""
+
+    def reading(at: Column, value: Column, unit: Column) -> Column:
+        return F.struct(at.alias("at"), value.alias("value"), unit.alias("unit")).cast(_READING)
+
+    def marked(unit: str) -> Callable[[Column], Column]:
+        return lambda x: reading(x["at"], _value(x["hit"])["value"], F.lit(unit))
+
+    def numbered(pattern: re.Pattern) -> Callable[[Column], Column]:
+        def read_one(x: Column) -> Column:
+            read = _value(F.regexp_extract(x["hit"], _java(pattern), 1))
+            unit = _unit_at(text, x["at"])
+            skipped = (read["times"] == 1) & F.substring_index(read["digits"], ".", 1).rlike(_java(_YEAR))
+            if pattern is _BEFORE_UNIT:
+                # "Game 3 Winner" numbers a game.
+                behind = F.lower(F.substr(text, x["at"] + F.length(x["hit"]) + 1, F.lit(20)))
+                skipped = skipped | (unit.isin(*_ORDINAL_UNITS) & _any([F.contains(behind, F.lit(w)) for w in _ORDINAL_WORDS]))
+            return reading(x["at"], F.when(~skipped, read["value"]), unit)
+
+        return read_one
+
+    rules = [(_CURRENCY, marked("dollars")), (_PERCENT, marked("percentage")), (_AFTER_WORD, numbered(_AFTER_WORD)), (_BEFORE_UNIT, numbered(_BEFORE_UNIT))]
+    passes = [F.transform(scan.hits(text, _java(pattern)), read) for pattern, read in rules]
+    return F.filter(F.concat(*passes), lambda x: x["value"].isNotNull())
 
 
 def thresholds(statement: Column, criteria: Column) -> Column:
-    @F.pandas_udf(f"array<{THRESHOLD}>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: thresholds_of(t or ""))
+    """Thresholds in order of discovery; the first of a value and unit counts."""
+    text = F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit("")))
+
+    def once(found: Column, x: Column) -> Column:
+        known = F.exists(found, lambda y: (y["value"] == x["value"]) & (y["unit"] == x["unit"]))
+        return F.when(known, found).otherwise(F.concat(found, F.array(x)))
 
-    return run(F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit(""))))
+    first = F.aggregate(_readings(text), F.array().cast(f"array<{_READING}>"), once)
+    return F.transform(first, lambda x: _threshold(text, x["at"], x["value"], x["unit"])).cast(f"array<{THRESHOLD}>")
 
 
 def regex_entities(statement: Column, criteria: Column, narrow: bool = False) -> Column:
-    @F.pandas_udf(f"array<{ENTITY}>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: names_of(t or "", narrow))
+    """Proper names, then the sides of "X vs Y"; the first spelling counts."""
+    text = F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit("")))
+    named = "struct<name:string,proper:boolean>"
+
+    def all_of(pattern: re.Pattern, group: int, proper: bool) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(group)), lambda n: F.struct(scan.stripped(n).alias("name"), F.lit(proper).alias("proper")).cast(named))
+
+    sides = F.flatten(F.zip_with(all_of(VERSUS, 1, False), all_of(VERSUS, 2, False), lambda x, y: F.array(x, y)))
+    every = F.concat(all_of(PROPER_NAMES_NARROW if narrow else PROPER_NAMES, 1, True), sides)
+    kept = F.filter(every, lambda x: (F.length(x["name"]) >= 3) & ~F.lower(x["name"]).isin(*sorted(NOT_NAMES)))
+
+    def once(found: Column, x: Column) -> Column:
+        return F.when(F.exists(found, lambda y: y["name"] == x["name"]), found).otherwise(F.concat(found, F.array(x)))
+
+    def entity(x: Column) -> Column:
+        words = F.size(F.split(x["name"], f"[{scan.BLANKS}]+"))
+        kind = F.when(x["proper"] & words.between(2, 4), "person").otherwise("other")
+        return F.struct(x["name"].alias("name"), kind.alias("entity_type"), F.array().cast("array<string>").alias("aliases"))
 
-    return run(F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit(""))))
+    first = F.aggregate(kept, F.array().cast(f"array<{named}>"), once)
+    return F.transform(first, entity).cast(f"array<{ENTITY}>")
 
 
 #: Entity types by the labels of customary named-entity models; other labels (dates, money, numbers) are no entities.

@@ -1,10 +1,13 @@
+import random
 import re
 
+import extract_model
 import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import extract, text
 from pairlens.operators import entities
+from pairlens.schemas import ENTITY
 
 CASES = [
     ("Will BTC be above $100k by June?", [(100_000.0, "dollars", ">", False)]),
@@ -25,16 +28,16 @@ CASES = [
 
 @pytest.mark.parametrize("sentence, want", CASES)
 def test_thresholds(sentence, want):
-    assert [(t["value"], t["unit"], t["comparison"], t["is_negated"]) for t in extract.thresholds_of(sentence)] == want
+    assert [(t["value"], t["unit"], t["comparison"], t["is_negated"]) for t in extract_model.thresholds_of(sentence)] == want
 
 
 def test_negation_keeps_its_context():
-    found = extract.thresholds_of("It shall not exceed $7 today")[0]
+    found = extract_model.thresholds_of("It shall not exceed $7 today")[0]
     assert found["is_negated"] and found["negation_context"] == "It shall not exceed $7 today"
 
 
 def test_names():
-    names = lambda t, **k: [(e["name"], e["entity_type"]) for e in extract.names_of(t, **k)]
+    names = lambda t, **k: [(e["name"], e["entity_type"]) for e in extract_model.names_of(t, **k)]
     assert names("when Kansas City Chiefs meet Bank of America") == [("Kansas City Chiefs", "person"), ("Bank of America", "person")]
     assert names("when Kansas City Chiefs meet Bank of America", narrow=True) == [("Bank of America", "person")]
     assert ("Lakers", "other") in names("Lakers vs Celtics tonight") and ("Celtics", "other") in names("Lakers vs Celtics tonight")
@@ -105,4 +108,32 @@ def test_spellings_of_names(spark):
     names = {"LA Lakers": "Los Angeles Lakers", "ny jets": "New York Jets", "jets": "Winnipeg Jets", "sixers": "Philadelphia 76ers", "SCOTUS": "Supreme Court", "someone": "someone", "st louis cardinals": "St. Louis Cardinals"}
     rows = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string")
     assert {r["n"]: r["c"] for r in rows.select("n", entities.canonical_name(F.col("n")).alias("c")).collect()} == {**names, None: None}
-    assert entities.entity_match([{"name": "BTC", "entity_type": "other", "aliases": None}], [{"name": "my coin", "entity_type": "other", "aliases": None}], entities.alias_lookup({"My Coin": ("btc",)}))[:2] == (1.0, 1)
+    pair = spark.createDataFrame([([("BTC", "other", None)], [("my coin", "other", None)])], f"a array<{ENTITY}>, b array<{ENTITY}>")
+    own = entities.entity_score(F.col("a"), F.col("b"), {"My Coin": ("btc",)})
+    assert tuple(pair.select(own.alias("x")).first()["x"]) == (1.0, 1, 0)
+
+
+def _texts(rng, n):
+    words = "above below at least at most exactly > < >= <= not exceed unless it is above except when no more than less than reach hits exceeding game Game games map winner Winner result points Points goals degrees wins bps basis points".split(" ")
+    numbers = ["$5", "$1,250.50", "$100k", "$2M", "50%", "1,000.5%", "3", "12.5", "1999", "2026", "1,999", "7k", "4m", ",", "$,", "%", "3.", "1,2,3", "110.5 points", "3 games", "2 map", "5 wins", "20 bps"]
+    names = ["Kansas City Chiefs", "Bank of America", "Lakers vs Celtics", "Ana-Maria von Berg", "John Smith Jr.", "New  York Mets", "The Market Statement", "Éric Dupont", "A vs. B, ok", "x versus Y Z", "Trading", "McDonald Corp", "Ünal Öz vs Real Madrid."]
+    blanks = [" ", " ", " ", "  ", "\t", "\n", "\u00a0", ", ", ". "]
+    return ["".join(rng.choice(rng.choice([words, words, numbers, names])) + rng.choice(blanks) for _ in range(rng.randrange(0, 40))) for _ in range(n)]
+
+
+def test_columns_equal_the_rules_text_by_text(spark):
+    rng = random.Random(3)
+    texts = [*(c[0] for c in CASES), *_texts(rng, 400), "", None, "It shall not exceed $7 today", "日本 $5 日本 above 7 日本"]
+    df = spark.createDataFrame([(i, t, rng.choice([None, "", "at least 4 goals"])) for i, t in enumerate(texts)], "i int, s string, c string")
+    columns = {"t": extract.thresholds(F.col("s"), F.col("c")), "n": extract.regex_entities(F.col("s"), F.col("c")), "w": extract.regex_entities(F.col("s"), F.col("c"), True)}
+    found = df.withColumns(columns)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    many = 0
+    for r in found.collect():
+        text_ = f"{r['s'] or ''} {r['c'] or ''}"
+        as_dicts = lambda rows: [x.asDict() for x in rows]
+        assert as_dicts(r["t"]) == extract_model.thresholds_of(text_), text_
+        assert as_dicts(r["n"]) == extract_model.names_of(text_), text_
+        assert as_dicts(r["w"]) == extract_model.names_of(text_, True), text_
+        many += len(r["t"]) + len(r["n"])
+    assert many > 2000
