@@ -95,24 +95,31 @@ def _java(pattern: re.Pattern) -> str:
 
 def _value(number: Column) -> Column:
     """(value, digits, times) of a number with thousands marks and a k or m behind; the value is null where there are no digits."""
-    bare = F.replace(F.regexp_replace(number, r"^[$%]+|[$%]+$", ""), F.lit(","), F.lit(""))
-    times = F.coalesce(*[F.when(F.lower(F.right(bare, F.lit(1))) == mark, n) for mark, n in _MULTIPLES.items()], F.lit(1))
-    digits = F.when(times > 1, F.left(bare, F.length(bare) - 1)).otherwise(bare)
-    return F.struct((digits.try_cast("double") * times).alias("value"), digits.alias("digits"), times.alias("times"))
+
+    def read(bare: Column) -> Column:
+        times = F.coalesce(*[F.when(F.lower(F.right(bare, F.lit(1))) == mark, n) for mark, n in _MULTIPLES.items()], F.lit(1))
+        digits = F.when(times > 1, F.left(bare, F.length(bare) - 1)).otherwise(bare)
+        return F.struct((digits.try_cast("double") * times).alias("value"), digits.alias("digits"), times.alias("times"))
+
+    return scan.let(F.replace(F.regexp_replace(number, r"^[$%]+|[$%]+$", ""), F.lit(","), F.lit("")), read)
 
 
 def _unit_at(text: Column, at: Column) -> Column:
     found = F.regexp_extract(F.lower(F.substr(text, at + 1, F.lit(80))), _java(_UNIT), 1)
-    return F.when(found == "", "numeric").otherwise(F.regexp_replace(found, "s+$", ""))
+    return scan.let(found, lambda f: F.when(f == "", "numeric").otherwise(F.regexp_replace(f, "s+$", "")))
 
 
 def _threshold(text: Column, at: Column, value: Column, unit: Column) -> Column:
-    near = F.regexp_extract(F.lower(scan.around(text, at, 30, 50)), _java(_COMPARISON), 1)
     signs = F.create_map(*[F.lit(x) for pair in _SIGNS.items() for x in pair])
+    near = F.regexp_extract(F.lower(scan.around(text, at, 30, 50)), _java(_COMPARISON), 1)
     negated = F.lower(scan.around(text, at, 50, 0)).rlike(_java(_NEGATION))
-    context = F.when(negated, scan.stripped(scan.around(text, at, 100, 50)))
-    comparison = F.when(near == "", ">=").otherwise(F.coalesce(F.element_at(signs, near), near))
-    return F.struct(value.alias("value"), unit.alias("unit"), comparison.alias("comparison"), negated.alias("is_negated"), context.alias("negation_context"))
+
+    def built(c: Column) -> Column:
+        context = F.when(c["negated"], scan.stripped(scan.around(text, at, 100, 50)))
+        comparison = F.when(c["near"] == "", ">=").otherwise(F.coalesce(F.element_at(signs, c["near"]), c["near"]))
+        return F.struct(value.alias("value"), unit.alias("unit"), comparison.alias("comparison"), c["negated"].alias("is_negated"), context.alias("negation_context"))
+
+    return scan.let(F.struct(near.alias("near"), negated.alias("negated")), built)
 
 
 def _readings(text: Column) -> Column:
@@ -126,8 +133,10 @@ def _readings(text: Column) -> Column:
 
     def numbered(pattern: re.Pattern) -> Callable[[Column], Column]:
         def read_one(x: Column) -> Column:
-            read = _value(F.regexp_extract(x["hit"], _java(pattern), 1))
-            unit = _unit_at(text, x["at"])
+            both = F.struct(_value(F.regexp_extract(x["hit"], _java(pattern), 1)).alias("read"), _unit_at(text, x["at"]).alias("unit"))
+            return scan.let(both, lambda y: judged(x, y["read"], y["unit"]))
+
+        def judged(x: Column, read: Column, unit: Column) -> Column:
             skipped = (read["times"] == 1) & F.substring_index(read["digits"], ".", 1).rlike(_java(_YEAR))
             if pattern is _BEFORE_UNIT:
                 # "Game 3 Winner" numbers a game.
@@ -144,14 +153,17 @@ def _readings(text: Column) -> Column:
 
 def thresholds(statement: Column, criteria: Column) -> Column:
     """Thresholds in order of discovery; the first of a value and unit counts."""
-    text = F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit("")))
 
     def once(found: Column, x: Column) -> Column:
         known = F.exists(found, lambda y: (y["value"] == x["value"]) & (y["unit"] == x["unit"]))
         return F.when(known, found).otherwise(F.concat(found, F.array(x)))
 
-    first = F.aggregate(_readings(text), F.array().cast(f"array<{_READING}>"), once)
-    return F.transform(first, lambda x: _threshold(text, x["at"], x["value"], x["unit"])).cast(f"array<{THRESHOLD}>")
+    def read(text: Column) -> Column:
+        first = F.aggregate(_readings(text), F.array().cast(f"array<{_READING}>"), once)
+        return F.transform(first, lambda x: _threshold(text, x["at"], x["value"], x["unit"]))
+
+    both = F.concat_ws(" ", F.coalesce(statement, F.lit("")), F.coalesce(criteria, F.lit("")))
+    return scan.let(both, read).cast(f"array<{THRESHOLD}>")
 
 
 def regex_entities(statement: Column, criteria: Column, narrow: bool = False) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairlens.functions import scan
 from pairlens.operators.aliases import SPELLINGS
 
 FUZZY = 0.5
@@ -56,26 +58,36 @@ def entity_score(a: Column, b: Column, aliases: dict[str, tuple[str, ...]] | Non
     Both steps are folds over the first list that carry the pairs found so far.  Without entities on a side the score is a half.
     """
     empty = F.array().cast("array<struct<i:int,j:int>>")
-    # Of names that occur again the first entity counts.
-    own, other = _named(a, aliases), _named(b, aliases)
-    first = F.filter(own, lambda x, k: F.array_position(F.transform(own, lambda y: y["name"]), x["name"]) == k + 1)
 
     def free(pairs: Column, side: str, at: Column) -> Column:
         return ~F.exists(pairs, lambda p: p[side] == at)
 
-    def equal(pairs: Column, x: Column) -> Column:
-        j = F.get(F.filter(other, lambda y: y["name"] == x["name"]), F.lit(0))["i"]
-        taken = free(pairs, "i", x["i"]) & free(pairs, "j", j)
-        return F.when(j.isNotNull() & taken, F.concat(pairs, F.array(F.struct(x["i"].alias("i"), j.alias("j"))))).otherwise(pairs)
+    def equal(names: Column) -> Column:
+        # Of names that occur again the first entity counts.
+        first = scan.let(F.transform(names["a"], lambda y: y["name"]), lambda own: F.filter(names["a"], lambda x, k: F.array_position(own, x["name"]) == k + 1))
 
-    words = [F.transform(side, lambda e: _words(e["name"])) for side in (a, b)]
+        def step(pairs: Column, x: Column) -> Column:
+            def taken(j: Column) -> Column:
+                fits = j.isNotNull() & free(pairs, "i", x["i"]) & free(pairs, "j", j)
+                return F.when(fits, F.concat(pairs, F.array(F.struct(x["i"].alias("i"), j.alias("j"))))).otherwise(pairs)
 
-    def near(pairs: Column, i: Column) -> Column:
-        open_ = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda j: free(pairs, "j", j))
-        # Equal overlaps go to the entity that stands first.
-        best = F.array_max(F.transform(open_, lambda j: F.struct(_overlap(F.get(words[0], i), F.get(words[1], j)).alias("overlap"), (-j).alias("j"))))
-        found = F.concat(pairs, F.array(F.struct(i.alias("i"), (-best["j"]).alias("j"))))
-        return F.when(free(pairs, "i", i) & (best["overlap"] >= FUZZY), found).otherwise(pairs)
+            return scan.let(F.get(F.filter(names["b"], lambda y: y["name"] == x["name"]), F.lit(0))["i"], taken)
+
+        return F.aggregate(first, empty, step)
+
+    def near(words: Column) -> Callable[[Column, Column], Column]:
+        def step(pairs: Column, i: Column) -> Column:
+            open_ = F.filter(F.sequence(F.lit(0), F.size(words["b"]) - 1), lambda j: free(pairs, "j", j))
+            # Equal overlaps go to the entity that stands first.
+            best = F.array_max(F.transform(open_, lambda j: F.struct(_overlap(F.get(words["a"], i), F.get(words["b"], j)).alias("overlap"), (-j).alias("j"))))
+
+            def taken(found: Column) -> Column:
+                more = F.concat(pairs, F.array(F.struct(i.alias("i"), (-found["j"]).alias("j"))))
+                return F.when(found["overlap"] >= FUZZY, more).otherwise(pairs)
+
+            return F.when(free(pairs, "i", i), scan.let(best, taken)).otherwise(pairs)
+
+        return step
 
     def scored(pairs: Column) -> Column:
         total = F.greatest(F.size(a), F.size(b))
@@ -83,6 +95,8 @@ def entity_score(a: Column, b: Column, aliases: dict[str, tuple[str, ...]] | Non
         score = F.greatest(F.lit(0.0), F.size(pairs) / total - wrong / total * MISMATCH_PENALTY)
         return F.struct(score.alias("score"), F.size(pairs).alias("matched"), wrong.alias("mismatched"))
 
-    fuzzy = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.aggregate(first, empty, equal), near, scored)
+    names = F.struct(_named(a, aliases).alias("a"), _named(b, aliases).alias("b"))
+    words = F.struct(*[F.transform(side, lambda e: _words(e["name"])).alias(n) for n, side in (("a", a), ("b", b))])
+    fuzzy = scan.let(words, lambda w: F.aggregate(F.sequence(F.lit(0), F.size(w["a"]) - 1), scan.let(names, equal), near(w), scored))
     none = F.struct(F.lit(0.5).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("mismatched"))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), fuzzy).otherwise(none)
