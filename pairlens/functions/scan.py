@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python knows it, for the inside of a character class.
-BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
+BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

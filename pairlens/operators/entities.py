@@ -29,12 +29,8 @@ def canonical_name(name: Column, aliases: dict[str, tuple[str, ...]] | None = No
     return F.coalesce(F.element_at(table, F.lower(name)), F.lower(name))
 
 
-#: What parts the words of a name.
-_BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
-
-
 def _words(name: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(name), _BLANKS), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(name), f"[{scan.BLANKS}]+"), lambda w: w != ""))
 
 
 def _overlap(a: Column, b: Column) -> Column:
