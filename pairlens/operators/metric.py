@@ -30,6 +30,9 @@ from pairlens.operators import retrieve
 SAMPLE_ROWS, MOST_CELLS = 8_192, 1_024
 #: Rows and queries of a part.
 PART_ROWS = 1 << 14
+#: Rows of a cell on average.  A query travels once for each cell that it visits, so where nothing can be
+#: skipped more cells mean more to send and nothing to gain.
+CELL_ROWS = 1 << 12
 ROUNDS = 4
 #: Rounding of scores and of bounds together stays below this.
 SLACK = 2e-6
@@ -122,8 +125,8 @@ def _visits(queries: DataFrame, index: Index, k: int, least: float, home: bool)
     return queries.select("id", "venue", "v", "cell", "last").mapInArrow(visit, f"id long, venue string, v {kind}, cell int")
 
 
-def _searched(visits: DataFrame, rows: DataFrame, index: Index, k: int, least: float) -> DataFrame:
-    """query_id, candidate_id, similarity: the best ``k`` of each part of a cell for each query that visits it."""
+def _searched(visits: DataFrame, rows: DataFrame, index: Index, k: int, least: float) -> tuple[DataFrame, int]:
+    """query_id, candidate_id, similarity: the best ``k`` of each part of a cell for each query that visits it; and the number of visits."""
     spark = rows.sparkSession
     # A row a cell; parts of queries and of rows make a grid within the cell.
     asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
@@ -134,7 +137,8 @@ def _searched(visits: DataFrame, rows: DataFrame, index: Index, k: int, least: f
     keys = ["cell", "q", "c"]
     # Rows may visit their own table: both sides get columns of their own.
     left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(best_of, k=k, least=least), "query_id long, candidate_id long, similarity double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(best_of, k=k, least=least), "query_id long, candidate_id long, similarity double")
+    return found, sum(asked.values())
 
 
 def best_of(left: pa.Table, right: pa.Table, k: int, least: float) -> pa.Table:
@@ -171,18 +175,17 @@ def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: s
     usable = v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)
     base = rows.where(usable).select(F.col(id_column).cast("long").alias("id"), F.col(venue_column).cast("string").alias("venue"), v.alias("v"))
     total = base.count()
-    index, placed = indexed(base, cells or int(np.clip(2 * np.sqrt(total), 4, MOST_CELLS)))
+    index, placed = indexed(base, cells or int(np.clip(total // CELL_ROWS, 4, MOST_CELLS)))
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "candidate_id")
 
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = written(best(_searched(_visits(placed, index, k, least, True), placed, index, k, least)), "metric-first")
+    first = written(best(_searched(_visits(placed, index, k, least, True), placed, index, k, least)[0]), "metric-first")
     # The k-th score of each query so far; without k rows nothing is excluded by it.
     last = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("similarity").alias("last"))
     queries = placed.join(last, "id", "left").withColumn("last", F.coalesce("last", F.lit(-np.inf)))
-    visits = written(_visits(queries, index, k, least, False), "metric-visits")
+    further, visits = _searched(_visits(queries, index, k, least, False), placed, index, k, least)
     if report is not None:
-        report["visited"] = (total + visits.count()) / max(1, total * int((index.count > 0).sum()))
-    further = _searched(visits, placed, index, k, least)
+        report["visited"] = (total + visits) / max(1, total * int((index.count > 0).sum()))
     return best(first.select("query_id", "candidate_id", "similarity").union(further)).select("query_id", "rank", "candidate_id", "similarity")
