@@ -35,8 +35,11 @@ LEAF_ROWS, FAN, INNER_FAN = 4096, 16, 4
 SIMILARITY = 0.8
 #: The two halves of a hash of a document's set of shingles.
 SET_KEY = ("k0", "k1")
-#: Candidates share one of BANDS groups of BAND_ROWS least hashes.  Each least hash agrees with the
-#: probability of the Jaccard similarity, wherever the edits lie: a pair of 0.8 is missed 6 times in 100,000.
+#: Bits by which linked fingerprints may differ.
+RADIUS = 2
+#: Candidates of a stage for pairs that differ in more bits than the index can search share one of BANDS groups of
+#: BAND_ROWS least hashes.  Each least hash agrees with the probability of the Jaccard similarity, wherever the edits
+#: lie: a pair of 0.8 is missed 6 times in 100,000.
 BANDS, BAND_ROWS = 32, 6
 #: Rounds of links along cells before all that is left is compared.
 CHAIN_ROUNDS = 3
@@ -224,7 +227,7 @@ def close_links(prints: DataFrame, radius: int) -> DataFrame:
     return met.repartition(partitions(prints.sparkSession)).mapInArrow(_leaf_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable)."""
     prints = saved(fingerprints(docs, words, id_column, text_column), "simhash-prints")
     return components_of(prints, radius)
@@ -254,7 +257,8 @@ def least_hashes(hashes: np.ndarray, factors: np.ndarray, masks: np.ndarray) ->
 
 
 def banded(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, h, size, k0, k1, cells): a hash of the text; of its set of shingles the size, a 128-bit hash and the cells."""
+    """(doc_id, h, size, k0, k1, fp, cells): a hash of the text; of its set of shingles the size, a 128-bit hash, the
+    fingerprint and the cells of least hashes."""
     chooser = np.random.default_rng(SEED)
     factors, masks = (chooser.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
     factors |= np.uint64(1)
@@ -265,15 +269,15 @@ def banded(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_colu
             for text in batch.column(2):
                 hashes = np.unique(shingle_hashes(text.as_py() or b"", words))
                 key = xxhash.xxh3_128_intdigest(hashes.tobytes(), SEED)
-                rows.append([len(hashes), key >> 64, key & (1 << 64) - 1])
+                rows.append([len(hashes), key >> 64, key & (1 << 64) - 1, majority_bits(hashes)])
                 bands = least_hashes(hashes, factors, masks).reshape(BANDS, BAND_ROWS)
                 cells.append(np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64))
-            columns = np.array(rows, np.uint64).reshape(-1, 3).T.copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "h", "size", *SET_KEY, "cells"])
+            columns = np.array(rows, np.uint64).reshape(-1, 4).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "h", "size", *SET_KEY, "fp", "cells"])
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long"), F.xxhash64(text), text.cast("binary"))
-    return rows.mapInArrow(hash_, "doc_id long, h long, size long, k0 long, k1 long, cells array<long>")
+    return rows.mapInArrow(hash_, "doc_id long, h long, size long, k0 long, k1 long, fp long, cells array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,14 +443,18 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = SIMILA
     """The rows of ``docs``, with one document of each group of near copies: the one with the smallest id.
 
     A group is held together by links whose sets of ``words``-word shingles have the exact Jaccard
-    ``similarity``, or more.  Candidates share a band of least hashes; every candidate is compared unless
-    links join it already.
+    ``similarity``, or more.  The first candidates are the components of the sets' fingerprints, by the
+    Gray-order index; pairs of that similarity whose fingerprints differ in more bits share a band of least
+    hashes.  Every candidate is compared, in the first cell that it has in common, unless links join it already.
     """
     rows = saved(banded(docs, words, id_column, text_column), "simhash-bands")
     # Documents of a class have one set of shingles; all others meet the exact check.
-    classes = rows.groupBy(*SET_KEY).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("size").alias("size"), F.first("cells").alias("cells"))
+    classes = rows.groupBy(*SET_KEY).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("cells").alias("cells"))
     # Ids are fixed by the write, whatever is computed again later on.
-    classes = saved(classes.select(*SET_KEY, "size", "cells", F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
+    classes = saved(classes.select(*SET_KEY, "size", "fp", "cells", F.col("first.doc_id").alias("first"), F.col("first.h").alias("first_h"), F.monotonically_increasing_id().alias("node")), "simhash-classes")
+    # Before the bands, which are hashes that know their number, comes the component of the fingerprint.
+    near = components_of(classes.select(F.col("node").alias("doc_id"), "fp"), RADIUS).select(F.col("doc_id").alias("node"), F.xxhash64(F.lit("fp"), "component_id").alias("near"))
+    classes = saved(classes.join(near, "node").withColumn("cells", F.concat(F.array("near"), "cells")).drop("near", "fp"), "simhash-classes")
     cells = classes.select(F.explode("cells").alias("cell"), "node", "size").repartition("cell").sortWithinPartitions("cell")
     cells = saved(cells.mapInArrow(_shared, "cell long, node long, size long"), "simhash-cells")
 

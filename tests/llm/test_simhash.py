@@ -232,3 +232,26 @@ def test_every_link_of_a_near_threshold_group_counts(spark, monkeypatch, small):
     assert 20 < len(set(label.tolist())) < len(rows) - 20
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(label.tolist()))
+
+
+def test_fingerprints_in_the_index_give_the_stage_its_first_candidates(spark, monkeypatch):
+    def unlike(hashes, factors, masks):
+        return np.random.default_rng(int(hashes.sum())).integers(0, 2**64, len(factors), np.uint64)
+
+    # No two sets share a band: what goes, goes by its fingerprint.
+    monkeypatch.setattr(simhash, "least_hashes", unlike)
+    rng = random.Random(17)
+    rows, near = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(20000)}" for _ in range(800)]
+        copy = list(words)
+        copy[rng.randrange(800)] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        one, two = (simhash.majority_bits(np.unique(simhash.shingle_hashes(t.encode(), 5))) for _, t in rows[-2:])
+        near += [2 * k + 1] if (one ^ two).bit_count() <= simhash.RADIUS else []
+    assert 20 < len(near)
+    # One text close to the fingerprint of none, and a repeated line that decides no set's fingerprint.
+    line = " ".join(f"l{i}" for i in range(9))
+    rows += [(100 + i, " ".join([line] * 40 + [f"own{rng.randrange(10**9)}" for _ in range(30)])) for i in range(6)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, _ in rows if i not in near]
