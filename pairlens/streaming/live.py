@@ -72,25 +72,40 @@ class BookState(StatefulProcessor):
     SCHEMA = "venue string, vmid string, outcome string, price double, size double, seq long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "outcome string, price double", "size double")
+        # A book is read and written whole: every call to the state is a message to the JVM.
+        self.levels = handle.getListState("levels", "outcome string, price double, size double")
         self.snapshot = handle.getValueState("snapshot", "number long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        changes = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for r in changes.itertuples():
-            if r.snapshot >= 0 and (not self.snapshot.exists() or self.snapshot.get()[0] != r.snapshot):
-                self.levels.clear()
-                self.snapshot.update((int(r.snapshot),))
-            price = round(1.0 - r.price, 6)
-            level = ("no" if r.outcome == "yes" else "yes", price)
-            if r.size <= 0:
-                if self.levels.containsKey(level):
-                    self.levels.removeKey(level)
+        changes: list[tuple] = []
+        for batch in rows:
+            changes.extend(zip(*(batch[c].tolist() for c in ("seq", "snapshot", "outcome", "price", "size")), strict=True))
+        changes.sort(key=lambda c: c[0])
+        levels = {(o, p): s for o, p, s in self.levels.get()}
+        known = number = None
+        if any(c[1] >= 0 for c in changes):
+            known = number = self.snapshot.get()[0] if self.snapshot.exists() else None
+        for _, snapshot, outcome, bid, size in changes:
+            if snapshot >= 0 and number != snapshot:
+                levels.clear()
+                number = int(snapshot)
+            price = round(1.0 - bid, 6)
+            level = ("no" if outcome == "yes" else "yes", price)
+            if size <= 0:
+                levels.pop(level, None)
             elif 0 < price < 1:
-                self.levels.updateValue(level, (float(r.size),))
-        last = int(changes["seq"].iloc[-1])
-        book = [(*key, o, p, s[0], last) for (o, p), s in self.levels.iterator()]
-        yield pd.DataFrame(sorted(book), columns=["venue", "vmid", "outcome", "price", "size", "seq"])
+                levels[level] = float(size)
+        if number != known:
+            self.snapshot.update((number,))
+        book = sorted((o, p, s) for (o, p), s in levels.items())
+        if book:
+            self.levels.put(book)
+        else:
+            self.levels.clear()
+        if book:
+            outcomes, prices, sizes = map(list, zip(*book, strict=True))
+            n = len(book)
+            yield pd.DataFrame({"venue": [key[0]] * n, "vmid": [key[1]] * n, "outcome": outcomes, "price": prices, "size": sizes, "seq": [int(changes[-1][0])] * n})
 
     def close(self) -> None:
         pass
