@@ -134,17 +134,24 @@ def still_fresh(rows: DataFrame, ts: str, seconds: float = 5.0, now: Column | No
     return rows.where(micros(ts) >= at - int(seconds * 1_000_000))
 
 
+_DELTA = "type string, msg struct<market_ticker:string,yes:string,no:string>"
+
+
 def delta_levels(messages: DataFrame) -> DataFrame:
     """Levels of delta messages (payload, seq): prices in cents, both outcomes."""
     pairs = "array<array<double>>"
-    ticker = F.get_json_object("payload", "$.msg.market_ticker")
 
     def side(outcome: str) -> Column:
-        raw = F.coalesce(F.from_json(F.get_json_object("payload", f"$.msg.{outcome}"), pairs), F.array().cast(pairs))
+        raw = F.coalesce(F.from_json(f"msg.{outcome}", pairs), F.array().cast(pairs))
         return F.transform(raw, lambda x: F.struct(F.lit(outcome).alias("outcome"), (x[0] / 100.0).alias("price"), x[1].alias("size")))
 
-    rows = messages.where((F.get_json_object("payload", "$.type") == "orderbook_delta") & (ticker != ""))
-    return rows.select(F.lit("kalshi").alias("venue"), ticker.alias("vmid"), "seq", F.lit(-1).cast("long").alias("snapshot"), F.explode(F.concat(side("yes"), side("no"))).alias("x")).select("venue", "vmid", "seq", "snapshot", "x.*")
+    # As rows of a generator a message is parsed once; as a column it would be for every use, and so would lists behind
+    # an inner explode, which Spark first asks for their size.
+    # Text without the word holds no delta, unless an escape hides it.
+    likely = F.col("payload").contains("orderbook_delta") | F.col("payload").contains("\\")
+    rows = messages.where(likely).select("seq", F.inline_outer(F.array(F.from_json("payload", _DELTA)))).where("type = 'orderbook_delta' AND msg.market_ticker <> ''")
+    levels = rows.select(F.lit("kalshi").alias("venue"), F.col("msg.market_ticker").alias("vmid"), "seq", F.lit(-1).cast("long").alias("snapshot"), F.explode_outer(F.concat(side("yes"), side("no"))).alias("x"))
+    return levels.where("x IS NOT NULL").select("venue", "vmid", "seq", "snapshot", "x.*")
 
 
 def throttled(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], every: str = "250 milliseconds", delay: str | None = None) -> DataFrame:

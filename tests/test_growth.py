@@ -64,3 +64,19 @@ def test_a_books_calls_to_state_do_not_grow_with_its_changes():
         assert len(out) and set(out["seq"]) == {n - 1}
         used.append(calls.count)
     assert used[0] == used[1]
+
+
+def test_a_delta_message_is_parsed_once(spark):
+    messages = spark.createDataFrame([(1, '{"type":"orderbook_delta","msg":{"market_ticker":"M","yes":[[40,3]]}}'), (2, "not json")], "seq long, payload string").repartition(2)
+    levels = live.delta_levels(messages)
+    plan = levels._jdf.queryExecution().optimizedPlan().toString()
+    # The message, and the two lists in it.
+    assert plan.count("get_json_object") == 0 and plan.count("from_json") == 3
+    assert [tuple(r) for r in levels.collect()] == [("kalshi", "M", 1, -1, "yes", 0.4, 3.0)]
+
+
+def test_odd_delta_messages(spark):
+    delta = '{"type":"orderbook_delta","msg":%s}'
+    odd = ['{"type":"orderbook\\u005fdelta","msg":{"market_ticker":"U","no":[[30,3]]}}', delta % '{"market_ticker":7,"yes":"[[40,1]]","no":null}', delta % '{"market_ticker":"","yes":[[1,1]]}', delta % '{"market_ticker":"B","yes":[[1,1]]', delta % "null", "[" + delta % '{"market_ticker":"A","yes":[[1,1]]}' + "]", "", None, '{"type":"ticker"}']
+    rows = spark.createDataFrame(list(enumerate(odd)), "seq long, payload string")
+    assert sorted((r["seq"], r["vmid"], r["outcome"], r["price"]) for r in live.delta_levels(rows).collect()) == [(0, "U", "no", 0.3), (1, "7", "yes", 0.4)]
