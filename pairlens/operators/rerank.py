@@ -83,10 +83,22 @@ def confidence_of(forward: str, reverse: str | None = None) -> tuple[Column, Col
     return scores.nli_confidence(*triple)
 
 
-def best_match_mean(pairs: DataFrame, keys: list[str], clause: str, confidence: str) -> DataFrame:
-    """Per key: the mean over its clauses of each one's best confidence (0 at least)."""
-    best = pairs.groupBy(*keys, clause).agg(F.greatest(F.max(confidence), F.lit(0.0)).alias("_best"))
-    return best.groupBy(*keys).agg(F.avg("_best").alias("secondary"))
+#: Rows that one task groups.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, key: str, task_rows: int | None = None) -> DataFrame:
+    """``rows`` by ``key`` in as many tasks as their counted number needs, so that a larger table means more
+    tasks and not larger ones; groups and ranks within ``key`` need no further shuffle.  For tables, whose count is cheap."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // (task_rows or TASK_ROWS))), key)
+
+
+def best_match_mean(pairs: DataFrame, keys: list[str], clause: str, confidence: str, most: tuple[str, ...] = ()) -> DataFrame:
+    """Per key: the mean over its clauses of each one's best confidence (0 at least), and the highest value of the columns ``most``."""
+    tops = [F.max(c).alias(c) for c in most]
+    best = pairs.groupBy(*keys, clause).agg(F.greatest(F.max(confidence), F.lit(0.0)).alias("_best"), *tops)
+    return best.groupBy(*keys).agg(F.avg("_best").alias("secondary"), *tops)
 
 
 def kept(scored: DataFrame, query: str, settings: Settings = Settings(), tie: tuple[str, ...] = ()) -> DataFrame:

@@ -256,10 +256,9 @@ def q_rerank_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairlens.operators import rerank
 
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_suppkey").alias("cand"), F.col("l_linenumber").alias("clause"), "l_quantity", (F.col("l_discount") * 8 + 0.2).alias("confidence"))
-    secondary = rerank.best_match_mean(rows, ["q", "cand"], "clause", "confidence")
-    primary = rows.groupBy("q", "cand").agg((F.max("l_quantity") / 50).alias("primary"))
+    best = rerank.best_match_mean(rerank.dealt(rows, "q"), ["q", "cand"], "clause", "confidence", ("l_quantity",))
     score, kind = scores.rerank_score(F.col("primary"), F.col("secondary"))
-    scored = primary.join(secondary, ["q", "cand"]).select("q", "cand", F.round(score, 6).alias("score"), kind.alias("match_type"))
+    scored = best.withColumn("primary", F.col("l_quantity") / 50).select("q", "cand", F.round(score, 6).alias("score"), kind.alias("match_type"))
     return rerank.kept(scored, "q", tie=("cand",)).select("q", "cand", "score", "match_type", "place")
 
 

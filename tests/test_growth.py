@@ -1,7 +1,9 @@
 """Work that may not grow faster than the input: calls to state, parses of a message, rows of a task."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from pairlens.operators import rerank
 from pairlens.streaming import live
 
 
@@ -80,3 +82,13 @@ def test_odd_delta_messages(spark):
     odd = ['{"type":"orderbook\\u005fdelta","msg":{"market_ticker":"U","no":[[30,3]]}}', delta % '{"market_ticker":7,"yes":"[[40,1]]","no":null}', delta % '{"market_ticker":"","yes":[[1,1]]}', delta % '{"market_ticker":"B","yes":[[1,1]]', delta % "null", "[" + delta % '{"market_ticker":"A","yes":[[1,1]]}' + "]", "", None, '{"type":"ticker"}']
     rows = spark.createDataFrame(list(enumerate(odd)), "seq long, payload string")
     assert sorted((r["seq"], r["vmid"], r["outcome"], r["price"]) for r in live.delta_levels(rows).collect()) == [(0, "U", "no", 0.3), (1, "7", "yes", 0.4)]
+
+
+def test_more_rows_are_more_tasks_and_ranks_need_no_further_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 50 AS q", "id % 7 AS cand", "id % 3 AS clause", "id % 11 / 10 AS confidence", "id AS most")
+    tasks = rerank.dealt(rows, "q", 20)
+    assert tasks.rdd.getNumPartitions() == 50 and rerank.dealt(rows, "q").rdd.getNumPartitions() == 4
+    scored = rerank.best_match_mean(tasks, ["q", "cand"], "clause", "confidence", ("most",)).withColumn("score", F.col("secondary") + F.lit(1.0))
+    best = rerank.kept(scored, "q", tie=("cand",))
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert best.agg(F.max("most")).first()[0] == 999
