@@ -117,12 +117,12 @@ def _visits(queries: DataFrame, index: Index, k: int, least: float, home: bool)
                 row, cell = np.nonzero(open_)
                 for a in range(0, len(row), 8_192):
                     took = pa.array(row[a : a + 8_192])
-                    yield pa.RecordBatch.from_arrays([c.take(took) for c in part.columns[:3]] + [pa.array(cell[a : a + 8_192].astype(np.int32))], names=["id", "venue", "v", "cell"])
+                    yield pa.RecordBatch.from_arrays([c.take(took) for c in part.columns[:3]] + [pa.array(cell[a : a + 8_192].astype(np.int32)), pa.array(last[row[a : a + 8_192]])], names=["id", "venue", "v", "cell", "last"])
 
     if home:
         return queries.select("id", "venue", "v", "cell")
     kind = queries.schema["v"].dataType.simpleString()
-    return queries.select("id", "venue", "v", "cell", "last").mapInArrow(visit, f"id long, venue string, v {kind}, cell int")
+    return queries.select("id", "venue", "v", "cell", "last").mapInArrow(visit, f"id long, venue string, v {kind}, cell int, last double")
 
 
 def _searched(visits: DataFrame, rows: DataFrame, index: Index, k: int, least: float) -> tuple[DataFrame, int]:
@@ -132,38 +132,15 @@ def _searched(visits: DataFrame, rows: DataFrame, index: Index, k: int, least: f
     asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     parts = [(c, max(1, -(-asked[c] // PART_ROWS)), max(1, -(-int(index.count[c]) // PART_ROWS))) for c in asked]
     sizes = F.broadcast(spark.createDataFrame(parts, "cell int, qs int, cs int"))
-    left = visits.join(sizes, "cell").select("id", "venue", "v", "cell", F.pmod(F.xxhash64(F.lit(1), "id"), "qs").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"))
+    left = visits.join(sizes, "cell").select(*visits.columns, F.pmod(F.xxhash64(F.lit(1), "id"), "qs").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"))
     right = rows.join(sizes, "cell").select("id", "venue", "v", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("q"), F.pmod(F.xxhash64(F.lit(2), "id"), "cs").cast("int").alias("c"))
     keys = ["cell", "q", "c"]
     # Rows may visit their own table: both sides get columns of their own.
     left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(best_of, k=k, least=least), "query_id long, candidate_id long, similarity double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(retrieve.best_of, k=k, least=least), "query_id long, candidate_id long, similarity double")
     return found, sum(asked.values())
 
 
-def best_of(left: pa.Table, right: pa.Table, k: int, least: float) -> pa.Table:
-    """The best ``k`` rows of ``right`` of another venue for each row of ``left``."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if left.num_rows and right.num_rows:
-        (qi, qv, qm), (ci, cv, cm) = retrieve._matrix(left), retrieve._matrix(right)
-        width = max(qm.shape[1], cm.shape[1])
-        qm, cm = _fitted(qm, width), _fitted(cm, width)
-        order = np.argsort(ci, kind="stable")
-        ci, cv, cm = ci[order], cv[order], cm[order]
-        for at in range(0, len(qi), 256):
-            part = slice(at, at + 256)
-            s = np.round(qm[part] @ cm.T, 6)
-            s[(qv[part][:, None] == cv) | (qi[part][:, None] == ci) | (s < least)] = -np.inf
-            last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if 0 < k < s.shape[1] else -np.inf
-            r, c = np.nonzero(np.isfinite(s) & (s >= last))
-            rank = np.lexsort((c, -s[r, c], r))
-            r, c = r[rank], c[rank]
-            kept = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append((qi[part][r[kept]], ci[c[kept]], s[r[kept], c[kept]]))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table({"query_id": columns[0], "candidate_id": columns[1], "similarity": columns[2]})
-
-
 def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: str, k: int | None = None, least: float | None = None, settings: Settings = Settings(), cells: int | None = None, report: dict[str, float] | None = None) -> DataFrame:
     """query_id, rank, candidate_id, similarity: the best ``k`` rows of other venues by cosine, from ``least`` on.
 

@@ -9,6 +9,7 @@ for each block, and vectors travel in the type they come in.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pairlens.config import Settings
 
 #: Bytes of a block's vectors; a cell holds two blocks and 256 rows of scores.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 26, 1 << 16
+#: Pairs whose exact scores are computed at once.
+_EXACT = 1 << 14
 
 
 def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: str, k: int | None = None, least: float | None = None, settings: Settings = Settings(), block_rows: int | None = None) -> DataFrame:
@@ -46,31 +49,54 @@ def similar(rows: DataFrame, id_column: str, venue_column: str, vector_column: s
     queries = base.withColumn("q", block(1)).withColumn("c", every).select(cell, "id", "venue", "v")
     others = base.withColumn("c", block(2)).withColumn("q", every).select(cell, "id", "venue", "v")
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            (qi, qv, qm), (ci, cv, cm) = _matrix(left), _matrix(right)
-            by_id = np.argsort(ci, kind="stable")
-            ci, cv, cm = ci[by_id], cv[by_id], cm[by_id]
-            for at in range(0, len(qi), 256):
-                part = slice(at, at + 256)
-                s = np.round(qm[part] @ cm.T, 6)
-                s[(qv[part][:, None] == cv) | (qi[part][:, None] == ci) | (s < least)] = -np.inf
-                last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if 0 < k < s.shape[1] else -np.inf
-                r, c = np.nonzero(np.isfinite(s) & (s >= last))
-                # Ties of the last one go to the smaller id, so no cell gives a query more than k rows.
-                order = np.lexsort((c, -s[r, c], r))
-                r, c = r[order], c[order]
-                kept = np.arange(len(r)) - np.searchsorted(r, r) < k
-                out.append((qi[part][r[kept]], ci[c[kept]], s[r[kept], c[kept]]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": columns[0], "candidate_id": columns[1], "similarity": columns[2]})
-
-    found = queries.groupBy("cell").cogroup(others.groupBy("cell")).applyInArrow(score, "query_id long, candidate_id long, similarity double")
+    found = queries.groupBy("cell").cogroup(others.groupBy("cell")).applyInArrow(partial(best_of, k=k, least=least), "query_id long, candidate_id long, similarity double")
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "candidate_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "similarity")
 
 
+def best_of(left: pa.Table, right: pa.Table, k: int, least: float) -> pa.Table:
+    """The best ``k`` rows of ``right`` of another venue for each row of ``left``, from ``least`` and from the row's own ``last`` (if any) on.
+
+    Products of single precision choose what may be among them, with a margin for their rounding; only that is scored exactly.
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if left.num_rows and right.num_rows:
+        (qi, qv, qm), (ci, cv, cm) = _matrix(left), _matrix(right)
+        width = max(qm.shape[1], cm.shape[1])
+        qm, cm = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m for m in (qm, cm))
+        order = np.argsort(ci, kind="stable")
+        ci, cv, cm = ci[order], cv[order], cm[order]
+        venue = np.unique(np.concatenate([qv, cv]), return_inverse=True)[1].astype(np.int32)
+        qv, cv = venue[: len(qv)], venue[len(qv) :]
+        floor = np.full(len(qi), least)
+        if "last" in left.column_names:
+            floor = np.maximum(floor, left["last"].to_numpy())
+        # Twice the largest error of a product of unit vectors in single precision, and the rounding of scores.
+        margin = 2e-6 + 2.4e-7 * width
+        rough, turned = qm.astype(np.float32), np.ascontiguousarray(cm.astype(np.float32).T)
+        for at in range(0, len(qi), 256):
+            part = slice(at, at + 256)
+            s = rough[part] @ turned
+            s[(qv[part][:, None] == cv) | (qi[part][:, None] == ci)] = -np.inf
+            lowest = (floor[part] - margin)[:, None].astype(np.float32)
+            open_ = (s >= lowest) & np.isfinite(s)
+            # Where floors leave many, the k-th of all is asked for.
+            if 0 < k < s.shape[1] and np.count_nonzero(open_) > 8 * k * len(s):
+                open_ &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - np.float32(margin)
+            r, c = np.nonzero(open_)
+            exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", qm[part][r[a : a + _EXACT]], cm[c[a : a + _EXACT]]) for a in range(0, len(r), _EXACT))])
+            exact = np.round(exact, 6)
+            enough = exact >= floor[part][r]
+            r, c, exact = r[enough], c[enough], exact[enough]
+            # Ties of the last one go to the smaller id, so nothing gives a query more than k rows.
+            rank = np.lexsort((c, -exact, r))
+            r, c, exact = r[rank], c[rank], exact[rank]
+            kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append((qi[part][r[kept]], ci[c[kept]], exact[kept]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"query_id": columns[0], "candidate_id": columns[1], "similarity": columns[2]})
+
+
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = rows["v"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists

@@ -1,9 +1,11 @@
 """Work that may not grow faster than the input: calls to state, parses of a message, rows of a task."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlens.operators import rerank
+from pairlens.operators import rerank, retrieve
 from pairlens.streaming import live
 
 
@@ -92,3 +94,20 @@ def test_more_rows_are_more_tasks_and_ranks_need_no_further_shuffle(spark):
     best = rerank.kept(scored, "q", tie=("cand",))
     assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert best.agg(F.max("most")).first()[0] == 999
+
+
+def test_rows_below_a_querys_last_score_are_left_out_and_the_rest_is_exact():
+    rng = np.random.default_rng(9)
+    vectors = np.repeat(rng.normal(size=(150, 8)), 2, axis=0)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    table = pa.table({"id": np.arange(300), "venue": pa.array(["ab"[i % 3 == 0] for i in range(300)]), "v": pa.array(list(vectors), pa.list_(pa.float64()))})
+    scores = np.round(unit @ unit.T, 6)
+    for last in (None, 0.5, -np.inf):
+        for k in (1, 5, 400):
+            left = table if last is None else table.append_column("last", pa.array(np.full(300, last)))
+            got = list(zip(*retrieve.best_of(left, table, k, 0.3).to_pydict().values()))
+            want = []
+            for q in range(300):
+                open_ = [c for c in range(300) if (c % 3 == 0) != (q % 3 == 0) and scores[q, c] >= max(0.3, last or -1.0)]
+                want += [(q, c, scores[q, c]) for c in sorted(open_, key=lambda c: (-scores[q, c], c))[:k]]
+            assert got == want
