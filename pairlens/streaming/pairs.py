@@ -99,11 +99,14 @@ class PairBooks(StatefulProcessor):
         if not runs:
             return
         book = Book(self.levels.get(), self.snapshots.get())
+        # All intervals go out as one frame: a frame costs far more than its rows.
+        found: list[tuple] = []
         for end, run in runs.items():
             book.apply(run)
             if book.whole():
-                out = pd.DataFrame(book.rows(), columns=["side", "outcome", "price", "size"])
-                yield out.assign(pair_key=key[0], interval_ms=end)[[c.split()[0] for c in LEVEL.split(", ")]]
+                found += [(key[0], *level, end) for level in book.rows()]
+        if found:
+            yield pd.DataFrame(dict(zip((c.split()[0] for c in LEVEL.split(", ")), map(list, zip(*found, strict=True)), strict=True)))
         for state, now in ((self.levels, book.rows()), (self.snapshots, sorted(book.snapshots.items())), (self.waiting, rest)):
             state.put(now) if now else state.clear()
 

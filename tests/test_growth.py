@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairlens.operators import rerank, retrieve
-from pairlens.streaming import live
+from pairlens.streaming import live, pairs
 
 
 class Calls:
@@ -111,3 +111,15 @@ def test_rows_below_a_querys_last_score_are_left_out_and_the_rest_is_exact():
                 open_ = [c for c in range(300) if (c % 3 == 0) != (q % 3 == 0) and scores[q, c] >= max(0.3, last or -1.0)]
                 want += [(q, c, scores[q, c]) for c in sorted(open_, key=lambda c: (-scores[q, c], c))[:k]]
             assert got == want
+
+
+def test_all_intervals_of_a_pair_leave_as_one_frame():
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10_000)
+
+    calls, watched = Calls(), pairs.PairBooks(1_000, event_time=True)
+    watched.init(calls)
+    calls.kept["waiting"] = [(side, k * 1_000_000 + 5, k, -1, "yes", 0.4 + k / 100, 5.0) for k in range(4) for side in "ab"]
+    frames = list(watched.handleExpiredTimer(("p",), Times, None))
+    assert len(frames) == 1 and list(frames[0].columns) == [c.split()[0] for c in pairs.LEVEL.split(", ")]
+    assert frames[0].groupby("interval_ms").size().to_dict() == {1_000: 2, 2_000: 4, 3_000: 6, 4_000: 8}
